@@ -7,6 +7,7 @@ the number of columns, never by rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,10 +16,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabulon.functions.columns import as_double, as_text, col, numeric_columns, string_columns, type_of
-from tabulon.plans.correlations import pair_statistics, pearson
+from tabulon.plans.correlations import Moments, pearson, summarise
 from tabulon.plans.duplicates import duplicate_rows
 from tabulon.plans.layout import spread
-from tabulon.plans.quantiles import exact_quantiles
+from tabulon.plans.quantiles import exact_quantiles, sketch_columns
 from tabulon.plans.results import result_frame, rounded
 from tabulon.plans.value_counts import distinct_and_top
 
@@ -71,19 +72,13 @@ class TableProfile:
 
     @cached_property
     def scalars(self) -> dict:
-        """One aggregate over the whole table."""
+        """Row, value and byte counts, and the quantile sketches, in one aggregate."""
         aggs = {"rows": F.count(F.lit(1))}
         for i, n in enumerate(self.names):
             aggs[f"n{i}"] = F.count(col(n))
-            if n in self.numeric:
-                v = col(n).cast("double")
-                aggs[f"mean{i}"] = F.avg(v)
-                aggs[f"std{i}"] = F.stddev_samp(v)
-                aggs[f"min{i}"] = F.min(v)
-                aggs[f"max{i}"] = F.max(v)
-                aggs[f"skew{i}"] = F.skewness(v)
             if self._width(n) is None:
                 aggs[f"bytes{i}"] = F.sum(F.octet_length(as_text(self.df, n)))
+        aggs |= sketch_columns(self.df, self.numeric, QUARTILES)
         return self.work.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
 
     def _width(self, name: str) -> int | None:
@@ -133,29 +128,24 @@ class TableProfile:
 
     @cached_property
     def quartiles(self) -> dict[str, dict[float, float | None]]:
-        return exact_quantiles(self.work, self.numeric, QUARTILES, "midpoint")
+        return exact_quantiles(self.work, self.numeric, QUARTILES, "midpoint", self.scalars)
 
     @cached_property
     def duplicates(self) -> int:
         return duplicate_rows(self.work)
 
     @cached_property
-    def pairs(self) -> dict[tuple[str, str], tuple]:
-        return pair_statistics(self.work, self.numeric)
+    def summary(self) -> tuple[dict[str, Moments], dict[tuple[str, str], tuple]]:
+        return summarise(self.work, self.numeric)
+
+    @property
+    def moments(self) -> dict[str, Moments]:
+        return self.summary[0]
 
     @cached_property
     def correlations(self) -> dict[tuple[str, str], float | None]:
         """Pearson r of every numeric pair; None where undefined."""
-        return {pair: pearson(s) for pair, s in self.pairs.items()}
-
-    @cached_property
-    def variances(self) -> dict[str, float | None]:
-        out = {}
-        for i, n in enumerate(self.names):
-            if n in self.numeric:
-                std = self.scalars[f"std{i}"]
-                out[n] = None if std is None else std * std
-        return out
+        return {pair: pearson(s) for pair, s in self.summary[1].items()}
 
     @cached_property
     def outlier_rows(self) -> list[dict]:
@@ -194,18 +184,17 @@ class TableProfile:
         return round(self.missing[name] / self.rows * 100, 2) if self.rows else 0.0
 
     def skewness(self, name: str) -> float | None:
-        return self.scalars.get(f"skew{self.names.index(name)}")
+        return self.moments[name].skewness
 
     def number_stats(self, name: str) -> list[float | None]:
         """Mean, median, std, min, max, q1, q3 and skewness to four decimals."""
         if not self.non_null[name]:
             return [None] * 8
-        i, q, s = self.names.index(name), self.quartiles[name], self.scalars
-        values = [
-            s[f"mean{i}"], q[0.5], s[f"std{i}"], s[f"min{i}"], s[f"max{i}"],
-            q[0.25], q[0.75], s[f"skew{i}"],
-        ]
-        return [rounded(v) for v in values]
+        m, q = self.moments[name], self.quartiles[name]
+        mean, std, skew = m.mean, m.deviation, m.skewness
+        if m.n < self.non_null[name]:  # NaN cells make these undefined
+            mean = std = skew = math.nan
+        return [rounded(v) for v in (mean, q[0.5], std, m.low, m.high, q[0.25], q[0.75], skew)]
 
     # Report frames
 
@@ -266,7 +255,7 @@ class TableProfile:
         for a in self.numeric:
             for b in self.numeric:
                 if a == b:
-                    r = 1.0 if self.variances[a] else 0.0
+                    r = 1.0 if self.moments[a].variance else 0.0
                 else:
                     r = self.correlations.get((a, b), self.correlations.get((b, a))) or 0.0
                 rows.append((a, b, rounded(r)))

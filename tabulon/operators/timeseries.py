@@ -13,6 +13,7 @@ from tabulon.errors import AnalysisError
 from tabulon.functions import special
 from tabulon.functions.columns import as_double, col, require, require_numeric
 from tabulon.functions.parsing import as_timestamp
+from tabulon.plans.layout import settle
 from tabulon.plans.ordered import ROWS_PER_TASK, largest_group, sliding, with_positions
 from tabulon.plans.results import result_frame
 
@@ -138,7 +139,7 @@ def decompose(
     if model not in ("additive", "multiplicative"):
         raise AnalysisError("model must be additive or multiplicative")
     keys = list(group_cols)
-    series = prepare_series(df, date, value, keys)
+    series = settle(prepare_series(df, date, value, keys))
     sizes = series.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
     longest = largest_group(series, keys)
     if not longest:
@@ -163,8 +164,8 @@ def decompose(
         ahead = F.avg("value").over(spec.rowsBetween(1 - half, half))
         return {"__avg": (behind + ahead) / 2}
 
-    smooth = sliding(
-        sized, averages, ["__i"], keys, before=half, after=half, total=longest, rows_per_task=rows_per_task
+    smooth = settle(
+        sliding(sized, averages, ["__i"], keys, before=half, after=half, total=longest, rows_per_task=rows_per_task)
     )
     i, n = F.col("__i"), F.col("__n")
     first, last = F.lit(half), n - 1 - half

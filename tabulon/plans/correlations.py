@@ -1,14 +1,15 @@
-"""Pairwise-complete Pearson statistics of many columns in one pass.
+"""Moments of many columns and pairwise-complete products in one pass.
 
-Each task turns its Arrow batches into small k x k matrices of counts, sums and
-cross products with numpy; Spark adds the matrices up. One aggregate expression
-per pair would grow past what the JVM compiles already at a dozen columns.
+Each task turns its Arrow batches into per-column sums and small k x k matrices
+with numpy; Spark adds them up. One aggregate expression per column and pair
+would grow past what the JVM compiles already at a dozen columns.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,64 +19,119 @@ from tabulon.functions.columns import as_double
 
 PARTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 NOISE = 1e-13
+SHIFT_ROWS = 1000
 
 
-def pair_statistics(df: DataFrame, names: Sequence[str], shifts: dict[str, float | None] | None = None) -> dict:
-    """(n, covariance, deviation x, deviation y) of every pair i < j, over rows
-    where both are present. ``shifts`` holds a typical value per column, taken off
-    first so that sums of squares keep their digits."""
+@dataclass
+class Moments:
+    n: int
+    mean: float | None
+    variance: float | None
+    skewness: float | None
+    low: float | None
+    high: float | None
+
+    @property
+    def deviation(self) -> float | None:
+        return None if self.variance is None else math.sqrt(self.variance)
+
+
+def typical_values(df: DataFrame, names: Sequence[str]) -> list[float]:
+    """A present value per column out of the first rows, 0 where there is none.
+
+    Taking it off first lets sums of squares keep their digits.
+    """
+    head = df.select(*[as_double(df, n).alias(f"c{i}") for i, n in enumerate(names)]).limit(SHIFT_ROWS)
+    row = head.agg(*[F.first(f"c{i}", True).alias(f"c{i}") for i in range(len(names))]).first()
+    found = [row[i] or 0.0 for i in range(len(names))]
+    return [v if math.isfinite(v) else 0.0 for v in found]
+
+
+def summarise(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Moments], dict[tuple[str, str], tuple]]:
+    """Moments per column, and (n, covariance, deviation x, deviation y) of every
+    pair i < j over the rows where both are present."""
     names = list(names)
     k = len(names)
-    if k < 2:
-        return {}
-    if shifts is None:
-        shifts = typical_values(df, names)
-    centre = [float(shifts.get(n) or 0.0) for n in names]
-    centre = [c if math.isfinite(c) else 0.0 for c in centre]
-    slim = df.select(*[(as_double(df, n) - F.lit(c)).alias(f"c{i}") for i, (n, c) in enumerate(zip(names, centre))])
+    if not k:
+        return {}, {}
+    centre = np.array(typical_values(df, names))
+    slim = df.select(*[as_double(df, n).alias(f"c{i}") for i, n in enumerate(names)])
 
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, k, k))
+        pairs = np.zeros((6, k, k))
+        sums = np.zeros((3, k))
+        low, high = np.full(k, np.inf), np.full(k, -np.inf)
         for batch in batches:
-            x = batch.to_numpy(dtype=float, na_value=np.nan)
-            there = ~np.isnan(x)
-            x = np.where(there, x, 0.0)
+            raw = batch.to_numpy(dtype=float, na_value=np.nan)
+            there = ~np.isnan(raw)
+            x = np.where(there, raw - centre, 0.0)
             m = there.astype(float)
             squares = x * x
-            total[0] += m.T @ m
-            total[1] += x.T @ m
-            total[2] += m.T @ x
-            total[3] += squares.T @ m
-            total[4] += m.T @ squares
-            total[5] += x.T @ x
-        i, j = np.triu_indices(k, 1)
-        yield pd.DataFrame({"i": i, "j": j, **{p: total[t][i, j] for t, p in enumerate(PARTS)}})
-
-    schema = "i int, j int, " + ", ".join(f"{p} double" for p in PARTS)
+            sums[0] += np.where(there, raw, 0.0).sum(axis=0)
+            sums[1] += (squares * x).sum(axis=0)
+            low = np.minimum(low, np.where(there, raw, np.inf).min(axis=0, initial=np.inf))
+            high = np.maximum(high, np.where(there, raw, -np.inf).max(axis=0, initial=-np.inf))
+            pairs[0] += m.T @ m
+            pairs[1] += x.T @ m
+            pairs[2] += m.T @ x
+            pairs[3] += squares.T @ m
+            pairs[4] += m.T @ squares
+            pairs[5] += x.T @ x
+        i, j = np.triu_indices(k)
+        one = i == j
+        yield pd.DataFrame(
+            {
+                "i": i,
+                "j": j,
+                **{p: pairs[t][i, j] for t, p in enumerate(PARTS)},
+                "total": np.where(one, sums[0][i], 0.0),
+                "cubes": np.where(one, sums[1][i], 0.0),
+                "low": np.where(one, low[i], 0.0),
+                "high": np.where(one, high[i], 0.0),
+            }
+        )
+
+    columns = (*PARTS, "total", "cubes", "low", "high")
     rows = (
-        slim.mapInPandas(accumulate, schema)
+        slim.mapInPandas(accumulate, "i int, j int, " + ", ".join(f"{c} double" for c in columns))
         .groupBy("i", "j")
-        .agg(*[F.sum(p).alias(p) for p in PARTS])
+        .agg(
+            *[F.sum(c).alias(c) for c in (*PARTS, "total", "cubes")],
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+        )
         .collect()
     )
-    out = {}
+    moments = {n: Moments(0, None, None, None, None, None) for n in names}
+    pairs = {(a, b): (0, None, None, None) for i, a in enumerate(names) for b in names[i + 1 :]}
     for r in rows:
-        n = r["n"]
-        if n < 1:
-            out[names[r["i"]], names[r["j"]]] = (0, None, None, None)
+        if r["n"] < 1:
             continue
-        covariance = (r["sxy"] - r["sx"] * r["sy"] / n) / n
-        out[names[r["i"]], names[r["j"]]] = (
-            int(n),
-            covariance,
-            _deviation(n, r["sx"], r["sxx"]),
-            _deviation(n, r["sy"], r["syy"]),
-        )
-    return {
-        (a, b): out.get((a, b), (0, None, None, None))
-        for i, a in enumerate(names)
-        for b in names[i + 1 :]
-    }
+        a, b = names[r["i"]], names[r["j"]]
+        if r["i"] == r["j"]:
+            moments[a] = _moments(r)
+        else:
+            n = r["n"]
+            pairs[a, b] = (
+                int(n),
+                (r["sxy"] - r["sx"] * r["sy"] / n) / n,
+                _deviation(n, r["sx"], r["sxx"]),
+                _deviation(n, r["sy"], r["syy"]),
+            )
+    return moments, pairs
+
+
+def _moments(r) -> Moments:
+    n, s1, s2, s3 = r["n"], r["sx"], r["sxx"], r["cubes"]
+    gap = s1 / n
+    spread = s2 - s1 * gap
+    spread = spread if spread > NOISE * s2 else 0.0
+    variance = spread / (n - 1) if n > 1 else None
+    skewness = None
+    if spread:
+        third = s3 - 3 * gap * s2 + 2 * n * gap**3
+        skewness = third / n / (spread / n) ** 1.5
+    return Moments(int(n), r["total"] / n, variance, skewness, r["low"], r["high"])
 
 
 def _deviation(n: float, s: float, ss: float) -> float:
@@ -83,10 +139,8 @@ def _deviation(n: float, s: float, ss: float) -> float:
     return math.sqrt(spread / n) if spread > NOISE * ss else 0.0
 
 
-def typical_values(df: DataFrame, names: Sequence[str]) -> dict[str, float | None]:
-    """One present value per column, exact, so a constant column centres to zero."""
-    row = df.agg(*[F.first(as_double(df, n), True).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    return {n: row[f"c{i}"] for i, n in enumerate(names)}
+def pair_statistics(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], tuple]:
+    return summarise(df, names)[1] if len(names) > 1 else {}
 
 
 def pearson(statistics: tuple) -> float | None:

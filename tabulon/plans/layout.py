@@ -16,3 +16,15 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that several later jobs read.
+
+    Written to the reliable checkpoint folder the session names, so a lost
+    executor does not recompute it; without such a folder it stays lazy.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df

@@ -73,6 +73,7 @@ def exact_quantiles(
     names: Sequence[str],
     probs: Sequence[float],
     interpolation: str = "linear",
+    sketch: dict | None = None,
     collect_limit: int = COLLECT_LIMIT,
 ) -> dict[str, dict[float, float | None]]:
     """Quantiles per column; ``interpolation`` is ``linear`` or ``midpoint``."""
@@ -80,8 +81,9 @@ def exact_quantiles(
     if not names:
         return {}
     base = pick(df, names)
-    aggs = sketch_columns(base, names, probs)
-    sketch = base.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
+    if sketch is None:
+        aggs = sketch_columns(base, names, probs)
+        sketch = base.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
 
     targets: dict[tuple[str, int], float | None] = {}
     brackets: dict[tuple[str, int], tuple[float, float]] = {}

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulon.plans.layout import settle
 from tabulon.plans.ordered import ROWS_PER_TASK, piece_column, running_sums, split_points
 
 BROADCAST_LIMIT = 200_000
@@ -106,7 +107,7 @@ def discordant_pairs(pairs: DataFrame, n: int, rows_per_task: int = ROWS_PER_TAS
     different bins on both axes follow from the bin counts; the rest are counted
     inside the open bins, in parallel.
     """
-    counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    counted = settle(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
     bins = min(MAX_BINS, -(-n // rows_per_task))
     binned = counted
     for side in ("x", "y"):

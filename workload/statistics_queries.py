@@ -59,7 +59,7 @@ def pooled(spark, folder):
         count(*) FILTER (WHERE s = 0) AS n1, count(*) FILTER (WHERE s = 1) AS n2 FROM k""",
 )
 def mann_whitney(spark, folder):
-    found = tests.mann_whitney_u(two(spark, folder), "a", "b", rows_per_task=20_000)
+    found = tests.mann_whitney_u(two(spark, folder), "a", "b")
     return tidy(found.select("u_statistic", "median1", "median2", "n1", "n2"), 1)
 
 
@@ -243,7 +243,7 @@ def _decomposition(period: int, additive: bool) -> str:
             f"avg(y) OVER (ORDER BY i ROWS BETWEEN {half - 1} PRECEDING AND {half} FOLLOWING)) / 2"
         )
     minus, back = ("-", "+") if additive else ("/", "*")
-    return f"""WITH s AS (SELECT o_orderdate AS d, avg(o_totalprice) AS y FROM orders GROUP BY 1),
+    return f"""WITH s AS (SELECT o_orderdate AS d, avg(ln(o_totalprice)) AS y FROM orders GROUP BY 1),
         p AS (SELECT d, y, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM s),
         a AS (SELECT *, CASE WHEN i >= {half} AND i <= n - 1 - {half} THEN {average} END AS t FROM p),
         h AS (SELECT regr_slope(t, i) AS k, regr_intercept(t, i) AS b FROM a WHERE i >= {half} AND i < {half + period}),
@@ -251,30 +251,30 @@ def _decomposition(period: int, additive: bool) -> str:
         f AS (SELECT d, y, i, CASE WHEN i < {half} THEN i * h.k + h.b WHEN i > n - 1 - {half} THEN i * e.k + e.b ELSE t END AS t FROM a, h, e),
         q AS (SELECT i % {period} AS ph, avg(y {minus} t) AS raw FROM f GROUP BY 1),
         z AS (SELECT ph, raw {minus} (SELECT avg(raw) FROM q) AS s FROM q)
-        SELECT d AS date, {r('y', 6)} AS value, {r('t')} AS trend, {r('s')} AS seasonal,
-        {r(f'y {minus} (t {back} s)')} AS residual FROM f JOIN z ON f.i % {period} = z.ph"""
+        SELECT d AS date, {r('y', 6)} AS value, {r('t', 6)} AS trend, {r('s', 6)} AS seasonal,
+        {r(f'y {minus} (t {back} s)', 6)} AS residual FROM f JOIN z ON f.i % {period} = z.ph"""
 
 
-def parts(found):
-    digits = {"value": 6, "trend": 4, "seasonal": 4, "residual": 4}
-    return found.select("date", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in digits.items()])
+def price_series(spark, folder):
+    return table(spark, folder, "orders").selectExpr("o_orderdate", "ln(o_totalprice) AS price")
 
 
 @query("decompose_additive_weekly", _decomposition(7, True))
 def decompose_additive(spark, folder):
-    return parts(timeseries.decompose(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", period=7))
+    found = timeseries.decompose(price_series(spark, folder), "o_orderdate", "price", period=7)
+    return tidy(found.drop("period"), 6)
 
 
 @query("decompose_spread_over_tasks", _decomposition(12, True))
 def decompose_pieces(spark, folder):
-    orders = table(spark, folder, "orders")
-    return parts(timeseries.decompose(orders, "o_orderdate", "o_totalprice", period=12, rows_per_task=500))
+    found = timeseries.decompose(price_series(spark, folder), "o_orderdate", "price", period=12, rows_per_task=500)
+    return tidy(found.drop("period"), 6)
 
 
 @query("decompose_multiplicative", _decomposition(30, False))
 def decompose_multiplicative(spark, folder):
-    orders = table(spark, folder, "orders")
-    return parts(timeseries.decompose(orders, "o_orderdate", "o_totalprice", period=30, model="multiplicative"))
+    found = timeseries.decompose(price_series(spark, folder), "o_orderdate", "price", period=30, model="multiplicative")
+    return tidy(found.drop("period"), 6)
 
 
 @query("decompose_per_status")
@@ -374,7 +374,7 @@ def mixed(spark, folder):
         SELECT {r('corr(rx, ry)', 6)} AS coefficient, count(*) AS n FROM k""",
 )
 def spearman(spark, folder):
-    found = tests.correlation_test(mixed(spark, folder), "x", "y", "spearman", rows_per_task=20_000)
+    found = tests.correlation_test(mixed(spark, folder), "x", "y", "spearman")
     return tidy(found.select("coefficient", "n"), 6)
 
 
@@ -388,7 +388,7 @@ def spearman(spark, folder):
         AS coefficient, n::BIGINT AS n FROM d, t""",
 )
 def kendall(spark, folder):
-    found = tests.correlation_test(mixed(spark, folder), "x", "y", "kendall", rows_per_task=5_000)
+    found = tests.correlation_test(mixed(spark, folder), "x", "y", "kendall")
     return tidy(found.select("coefficient", "n"), 6)
 
 
@@ -409,3 +409,26 @@ def overview(spark, folder):
 @query("overview_normality")
 def overview_normality(spark, folder):
     return tests.overview(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"])[0]
+
+
+ORACLES["mann_whitney_spread_over_tasks"] = ORACLES["mann_whitney_u"]
+ORACLES["spearman_spread_over_tasks"] = ORACLES["spearman_test"]
+ORACLES["kendall_spread_over_tasks"] = ORACLES["kendall_test"]
+
+
+@query("mann_whitney_spread_over_tasks")
+def mann_whitney_pieces(spark, folder):
+    found = tests.mann_whitney_u(two(spark, folder), "a", "b", rows_per_task=20_000)
+    return tidy(found.select("u_statistic", "median1", "median2", "n1", "n2"), 1)
+
+
+@query("spearman_spread_over_tasks")
+def spearman_pieces(spark, folder):
+    found = tests.correlation_test(mixed(spark, folder), "x", "y", "spearman", rows_per_task=20_000)
+    return tidy(found.select("coefficient", "n"), 6)
+
+
+@query("kendall_spread_over_tasks")
+def kendall_pieces(spark, folder):
+    found = tests.correlation_test(mixed(spark, folder), "x", "y", "kendall", rows_per_task=5_000)
+    return tidy(found.select("coefficient", "n"), 6)
