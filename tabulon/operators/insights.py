@@ -35,7 +35,7 @@ def insight_rows(p: TableProfile) -> list[tuple]:
     few = [n for n in p.numeric if p.distinct[n] <= 10]
     if few:
         out.append(("low_cardinality_numbers", "info", float(len(few)), few))
-    constant = [n for n in p.names if p.distinct[n] <= 1]
+    constant = p.constant
     if constant:
         out.append(("constant_columns", "danger", float(len(constant)), constant))
     megabytes = round(p.memory_bytes / (1024 * 1024), 2)

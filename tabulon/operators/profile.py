@@ -15,7 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabulon.functions.columns import as_double, as_text, col, numeric_columns, string_columns, type_of
+from tabulon.functions.columns import TEMPORAL_TYPES, as_double, as_text, col, numeric_columns, string_columns, type_of
 from tabulon.plans.correlations import Moments, pearson, summarise
 from tabulon.plans.duplicates import duplicate_rows
 from tabulon.plans.layout import spread
@@ -51,6 +51,8 @@ class TableProfile:
         self.names = df.columns
         self.numeric = numeric_columns(df)
         self.strings = string_columns(df)
+        self._distinct: dict[str, int] = {}
+        self._top: dict[str, list[tuple[str | None, int]]] = {}
 
     @cached_property
     def work(self) -> DataFrame:
@@ -76,6 +78,8 @@ class TableProfile:
         aggs = {"rows": F.count(F.lit(1))}
         for i, n in enumerate(self.names):
             aggs[f"n{i}"] = F.count(col(n))
+            if n in self.numeric or isinstance(type_of(self.df, n), (*TEMPORAL_TYPES, T.BooleanType)):
+                aggs[f"same{i}"] = F.min(col(n)) == F.max(col(n))
             if self._width(n) is None:
                 aggs[f"bytes{i}"] = F.sum(F.octet_length(as_text(self.df, n)))
         aggs |= sketch_columns(self.df, self.numeric, QUARTILES)
@@ -99,19 +103,56 @@ class TableProfile:
     def missing(self) -> dict[str, int]:
         return {n: self.rows - k for n, k in self.non_null.items()}
 
-    @cached_property
-    def _values(self) -> tuple[dict, dict]:
-        others = [n for n in self.names if n not in self.numeric]
-        return distinct_and_top(self.work, self.names, others)
+    def _load_values(self, wanted: list[str]) -> None:
+        """Count the distinct values of the columns not counted yet, in one pass."""
+        todo = [n for n in wanted if n not in self._distinct]
+        if todo:
+            others = [n for n in todo if n not in self.numeric]
+            distinct, top = distinct_and_top(self.work, todo, others)
+            self._distinct |= distinct
+            self._top |= top
 
     @property
     def distinct(self) -> dict[str, int]:
         """Distinct values per column; null counts as one value."""
-        return self._values[0]
+        self._load_values(self.names)
+        return self._distinct
+
+    @property
+    def text_distinct(self) -> dict[str, int]:
+        """The same for the text columns alone."""
+        self._load_values(self.strings)
+        return self._distinct
+
+    @property
+    def text_top(self) -> dict[str, list[tuple[str | None, int]]]:
+        self._load_values(self.strings)
+        return self._top
 
     @property
     def top(self) -> dict[str, list[tuple[str | None, int]]]:
-        return self._values[1]
+        """The most frequent values of the non-numeric columns."""
+        self._load_values([n for n in self.names if n not in self.numeric])
+        return self._top
+
+    @cached_property
+    def constant(self) -> list[str]:
+        """Columns with at most one distinct value, null counting as a value.
+
+        Smallest and largest value decide where they exist; only text and nested
+        columns need their distinct values counted.
+        """
+        out = []
+        for i, n in enumerate(self.names):
+            same = self.scalars.get(f"same{i}")
+            if f"same{i}" not in self.scalars:
+                self._load_values([m for j, m in enumerate(self.names) if f"same{j}" not in self.scalars])
+                single = self._distinct[n] <= 1
+            else:
+                single = not self.non_null[n] or (bool(same) and not self.missing[n])
+            if single:
+                out.append(n)
+        return out
 
     @cached_property
     def text_bytes(self) -> dict[str, int]:
