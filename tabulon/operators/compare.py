@@ -82,12 +82,6 @@ def _report(p: TableProfile) -> Report:
     )
 
 
-def report_summary(table) -> DataFrame:
-    """One row that touches every part of the full report."""
-    with profiled(table) as p:
-        return p.basic_info().drop("column_names", "dtypes_summary").crossJoin(quality_score(p))
-
-
 def schema_diff(df1: DataFrame, df2: DataFrame) -> DataFrame:
     """One row: column names on one side only, common names, row and column differences."""
     left, right = set(df1.columns), set(df2.columns)

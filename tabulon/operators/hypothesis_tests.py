@@ -190,38 +190,27 @@ def anova(df: DataFrame, numeric: str, group: str) -> DataFrame:
 def normality(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Shapiro-Wilk on at most 5000 values per column, and Jarque-Bera on all of them.
 
-    The sample is drawn by a hash of ``key`` (repeatable) or at random; its size
-    limit is applied inside each task before the shuffle.
+    The sample holds the rows with the smallest hash of ``key`` (repeatable), or
+    random ones without a key.
     """
     require_numeric(df, *columns)
-    order = F.xxhash64(F.lit(seed), *[col(k) for k in key]) if key else F.rand(seed)
-    named = [F.struct(F.lit(i).alias("i"), as_double(df, n).alias("v")) for i, n in enumerate(columns)]
-    stacked = df.select(order.alias("o"), F.inline(F.array(*named))).filter(F.col("v").isNotNull())
-    place = F.row_number().over(Window.partitionBy("i").orderBy("o", "v"))
-    sample = stacked.withColumn("place", place).filter(F.col("place") <= SHAPIRO_LIMIT)
-
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        n = len(part)
-        w, p = special.shapiro_wilk(part["v"].to_numpy()) if n >= 3 else (None, None)
-        return pd.DataFrame({"i": [part["i"].iloc[0]], "w": [w], "p": [p], "n": [n]})
-
-    tested = sample.groupBy("i").applyInPandas(test, "i int, w double, p double, n long")
     aggs = []
     for i, n in enumerate(columns):
         v = as_double(df, n)
         aggs += [F.count(v).alias(f"n{i}"), F.skewness(v).alias(f"s{i}"), F.kurtosis(v).alias(f"k{i}")]
     whole = df.agg(*aggs).first()
-    found = {r["i"]: r for r in tested.collect()}
+    sizes = [whole[f"n{i}"] for i in range(len(columns))]
+    found = _shapiro(df, columns, key, seed, [min(1.0, 4 * SHAPIRO_LIMIT / max(n, 1)) for n in sizes])
+    if any(found.get(i, (None, None, 0))[2] < min(n, SHAPIRO_LIMIT) for i, n in enumerate(sizes)):
+        found = _shapiro(df, columns, key, seed, [1.0] * len(columns))  # hashes clump: take them all
     out = []
     for i, n in enumerate(columns):
-        r = found.get(i)
-        if r is None or r["n"] < 3:
+        w, p, taken = found.get(i, (None, None, 0))
+        if taken < 3:
             continue
-        size, s, k = whole[f"n{i}"], whole[f"s{i}"], whole[f"k{i}"]
-        jb = size / 6 * (s * s + k * k / 4) if s is not None and k is not None else None
-        out.append(
-            (n, r["w"], r["p"], r["p"] > ALPHA, r["n"], jb, special.chi2_upper(jb, 2) if jb is not None else None, size)
-        )
+        s, k = whole[f"s{i}"], whole[f"k{i}"]
+        jb = sizes[i] / 6 * (s * s + k * k / 4) if s is not None and k is not None else None
+        out.append((n, w, p, p > ALPHA, taken, jb, special.chi2_upper(jb, 2) if jb is not None else None, sizes[i]))
     if not out and len(columns) == 1:
         raise AnalysisError("Insufficient data")
     return result_frame(
@@ -232,6 +221,32 @@ def normality(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None =
     )
 
 
+def _shapiro(df: DataFrame, columns, key, seed: int, shares: list[float]) -> dict[int, tuple]:
+    """(W, p, values taken) per column index. Rows whose hash is above a column's
+    share are dropped where they are read, so a bounded number is ranked."""
+    if key:
+        place = F.xxhash64(F.lit(seed), *[col(k) for k in key])
+        uniform = place / F.lit(2.0**64) + F.lit(0.5)
+    else:
+        uniform = F.rand(seed)
+    named = [
+        F.struct(F.lit(i).alias("i"), as_double(df, n).alias("v"), F.lit(share).alias("share"))
+        for i, (n, share) in enumerate(zip(columns, shares))
+    ]
+    stacked = df.select(uniform.alias("o"), F.inline(F.array(*named)))
+    stacked = stacked.filter(F.col("v").isNotNull() & (F.col("o") <= F.col("share")))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("o", "v"))
+    sample = stacked.withColumn("rank", rank).filter(F.col("rank") <= SHAPIRO_LIMIT).select("i", "v")
+
+    def test(part: pd.DataFrame) -> pd.DataFrame:
+        n = len(part)
+        w, p = special.shapiro_wilk(part["v"].to_numpy()) if n >= 3 else (None, None)
+        return pd.DataFrame({"i": [part["i"].iloc[0]], "w": [w], "p": [p], "n": [n]})
+
+    tested = sample.groupBy("i").applyInPandas(test, "i int, w double, p double, n long").collect()
+    return {r["i"]: (r["w"], r["p"], r["n"]) for r in tested}
+
+
 def correlation_test(
     df: DataFrame, first: str, second: str, method: str = "pearson", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:

@@ -54,11 +54,15 @@ class TableProfile:
         self._distinct: dict[str, int] = {}
         self._top: dict[str, list[tuple[str | None, int]]] = {}
 
+    @cached_property
+    def rows(self) -> int:
+        return self.df.count()
+
     @cached_property
     def work(self) -> DataFrame:
-        """The table as the passes read it. An input with fewer partitions than
-        cores is spread out and kept for the passes; ``close`` releases it."""
-        wide = spread(self.df)
+        """The table as the passes read it. A small table is spread over the cores
+        and kept for the passes; ``close`` releases it."""
+        wide = spread(self.df, self.rows)
         return self.df if wide is self.df else wide.persist()
 
     def close(self) -> None:
@@ -74,8 +78,8 @@ class TableProfile:
 
     @cached_property
     def scalars(self) -> dict:
-        """Row, value and byte counts, and the quantile sketches, in one aggregate."""
-        aggs = {"rows": F.count(F.lit(1))}
+        """Value and byte counts, and the quantile sketches, in one aggregate."""
+        aggs = {}
         for i, n in enumerate(self.names):
             aggs[f"n{i}"] = F.count(col(n))
             if n in self.numeric or isinstance(type_of(self.df, n), (*TEMPORAL_TYPES, T.BooleanType)):
@@ -91,10 +95,6 @@ class TableProfile:
             return 16
         return WIDTHS.get(dtype.simpleString())
 
-    @property
-    def rows(self) -> int:
-        return self.scalars["rows"]
-
     @cached_property
     def non_null(self) -> dict[str, int]:
         return {n: self.scalars[f"n{i}"] for i, n in enumerate(self.names)}

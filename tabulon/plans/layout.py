@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a small file; leave large inputs as they were read.
+SMALL_ROWS = 5_000_000
 
-    A file with one row group is scanned by one task however many cores there
-    are. Inputs that already have a partition per core are not shuffled.
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Use every core on a table counted to be small; leave larger ones as they are.
+
+    A file with one row group is scanned by one task however many cores there are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = min(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if df.rdd.getNumPartitions() >= wanted:
+    if rows > SMALL_ROWS:
         return df
-    return df.repartition(wanted)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def settle(df: DataFrame) -> DataFrame:

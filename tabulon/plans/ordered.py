@@ -129,7 +129,8 @@ def running_sums(
     if total <= rows_per_task:
         return df.withColumns({name: F.sum(value).over(plain) for name, value in sums.items()})
 
-    rows = df.count() if partition_by else total
+    # ``total`` bounds the whole table when it comes with a source to sample from.
+    rows = df.count() if partition_by and source is None else total
     staged = df.withColumns({f"__in_{name}": value for name, value in sums.items()})
     pieces = cut(staged, [*partition_by, *order_by], rows, rows_per_task, source)
     inside = (

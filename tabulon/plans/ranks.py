@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.plans.layout import settle
-from tabulon.plans.ordered import ROWS_PER_TASK, piece_column, running_sums, split_points
+from tabulon.plans.ordered import MAX_PIECES, ROWS_PER_TASK, piece_column, running_sums, split_points
 
 BROADCAST_LIMIT = 200_000
-MAX_BINS = 1024
+BINS_PER_GROUP = 128
+MAX_DEPTH = 4
 
 
 def average_ranks(
@@ -51,7 +51,7 @@ def spearman_r(pairs: DataFrame, n: int, rows_per_task: int = ROWS_PER_TASK) ->
     counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     spreads = []
     for side in ("x", "y"):
-        ranked = average_ranks(pairs.select(side), side, n, {"w": F.count(F.lit(1))}, rows_per_task)
+        ranked = settle(average_ranks(pairs.select(side), side, n, {"w": F.count(F.lit(1))}, rows_per_task))
         found = ranked.agg(
             F.sum(F.col("w") * (F.col("rank") - middle) ** 2).alias("s"), F.count(F.lit(1)).alias("k")
         ).first()
@@ -104,44 +104,73 @@ def discordant_pairs(pairs: DataFrame, n: int, rows_per_task: int = ROWS_PER_TAS
 
     Both axes are cut at sampled values. Each cut value is a bin of its own, so a
     value that fills a third of the table needs no work inside its bin. Pairs in
-    different bins on both axes follow from the bin counts; the rest are counted
-    inside the open bins, in parallel.
+    different bins on both axes follow from the bin counts. Pairs that share an
+    open bin are counted inside it, in parallel; bins still too large for a task
+    are cut again.
     """
-    counted = settle(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")))
-    bins = min(MAX_BINS, -(-n // rows_per_task))
-    binned = counted
+    counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    return _discordant(settle(counted.select(F.lit(0).cast("long").alias("g"), "x", "y", "c")), n, rows_per_task, 0)
+
+
+def _discordant(rows: DataFrame, total: int, rows_per_task: int, depth: int) -> float:
+    """Discordant weight within each group ``g`` of (g, x, y, c)."""
+    if total > rows_per_task:
+        size = rows.groupBy("g").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+        most, total = size["most"] or 0, size["all"] or 0
+    else:
+        most = total
+    if most <= rows_per_task or depth == MAX_DEPTH:
+        counted = rows.groupBy("g").applyInPandas(_count_inside, "found double")
+        return counted.agg(F.sum("found")).first()[0] or 0.0
+
+    binned = rows
     for side in ("x", "y"):
-        points = split_points(pairs, [side], max(2, bins), n) if bins > 1 else []
-        below = piece_column(pairs, [side], points)
-        if points:
-            cuts = F.array(*[F.lit(p[0]) for p in points])
-            on_cut = (below > 0) & (F.col(side) == F.get(cuts, below - 1))
-            place = below * 2 - F.when(on_cut, 1).otherwise(0)
-        else:
-            place = F.lit(0)
-        binned = binned.withColumn(f"{side}b", place)
-
-    def inside(key: str, along: str):
-        def count(part: pd.DataFrame) -> pd.DataFrame:
-            found = weighted_inversions(part[along].to_numpy(), part["y"].to_numpy(), part["c"].to_numpy())
-            return pd.DataFrame({"found": [found]})
-
-        return count
-
-    open_x = binned.filter(F.col("xb") % 2 == 0).groupBy("xb")
-    within = open_x.applyInPandas(inside("xb", "x"), "found double")
-    if bins > 1:
-        # Pairs sharing a y bin but not an x bin: only the x bin matters.
-        strips = binned.filter(F.col("yb") % 2 == 0).groupBy("yb", "xb", "y").agg(F.sum("c").alias("c"))
-        within = within.union(strips.groupBy("yb").applyInPandas(inside("yb", "xb"), "found double"))
-    total = within.agg(F.sum("found")).first()[0] or 0.0
-    if bins > 1:
-        cells = binned.groupBy("xb", "yb").agg(F.sum("c").alias("c")).collect()
-        grid = np.zeros((max(r["xb"] for r in cells) + 1, max(r["yb"] for r in cells) + 1))
-        for r in cells:
-            grid[r["xb"], r["yb"]] = r["c"]
-        beyond = np.zeros_like(grid)  # weight at larger x and smaller y
-        tail = np.cumsum(grid[::-1], axis=0)[::-1]
-        beyond[:-1, 1:] = np.cumsum(tail[1:], axis=1)[:, :-1]
-        total += float(np.sum(grid * beyond))
-    return total
+        points = _thinned(split_points(rows, ["g", side], min(MAX_PIECES, -(-total // rows_per_task) * 2), total))
+        below = piece_column(rows, ["g", side], points)
+        cuts = F.array(*[F.struct(F.lit(p[0]).cast("long").alias("g"), F.lit(p[1]).cast("double").alias("v")) for p in points])
+        here = F.struct(F.col("g").alias("g"), F.col(side).alias("v"))
+        on_cut = (below > 0) & (F.get(cuts, below - 1) == here)
+        binned = binned.withColumn(f"{side}b", below * 2 - F.when(on_cut, 1).otherwise(0))
+    cells = binned.groupBy("g", "xb", "yb").agg(F.sum("c").alias("c"))
+    across = cells.groupBy("g").applyInPandas(_count_across, "found double").agg(F.sum("found")).first()[0] or 0.0
+
+    # Next level: rows sharing an open x bin, and rows sharing an open y bin, where
+    # only the x bin still matters. Group numbers stay apart by kind.
+    width = 2 * MAX_PIECES + 2
+    by_x = binned.filter(F.col("xb") % 2 == 0).select(
+        ((F.col("g") * width + F.col("xb")) * 2).alias("g"), "x", "y", "c"
+    )
+    strips = binned.filter(F.col("yb") % 2 == 0).groupBy("g", "yb", "xb", "y").agg(F.sum("c").alias("c"))
+    by_y = strips.select(
+        ((F.col("g") * width + F.col("yb")) * 2 + 1).alias("g"), F.col("xb").cast("double").alias("x"), "y", "c"
+    )
+    return across + _discordant(settle(by_x.unionByName(by_y)), 2 * total, rows_per_task, depth + 1)
+
+
+def _thinned(points: list) -> list:
+    """At most ``BINS_PER_GROUP`` cut points of each group, evenly taken."""
+    groups: dict = {}
+    for p in points:
+        groups.setdefault(p[0], []).append(p)
+    out = []
+    for members in groups.values():
+        step = -(-len(members) // BINS_PER_GROUP)
+        out += members[::step]
+    return out
+
+
+def _count_inside(part: pd.DataFrame) -> pd.DataFrame:
+    found = weighted_inversions(part["x"].to_numpy(), part["y"].to_numpy(), part["c"].to_numpy())
+    return pd.DataFrame({"found": [found]})
+
+
+def _count_across(part: pd.DataFrame) -> pd.DataFrame:
+    """Weight of cell pairs with smaller x bin and larger y bin, from 2-D prefix sums."""
+    xs, x = np.unique(part["xb"], return_inverse=True)
+    ys, y = np.unique(part["yb"], return_inverse=True)
+    grid = np.zeros((len(xs), len(ys)))
+    grid[x, y] = part["c"]
+    beyond = np.zeros_like(grid)  # weight at larger x and smaller y
+    tail = np.cumsum(grid[::-1], axis=0)[::-1]
+    beyond[:-1, 1:] = np.cumsum(tail[1:], axis=1)[:, :-1]
+    return pd.DataFrame({"found": [float(np.sum(grid * beyond))]})

@@ -98,7 +98,7 @@ def test_weighted_inversions():
     assert weighted_inversions(x, y, w) == expected
 
 
-@pytest.mark.parametrize("rows_per_task", [10**6, 700, 90])
+@pytest.mark.parametrize("rows_per_task", [10**6, 700, 150])
 def test_ranks_with_ties(skewed, rows_per_task):
     pdf, df = skewed
     x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
@@ -109,6 +109,16 @@ def test_ranks_with_ties(skewed, rows_per_task):
     assert math.isclose(spearman_r(pairs, len(x), rows_per_task), r, rel_tol=1e-9)
 
 
+def test_bins_too_large_for_a_task_are_cut_again(skewed, monkeypatch):
+    from tabulon.plans import ranks
+
+    pdf, df = skewed
+    x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
+    monkeypatch.setattr(ranks, "BINS_PER_GROUP", 3)
+    expected = float(sum(((x > x[i]) & (y < y[i])).sum() for i in range(len(x))))
+    assert discordant_pairs(df.select("x", "y"), len(x), 300) == expected
+
+
 def test_moments_and_pairs(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"a": rng.normal(1e6, 1, 500), "b": rng.gamma(2, size=500), "c": 0.1, "d": np.nan})

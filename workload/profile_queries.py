@@ -439,7 +439,8 @@ def compare_tables(spark, folder):
 def full_report(spark, folder):
     report = compare.full_report(gappy(spark, folder), order_by=["l_orderkey", "l_linenumber"])
     facts = report.basic_info.drop("column_names", "dtypes_summary", "memory_usage_mb")
-    return tidy(facts.join(F.broadcast(report.quality_score.select("overall_score", "grade")), F.lit(True)), 1)
+    score = report.quality_score.first()
+    return tidy(facts.withColumns({"overall_score": F.lit(score["overall_score"]), "grade": F.lit(score["grade"])}), 1)
 
 
 HISTORY_SQL = """(SELECT o_custkey::VARCHAR AS dataset_id, o_orderkey AS version, o_totalprice FROM orders)"""
