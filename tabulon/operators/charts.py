@@ -22,7 +22,6 @@ from tabulon.functions.columns import (
     type_of,
 )
 from tabulon.functions.parsing import as_timestamp
-from tabulon.operators.profile import TableProfile
 from tabulon.operators.quality import quality_radar
 from tabulon.operators.types import detect_date_column
 from tabulon.plans.correlations import pair_statistics, pearson
@@ -395,7 +394,7 @@ def all_charts(df: DataFrame, order_by: Sequence[str] | None = None) -> dict:
     offer("correlation_heatmap", lambda: correlation_heatmap(df))
     if order_by:
         offer("missing_data_matrix", lambda: missing_matrix(df, order_by))
-    offer("quality_radar", lambda: quality_radar(TableProfile(df, order_by=list(order_by or []) or None)))
+    offer("quality_radar", lambda: quality_radar(df))
     if len(numeric) >= 3:
         offer("scatter_matrix", lambda: scatter_matrix(df))
     picked = auto_pick(df).first()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from tabulon.functions.columns import col
 
 
 SMALL_ROWS = 5_000_000
@@ -15,8 +17,11 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     """
     if rows > SMALL_ROWS:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spark = df.sparkSession
+    pieces = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    plain = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    # By content, so that a task that runs again sends every row to the same place.
+    return df.repartition(pieces, F.xxhash64(*plain)) if plain else df.repartition(pieces)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def test_harmless_sql(orders, text):
         "SELECT '\\'', reflect('java.lang.System', 'x'), '' FROM df",
         "SELECT * FROM hidden_view",
         "SELECT * FROM df a, hidden_view b",
+        "WITH hidden_view AS (SELECT * FROM hidden_view) SELECT * FROM hidden_view",
     ],
 )
 def test_refused_sql(spark, orders, text):
