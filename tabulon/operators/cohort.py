@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col, is_missing, require
@@ -60,8 +60,10 @@ def cohort(df: DataFrame, entity: str, date: str, freq: str = "M") -> DataFrame:
     )
     active = per_entity.select("first", F.explode("periods").alias("period"))
     counted = active.groupBy("first", "period").agg(F.count(F.lit(1)).alias("active_users"))
-    sizes = per_entity.groupBy("first").agg(F.count(F.lit(1)).alias("cohort_size"))
-    return counted.join(F.broadcast(sizes), "first").select(
+    # Every entity is active in its first period, so that cell is the cohort size.
+    cohort_rows = Window.partitionBy("first")  # at most 400 rows each
+    size = F.max(F.when(F.col("period") == F.col("first"), F.col("active_users"))).over(cohort_rows)
+    return counted.withColumn("cohort_size", size).select(
         period_label(F.col("first"), freq).alias("cohort"),
         period_distance(F.col("period"), F.col("first"), freq).alias("period_index"),
         "cohort_size",

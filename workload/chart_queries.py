@@ -276,7 +276,19 @@ def date_column(spark, folder):
     return spark.createDataFrame([(charts.detect_date_column(df, ["o_orderkey"]),)], "date_column string")
 
 
-@query("all_charts_customer")
+NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+@query(
+    "all_charts_customer",
+    """SELECT chart, points::BIGINT AS points FROM (VALUES ('correlation_heatmap', 3), ('quality_radar', 6),
+       ('scatter_matrix', (SELECT least(2000, count(*)) FROM customer)),
+       ('pareto', (SELECT count(DISTINCT c_mktsegment) FROM customer)), ('top_n', (SELECT count(DISTINCT c_mktsegment) FROM customer)),
+       ('waterfall', (SELECT count(DISTINCT c_mktsegment) + 1 FROM customer)), ('categorical_bar:c_name', 10),
+       ('categorical_bar:c_mktsegment', (SELECT count(DISTINCT c_mktsegment) FROM customer)), """
+    + ", ".join(f"('distribution:{c}', 30), ('box_plot:{c}', 1), ('violin:{c}', 200)" for c in NUMBERS)
+    + ") AS t(chart, points)",
+)
 def all_charts(spark, folder):
     return charts.chart_catalog(table(spark, folder, "customer"), ["c_custkey"])
 

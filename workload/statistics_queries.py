@@ -150,8 +150,34 @@ def polynomial_fit(spark, folder):
     )
 
 
-@query("logistic_regression_quality")
+# Newton steps on the penalised likelihood (C = 1, free intercept).
+NEWTON = """WITH RECURSIVE v AS (SELECT o_totalprice / 100000 AS x, (o_orderpriority IN ('1-URGENT', '2-HIGH') OR
+    o_totalprice > 300000)::INT AS y FROM orders), fit(step, b0, b1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+    SELECT step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT step, b0, b1, sum(p - y) AS g0, sum((p - y) * x) + b1 AS g1, sum(p * (1 - p)) AS h00,
+    sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 1 AS h11
+    FROM (SELECT step, b0, b1, x, y, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM fit, v) GROUP BY step, b0, b1) WHERE step < 15)"""
+
+
+@query(
+    "logistic_regression_priority",
+    NEWTON
+    + f""" SELECT {r('any_value(b0)', 3)} AS intercept, {r('any_value(b1)', 3)} AS coefficient, {r('avg(((b0 + b1 * x >= 0)::INT = y)::INT)')} AS accuracy,
+        {r('sum(y) FILTER (WHERE b0 + b1 * x >= 0) / count(*) FILTER (WHERE b0 + b1 * x >= 0)::DOUBLE')} AS precision,
+        {r('sum(y) FILTER (WHERE b0 + b1 * x >= 0) / sum(y)::DOUBLE')} AS recall, count(*) AS n_samples FROM fit, v WHERE step = 15""",
+)
 def logistic(spark, folder):
+    df = table(spark, folder, "orders").selectExpr(
+        "o_totalprice / 100000 AS x",
+        "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_totalprice > 300000 THEN 'yes' ELSE 'no' END AS chosen",
+    )
+    found = regression.logistic_regression(df, "x", "chosen", "yes")
+    digits = {"intercept": 3, "coefficient": 3, "accuracy": 4, "precision": 4, "recall": 4}
+    return found.select(*[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in digits.items()], "n_samples")
+
+
+@query("logistic_regression_quality")
+def logistic_quality(spark, folder):
     df = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     return regression.logistic_regression(df, "n_chars", "quality")
 
@@ -233,26 +259,27 @@ def infer_monthly(spark, folder):
     return timeseries.period_table(df, "month", "o_totalprice")
 
 
-def _decomposition(period: int, additive: bool) -> str:
+def _decomposition(period: int, additive: bool, group: str = "0") -> str:
     half = period // 2
+    rows = "avg(y) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
     if period % 2:
-        average = f"avg(y) OVER (ORDER BY i ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+        average = rows.format(half, half)
     else:
-        average = (
-            f"(avg(y) OVER (ORDER BY i ROWS BETWEEN {half} PRECEDING AND {half - 1} FOLLOWING) + "
-            f"avg(y) OVER (ORDER BY i ROWS BETWEEN {half - 1} PRECEDING AND {half} FOLLOWING)) / 2"
-        )
+        average = f"({rows.format(half, half - 1)} + {rows.format(half - 1, half)}) / 2"
     minus, back = ("-", "+") if additive else ("/", "*")
-    return f"""WITH s AS (SELECT o_orderdate AS d, avg(ln(o_totalprice)) AS y FROM orders GROUP BY 1),
-        p AS (SELECT d, y, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM s),
+    shown = "" if group == "0" else f"f.g AS {group}, "
+    return f"""WITH s AS (SELECT {group} AS g, o_orderdate AS d, avg(ln(o_totalprice)) AS y FROM orders GROUP BY 1, 2),
+        p AS (SELECT g, d, y, row_number() OVER (PARTITION BY g ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM s),
         a AS (SELECT *, CASE WHEN i >= {half} AND i <= n - 1 - {half} THEN {average} END AS t FROM p),
-        h AS (SELECT regr_slope(t, i) AS k, regr_intercept(t, i) AS b FROM a WHERE i >= {half} AND i < {half + period}),
-        e AS (SELECT regr_slope(t, i) AS k, regr_intercept(t, i) AS b FROM a WHERE i >= n - 1 - {half} - {period} AND i < n - 1 - {half}),
-        f AS (SELECT d, y, i, CASE WHEN i < {half} THEN i * h.k + h.b WHEN i > n - 1 - {half} THEN i * e.k + e.b ELSE t END AS t FROM a, h, e),
-        q AS (SELECT i % {period} AS ph, avg(y {minus} t) AS raw FROM f GROUP BY 1),
-        z AS (SELECT ph, raw {minus} (SELECT avg(raw) FROM q) AS s FROM q)
-        SELECT d AS date, {r('y', 6)} AS value, {r('t', 6)} AS trend, {r('s', 6)} AS seasonal,
-        {r(f'y {minus} (t {back} s)', 6)} AS residual FROM f JOIN z ON f.i % {period} = z.ph"""
+        h AS (SELECT g, regr_slope(t, i) AS k, regr_intercept(t, i) AS b FROM a WHERE i >= {half} AND i < {half + period} GROUP BY g),
+        e AS (SELECT g, regr_slope(t, i) AS k, regr_intercept(t, i) AS b FROM a
+        WHERE i >= n - 1 - {half} - {period} AND i < n - 1 - {half} GROUP BY g),
+        f AS (SELECT a.g, d, y, i, CASE WHEN i < {half} THEN i * h.k + h.b WHEN i > n - 1 - {half} THEN i * e.k + e.b ELSE t END AS t
+        FROM a JOIN h ON a.g = h.g JOIN e ON a.g = e.g),
+        q AS (SELECT g, i % {period} AS ph, avg(y {minus} t) AS raw FROM f GROUP BY 1, 2),
+        z AS (SELECT g, ph, raw {minus} avg(raw) OVER (PARTITION BY g) AS s FROM q)
+        SELECT {shown}d AS date, {r('y', 6)} AS value, {r('t', 6)} AS trend, {r('s', 6)} AS seasonal,
+        {r(f'y {minus} (t {back} s)', 6)} AS residual FROM f JOIN z ON f.g = z.g AND f.i % {period} = z.ph"""
 
 
 def price_series(spark, folder):
@@ -277,11 +304,11 @@ def decompose_multiplicative(spark, folder):
     return tidy(found.drop("period"), 6)
 
 
-@query("decompose_per_status")
+@query("decompose_per_status", _decomposition(12, True, "o_orderstatus"))
 def decompose_groups(spark, folder):
-    return timeseries.decompose(
-        table(spark, folder, "orders"), "o_orderdate", "o_totalprice", period=12, group_cols=["o_orderstatus"]
-    )
+    df = table(spark, folder, "orders").selectExpr("o_orderstatus", "o_orderdate", "ln(o_totalprice) AS price")
+    found = timeseries.decompose(df, "o_orderdate", "price", period=12, group_cols=["o_orderstatus"])
+    return tidy(found.drop("period"), 6)
 
 
 @query("forecast_arima_per_event_type")
@@ -406,9 +433,10 @@ def overview(spark, folder):
     return tidy(found.select("column1", "column2", "correlation", "n"), 6)
 
 
-@query("overview_normality")
+@query("overview_normality", " UNION ALL ".join(_jb(c) for c in LINEITEM_NUMBERS))
 def overview_normality(spark, folder):
-    return tests.overview(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"])[0]
+    found = tests.overview(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"])[0]
+    return tidy(found.select("column", "jarque_bera", "n_samples", "n_total"), 2)
 
 
 ORACLES["mann_whitney_spread_over_tasks"] = ORACLES["mann_whitney_u"]
