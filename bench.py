@@ -46,6 +46,7 @@ HEADLINE = [
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from tabulon.shipping import ship
     from workload import QUERIES
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -64,6 +65,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-"))
+    ship(spark, os.path.join(os.path.dirname(os.path.abspath(__file__)), "workload"))
     for name in ("sql_aggregate", "kde_account_balance"):  # JVM and Python worker start-up is not measured
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
     times = {}

@@ -5,7 +5,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+
+from tabulon.shipping import ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,6 +27,7 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     if not session.sparkContext.getCheckpointDir():
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    ship(session, os.path.join(ROOT, "workload"))
     yield session
     session.stop()
 

@@ -10,7 +10,10 @@ import time
 
 import duckdb
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+
+from tabulon.shipping import ship  # noqa: E402
 
 
 def connect(folder: str):
@@ -66,6 +69,7 @@ def session(cpus: int = 8):
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark, os.path.join(ROOT, "workload"))
     return spark
 
 
