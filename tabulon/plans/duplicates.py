@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.functions.columns import col, groupable
+from tabulon.functions.columns import groupable
 
 VERIFY_LIMIT = 500_000
 

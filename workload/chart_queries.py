@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tabulon.operators import chart_builder as builder, charts
-from workload.common import GAPPY_SQL, LINEITEM_NUMBERS, exact_r, gappy, linear, r, table, tidy
+from workload.common import GAPPY_SQL, LINEITEM_NUMBERS, gappy, linear, r, table, tidy
 
 QUERIES: dict = {}
 ORACLES: dict = {}
