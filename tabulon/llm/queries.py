@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm.common import col, table
+from tabulon.llm import langid
+from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
 
+HELD_OUT_FOLDS = 5
+
 
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -15,6 +18,18 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[col(name)[f].alias(f) for f in fields])
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), HELD_OUT_FOLDS) == 0
+    model = langid.fit(docs.where(~held_out))
+    found, name = langid.identify(docs.select("doc_id", "text"), model)
+    p = col(name)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), p["lang"].alias("lang_pred"), p["score"].alias("score"),
+        p["cross_entropy"].alias("cross_entropy"), p["rejected"].alias("rejected"),
+    )
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A-Z only; DuckDB's lower() would change other letters too.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,5 +59,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op9_language": op9_language}
 ORACLES = {"op2_decontaminate": OP2_SQL}
