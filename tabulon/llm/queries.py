@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulon.llm import langid
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
+from tabulon.llm.neardup import near_duplicates
 
 HELD_OUT_FOLDS = 5
 
@@ -18,6 +19,11 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[col(name)[f].alias(f) for f in fields])
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"), shingle=4)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), HELD_OUT_FOLDS) == 0
@@ -59,5 +65,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op9_language": op9_language}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op9_language": op9_language}
 ORACLES = {"op2_decontaminate": OP2_SQL}
