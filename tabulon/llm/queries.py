@@ -7,11 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulon.llm import langid
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
+from tabulon.llm.mixing import mix_sources
 from tabulon.llm.neardup import near_duplicates
 
 HELD_OUT_FOLDS = 5
 
 
+MAX_PASSES = 1.25
+
+
+def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixture, plan = mix_sources(table(spark, folder, "documents"), ratio=1.0, max_passes=MAX_PASSES)
+    return mixture.select(
+        F.col("id").alias("doc_id"), "source", "n_tokens", F.lit(plan.exponent).alias("exponent"), "weight", "block", "turn", "passes"
+    )
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found, name = decontaminate(docs, table(spark, folder, "benchmark"))
@@ -40,6 +51,44 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A-Z only; DuckDB's lower() would change other letters too.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+    ('0x' || md5('mix:' || doc_id)[:8])::BIGINT % 1024 AS block, ('0x' || md5('mix:turn:' || doc_id)[:8])::BIGINT AS turn
+  FROM documents),
+tokens AS (SELECT source, sum(n_tokens)::BIGINT AS n FROM docs GROUP BY source),
+own AS (SELECT source, n, n / (SELECT sum(n) FROM tokens)::DOUBLE AS share, (SELECT sum(n) FROM tokens)::DOUBLE AS total FROM tokens WHERE n > 0),
+bisect(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, CASE WHEN bool_and(round(1.0 / (SELECT count(*) FROM own), 9) * total <= {MAX_PASSES} * n) THEN 0.0 ELSE 1.0 END::DOUBLE FROM own
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN low ELSE (low + high) / 2 END, CASE WHEN ok THEN (low + high) / 2 ELSE high END
+  FROM (SELECT step, low, high, bool_and(round(p / norm, 9) * total <= {MAX_PASSES} * n) AS ok
+    FROM (SELECT b.step, b.low, b.high, o.n, o.total, pow(o.share, (b.low + b.high) / 2) AS p,
+            sum(pow(o.share, (b.low + b.high) / 2)) OVER () AS norm
+          FROM bisect b, own o WHERE b.step < 60)
+    GROUP BY step, low, high)),
+found AS (SELECT round(high, 9) AS exponent FROM bisect WHERE step = 60),
+weights AS (
+  SELECT source, n, total, exponent, round(p / sum(p) OVER (), 9) AS weight
+  FROM (SELECT source, n, total, exponent, pow(share, exponent) AS p FROM own, found)),
+budgets AS (
+  SELECT t.source, coalesce(weight, 0.0) AS weight, f.exponent, CASE WHEN t.n = 0 THEN 1 ELSE floor(weight * total)::BIGINT // t.n END AS whole,
+    CASE WHEN t.n = 0 THEN 0 ELSE floor(weight * total)::BIGINT % t.n END AS rest
+  FROM tokens t CROSS JOIN found f LEFT JOIN weights w ON t.source IS NOT DISTINCT FROM w.source),
+blocks AS (
+  SELECT *, sum(in_block) OVER (PARTITION BY source ORDER BY block_turn, block) - in_block AS before
+  FROM (SELECT source, block, sum(n_tokens) AS in_block, ('0x' || md5('mix:' || coalesce(source, '') || ':' || block)[:8])::BIGINT AS block_turn
+        FROM docs GROUP BY source, block)),
+rows AS (
+  SELECT d.*, weight, exponent, whole, rest - before AS room, in_block,
+    sum(d.n_tokens) OVER (PARTITION BY d.source, d.block ORDER BY d.turn, d.doc_id, d.n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM docs d JOIN blocks b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block
+  JOIN budgets s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, source, n_tokens, exponent, weight, block, turn,
+  (whole + CASE WHEN room > 0 AND upto <= room THEN 1 ELSE 0 END)::BIGINT AS passes
+FROM rows
+"""
+
 OP2_SQL = f"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all({LOWER.format('text')}, '{WORD}') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -65,5 +114,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op9_language": op9_language}
-ORACLES = {"op2_decontaminate": OP2_SQL}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op9_language": op9_language}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
