@@ -257,23 +257,24 @@ def fit(
     docs: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
+    id_col: str = "doc_id",
     order: int = ORDER,
     rows_per_language: int = ROWS_PER_LANGUAGE,
     grams_per_language: int = GRAMS_PER_LANGUAGE,
 ) -> Model:
     """Learn from the rows of `docs` that have a language. About `rows_per_language` rows of
-    each language are taken, by a hash of the text: the same ones at any partitioning."""
-    rows = docs.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text")).where(
+    each language are taken, by a hash of id and text: the same ones at any partitioning."""
+    rows = docs.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"), col(id_col).alias("id")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return kneser_ney({}, order)
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1 << 20, -(-rows_per_language * (1 << 20) // n))).otherwise(share)
-    sample = rows.where(place < share).withColumn("check", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(CALIBRATION)) == 0)
+    sample = rows.where(place < share).withColumn("check", F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(CALIBRATION)) == 0)
     counted = (
         sample.where(~F.col("check")).select("lang", "text")
         .mapInArrow(_count_grams(order), "lang string, gram string, n bigint")

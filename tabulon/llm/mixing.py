@@ -14,13 +14,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulon.llm.common import col, cut
+from tabulon.llm.common import col, cut, fresh
 
 BLOCKS = 1024  # of each source; a block is the documents whose hash says so
 STEPS = 60  # of the bisection
 DIGITS = 9  # the exponent and the weights are rounded to so many decimals
 # Sources known by name; the rest of an unbounded key would not be a set of sources.
 MAX_SOURCES = 100_000
+CELLS = 1 << 20  # blocks of all sources together
 
 
 @dataclass(frozen=True)
@@ -97,64 +98,73 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     seed: str = "mix",
-    blocks: int = BLOCKS,
-) -> tuple[DataFrame, Plan]:
-    """One row (id, source, n_tokens, weight, block, turn, passes) for each row of `docs`, and
-    the plan: so many times the document is read when the mixture is drawn (`draws` has the
-    order).
-
-    Each source's documents lie in blocks by hash. A source with budget B and T tokens is
-    read B div T times in whole; of the rest, whole blocks follow in hashed order, and in
-    the block where the rest ends documents follow in hashed order while they fit. No source
-    gets more than its budget; what is left is less than its next document.
+    result: str = "mixture",
+) -> tuple[DataFrame, str, Plan]:
+    """`docs` with one more struct column, that column's name (`result`, made longer where
+    the input has such a column), and the plan. The column's fields: n_tokens, weight,
+    block, turn and passes, how many times the document is read when the mixture is drawn
+    (`draws` has the order).
+
+    Each source's documents lie in blocks by hash of their id. A source with budget B and T
+    tokens is read B div T times in whole; of the rest, whole blocks follow in hashed order,
+    and in the block where the rest ends documents follow in hashed order while they fit. No
+    source gets more than its budget; what is left is less than its next document.
 
     A null source is a source of its own. Null and empty texts have no tokens: they cost
     nothing and are read whenever their place in the order is reached; in a source without
-    any tokens, once. Rows that repeat an id stand beside each other. More
-    than MAX_SOURCES sources raise.
+    any tokens, once. Rows that repeat an id stand beside each other. More than MAX_SOURCES
+    sources raise. The only rows that are shuffled are those of one block a source.
     """
-    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), token_count(col(text_col)).alias("n_tokens"))
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    rows = cut(rows.withColumn("block", _digit(key, F.lit(seed)) % blocks).withColumn("turn", _digit(key, F.lit(seed), F.lit("turn"))), "tokens")
-    sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
+    name, spark = fresh(docs, result), docs.sparkSession
+    key = F.coalesce(col(id_col).cast("string"), F.lit(""))
+    source = col(source_col).cast("string")
+    fine = _digit(key, F.lit(seed)) % BLOCKS
+    tokens_of = token_count(col(text_col))
+    sums = cut(
+        docs.select(source.alias("source"), fine.alias("block"), tokens_of.alias("n")).groupBy("source", "block").agg(F.sum("n").alias("in_block")),
+        "blocks",
+    )
+    tokens = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("in_block").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    if len(tokens) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    tokens = {r["source"]: int(r["n"] or 0) for r in sums}
     plan = plan_mixture(tokens, ratio, max_passes, entropy)
-
-    spark = docs.sparkSession
-    table = [
-        (s, plan.weights[s], plan.budgets[s] // n if n else 1, plan.budgets[s] % n if n else 0) for s, n in tokens.items()
-    ]
-    shares = spark.createDataFrame(table, "source string, weight double, whole bigint, rest bigint")
-    # Blocks in the order of the last pass; at most `blocks` of each source, so one source is a bounded window.
-    order = Window.partitionBy("source").orderBy("block_turn", "block")
-    per_block = (
-        rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block"))
+    # So many cells at most are broadcast, however many sources there are.
+    blocks = max(CELLS // MAX_SOURCES, min(BLOCKS, CELLS // max(1, len(tokens))))
+
+    shares = spark.createDataFrame(
+        [(s, plan.weights[s], plan.budgets[s] // n if n else 1, plan.budgets[s] % n if n else 0) for s, n in tokens.items()],
+        "source string, weight double, whole bigint, rest bigint",
+    )
+    order = Window.partitionBy("source").orderBy("block_turn", "block")  # a source has `blocks` rows
+    cells = (
+        sums.groupBy("source", (F.col("block") % blocks).alias("block")).agg(F.sum("in_block").alias("in_block"))
         .withColumn("block_turn", _digit(F.col("block").cast("string"), F.lit(seed), F.coalesce("source", F.lit(""))))
         .withColumn("before", F.sum("in_block").over(order) - F.col("in_block"))
+        .alias("b").join(F.broadcast(shares).alias("s"), F.col("s.source").eqNullSafe(F.col("b.source")))
+        .select(F.col("b.source").alias("of"), F.col("block").alias("cell"), "weight", "whole", (F.col("rest") - F.col("before")).alias("room"), "in_block")
     )
-    same = F.col("s.source").eqNullSafe(F.col("b.source"))
-    cells = per_block.alias("b").join(F.broadcast(shares).alias("s"), same).select("b.source", "block", "in_block", "before", "weight", "whole", "rest")
-    cells = cells.withColumn("room", F.col("rest") - F.col("before"))
-    # Broadcast: at most `blocks` rows for each of the counted sources.
-    cells = F.broadcast(cells) if len(tokens) * blocks <= 1 << 18 else cells
-    joined = rows.alias("r").join(cells.alias("c"), (F.col("r.block") == F.col("c.block")) & F.col("r.source").eqNullSafe(F.col("c.source")))
-    joined = joined.select("r.id", "r.source", "n_tokens", "r.block", "turn", "weight", "whole", "room", "in_block")
+    rows = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"), source.alias("source"), key.alias("key"), tokens_of.alias("n_tokens"),
+        (fine % blocks).alias("block"), _digit(key, F.lit(seed), F.lit("turn")).alias("turn"),
+    )
+    rows = rows.join(F.broadcast(cells), (F.col("block") == F.col("cell")) & F.col("source").eqNullSafe(F.col("of")))
     # Only the block in which the rest ends needs an order of its documents.
-    split = (F.col("room") > 0) & (F.col("room") < F.col("in_block"))
-    inside = Window.partitionBy("source", "block").orderBy("turn", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    part = joined.where(split).withColumn("more", (F.sum("n_tokens").over(inside) <= F.col("room")).cast("bigint"))
-    full = joined.where(~split).withColumn("more", ((F.col("room") > 0) & (F.col("in_block") <= F.col("room"))).cast("bigint"))
-    out = part.unionByName(full)
-    return out.select("id", "source", "n_tokens", "weight", "block", "turn", (F.col("whole") + F.col("more")).alias("passes")), plan
-
-
-def draws(mixture: DataFrame, seed: str = "mix") -> DataFrame:
-    """Every reading of every document: (id, source, pass, block_turn, turn), to be read in
-    the order of the last three. The blocks of a source have a new order in each pass."""
-    each = mixture.where("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes"))))
-    name = F.coalesce("source", F.lit(""))
-    turn = _digit(F.col("block").cast("string"), F.lit(seed), name, F.col("pass").cast("string"))
-    return each.select("id", "source", "pass", turn.alias("block_turn"), "turn")
-
+    ends = (F.col("room") > 0) & (F.col("room") < F.col("in_block"))
+    inside = Window.partitionBy("source", "block").orderBy("turn", "key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    part = rows.where(ends).withColumn("more", (F.sum("n_tokens").over(inside) <= F.col("room")).cast("bigint"))
+    full = rows.where(~ends).withColumn("more", ((F.col("room") > 0) & (F.col("in_block") <= F.col("room"))).cast("bigint"))
+    passes = (F.col("whole") + F.col("more")).alias("passes")
+    found = F.struct("n_tokens", "weight", "block", "turn", passes)
+    return part.unionByName(full).select(*[F.col("row")[c].alias(c) for c in docs.columns], found.alias(name)), name, plan
+
+
+def draws(mixed: DataFrame, name: str, source_col: str = "source", seed: str = "mix") -> tuple[DataFrame, str]:
+    """A mixture's documents, once for each reading, with a struct column and its name: pass,
+    block_turn and turn, in whose order they are read. The blocks of a source have a new
+    order in each pass."""
+    order = fresh(mixed, "reading")
+    each = mixed.withColumn(order, F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(col(name)["passes"], F.lit(1)))))
+    each = each.where(col(order) <= col(name)["passes"])
+    source = F.coalesce(col(source_col).cast("string"), F.lit(""))
+    turn = _digit(col(name)["block"].cast("string"), F.lit(seed), source, col(order).cast("string"))
+    return each.withColumn(order, F.struct(col(order).alias("pass"), turn.alias("block_turn"), col(name)["turn"].alias("turn"))), order

@@ -9,6 +9,7 @@ from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.mixing import mix_sources
 from tabulon.llm.neardup import near_duplicates
+from tabulon.llm.sharding import assign, number_slots
 
 HELD_OUT_FOLDS = 5
 
@@ -17,10 +18,10 @@ MAX_PASSES = 1.25
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    mixture, plan = mix_sources(table(spark, folder, "documents"), ratio=1.0, max_passes=MAX_PASSES)
-    return mixture.select(
-        F.col("id").alias("doc_id"), "source", "n_tokens", F.lit(plan.exponent).alias("exponent"), "weight", "block", "turn", "passes"
-    )
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    mixed, name, plan = mix_sources(docs, ratio=1.0, max_passes=MAX_PASSES)
+    fields = ["n_tokens", "weight", "block", "turn", "passes"]
+    return mixed.select("doc_id", "source", F.lit(plan.exponent).alias("exponent"), *[col(name)[f].alias(f) for f in fields])
 
 
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +36,16 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def shard_rows(docs: DataFrame) -> DataFrame:
+    found, name = assign(docs.select("doc_id", "text"))
+    numbered = number_slots(found.select("doc_id", col(name)["size"].alias("size"), col(name)["text_crc32"].alias("text_crc32"), col(name)["shard"].alias("shard")), "doc_id")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_rows(table(spark, folder, "documents"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), HELD_OUT_FOLDS) == 0
@@ -114,5 +125,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op9_language": op9_language}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
