@@ -24,7 +24,7 @@ ORDER = 4
 ROWS_PER_LANGUAGE = 4000  # about so many labelled rows of each language are learned from
 GRAMS_PER_LANGUAGE = 200_000  # of the highest order; beyond it, the rarest counts go first
 CALIBRATION = 8  # one sample row in so many sets the limits and is not counted
-SLACK = 1.15  # the limit, in times the largest cross-entropy of such a row
+SLACK = 2.0  # the limit, in times the largest cross-entropy of such a row: text in two languages passes
 SHORT = 20  # texts of fewer characters are never rejected for their cross-entropy
 EVIDENCE = 50  # characters that count as independent in the score
 RESULT = "lang string, score double, cross_entropy double, n_symbols bigint, rejected boolean"
