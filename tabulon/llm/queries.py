@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulon.llm import langid
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
+from tabulon.llm.exactdup import deduplicate
 from tabulon.llm.mixing import mix_sources
 from tabulon.llm.neardup import near_duplicates
 from tabulon.llm.sharding import assign, number_slots
@@ -31,6 +32,10 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[col(name)[f].alias(f) for f in fields])
 
 
+def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return deduplicate(spark, f"{folder.rstrip('/')}/documents.parquet").withColumnRenamed("id", "doc_id")
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"), shingle=4)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -125,5 +130,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language}
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
+OP4_SQL = f"""
+WITH docs AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM docs WINDOW same AS (PARTITION BY t)
+"""
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_exact_dedup": op4_exact_dedup, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}
