@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import langid
+from tabulon.llm import langid, ngramlm
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.exactdup import deduplicate
@@ -63,6 +63,20 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LM_FOLDS = 10
+
+
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), LM_FOLDS) == 0
+    model = ngramlm.fit(docs.where(~held_out))
+    found = ngramlm.score(docs, model, extra=held_out)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("extra").alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+    )
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A-Z only; DuckDB's lower() would change other letters too.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,5 +151,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM docs WINDOW same AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_exact_dedup": op4_exact_dedup, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_exact_dedup": op4_exact_dedup, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}
