@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import langid, ngramlm
+from tabulon.llm import langid, ngramlm, quality
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.exactdup import deduplicate
@@ -32,6 +32,19 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[col(name)[f].alias(f) for f in fields])
 
 
+QUALITY_THRESHOLD = 0.3
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), HELD_OUT_FOLDS) == 0
+    model = quality.fit(docs, table(spark, folder, "labels").where(~held_out))
+    found, name = quality.classify(docs, model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), col(name).alias("score"), (col(name) >= QUALITY_THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicate(spark, f"{folder.rstrip('/')}/documents.parquet").withColumnRenamed("id", "doc_id")
 
@@ -151,5 +164,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM docs WINDOW same AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op4_exact_dedup": op4_exact_dedup, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}
