@@ -10,6 +10,7 @@ from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.exactdup import deduplicate
 from tabulon.llm.mixing import mix_sources
 from tabulon.llm.neardup import near_duplicates
+from tabulon.llm.secrets import find_secrets, span_names
 from tabulon.llm.sharding import assign, number_slots
 
 HELD_OUT_FOLDS = 5
@@ -49,6 +50,16 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicate(spark, f"{folder.rstrip('/')}/documents.parquet").withColumnRenamed("id", "doc_id")
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(span_names(F.col("base")), 256).alias("base_sha256"),
+        span_names(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"), shingle=4)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -164,5 +175,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM docs WINDOW same AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}
