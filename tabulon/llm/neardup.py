@@ -1,16 +1,22 @@
 """Near-duplicate documents by an inverted join over MinHash signature coordinates.
 
-Each distinct set of word shingles gets a signature of `COORDINATES` values. Two sets
-alike enough agree in at least `MATCHES` of them, so they share one of the first
-COORDINATES - MATCHES + 1 coordinate-value pairs in any order that all sets use: only
-these are posted, rarest first, which keeps the long lists of common values unmerged
-(they are looked up in the signatures of the few pairs that the short lists yield).
-Pairs with enough matches are confirmed on the full sets.
+The signature is one-permutation MinHash: a shingle's hash names a coordinate (its leading
+32 bits) and a value (the others), and each coordinate keeps its least value. So many
+coordinates lose next to nothing: two sets of similarity s agree in as many coordinates as
+they share shingles, but for the few that share a coordinate by chance (`hidden`, counted).
+
+Two sets of a and b shingles are alike enough only if they share at least
+percent / (100 + percent) * (a + b). A document is posted under its rarest coordinate-value
+pairs only, in one order that all documents use: as many as it takes for two such documents
+to meet. Values that a sketch of the corpus shows to be frequent come last, so their long
+lists are hardly merged. In a list, the places of the pair in both orders bound the matches
+still possible; a pair of documents is kept only if that bound reaches the threshold, and
+is then confirmed on the full sets.
 
 A list is never expanded into all its pairs. Each round picks hubs in every list whose
-members are not yet one component, tests all others against the hubs, and merges. A
-tested hub leaves the list. The rounds end when no list holds two components, so every
-pair is either tested or inside one component.
+members are not yet one component, those that have the fewest pairs before this one, tests
+all others against the hubs, and merges. A tested hub leaves the list. The rounds end when
+no list holds two components, so every pair is either tested or inside one component.
 """
 
 from __future__ import annotations
@@ -19,23 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulon.llm.common import col, cut
 from tabulon.llm.words import U, mix, text_blocks, word_keys
 
 SHINGLE = 5
 PERCENT = 80
-# Two sets of similarity 0.8 agree in fewer than 12 of 32 coordinates about once in 10^7.
-COORDINATES = 32
-MATCHES = 12
-SKETCH_BITS = 20  # cells of the frequency sketch that orders the coordinate-value pairs
-SKETCH_LEAST = 4  # a task reports a cell from so many on: only frequent values matter
+COORDINATE_BITS = 32
+# Two sets of similarity 0.8 agree in fewer than 32 of 64 independent minima about once in 10^8.
+CHECKS = 64
+AGREE = 32
+SKETCH_BITS = 21  # cells of the frequency sketch that orders the coordinate-value pairs
+SKETCH_LEAST = 8  # a task reports a cell from so many above four times the mean on: only frequent values matter
+SKETCH_HELD = 1 << 20  # shingles that a task gathers before it counts them
+HOT = 100_000  # a list that the sketch holds for longer is looked at in parts
 HUBS = 8  # hubs by list: 1 in the first round, then 8, 64, ...
 BROADCAST_ROWS = 500_000  # tables counted to have no more rows of a few numbers may be broadcast
 
-_FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
-
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator[np.ndarray]:
     """For each text of a block the sorted distinct hashes of its word shingles. A text of
@@ -60,37 +67,69 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the least product with each factor."""
-    least = np.full(COORDINATES, ~U(0), dtype=np.uint64)
+    """The coordinate-value pairs of a sorted set: the first of those with equal leading bits."""
+    coordinate = hashes >> U(64 - COORDINATE_BITS)
+    return hashes[np.flatnonzero(np.concatenate([[True], coordinate[1:] != coordinate[:-1]]))] if len(hashes) else hashes
+
+
+_FACTORS = mix(np.arange(1, CHECKS + 1, dtype=np.uint64) * U(0xA0761D6478BD642F)) | U(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The upper 16 bits of the least product of the set with each factor."""
+    least = np.full(CHECKS, ~U(0), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 2048):
-            products = hashes[at : at + 2048, None] * _FACTORS[None, :]
+        for at in range(0, len(hashes), 1024):
+            products = hashes[at : at + 1024, None] * _FACTORS[None, :]
             np.minimum(least, products.min(axis=0), out=least)
-    return (least >> U(32)).astype(np.uint32)
+    return (least >> U(48)).astype(np.uint16)
+
+
+def _cells(pairs: np.ndarray) -> np.ndarray:
+    return (mix(pairs) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+FACTS = "id bigint, n_shingles bigint, set_lo bigint, set_hi bigint, cell bigint, seen bigint, minima binary"
 
 
 def _describe(length: int):
-    """(id, text) to (id, n_shingles, set_lo, set_hi, signature): the set's size, two sums
-    that name it, and its signature as bytes."""
+    """(id, text) to (id, n_shingles, set_lo, set_hi, minima), the set's size, two sums that
+    name it, and its independent minima, and at the end of a task to (cell, seen) for the cells with frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, total = np.zeros(1 << SKETCH_BITS, dtype=np.int32), 0
+        held, n_held = [], 0
         for batch in batches:
-            n, low, high, signatures = [], [], [], []
-            with np.errstate(over="ignore"):
-                for _, offsets, data in text_blocks(batch.column(1)):
-                    for hashes in shingle_sets(offsets, data, length):
-                        n.append(len(hashes))
-                        low.append(int(mix(hashes).sum(dtype=np.uint64).astype(np.int64)))
-                        high.append(int(mix(hashes ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                        signatures.append(signature(hashes).tobytes() if len(hashes) else b"")
+            n, low, high, least = [], [], [], []
+            for _, offsets, data in text_blocks(batch.column(1)):
+                for hashes in shingle_sets(offsets, data, length):
+                    n.append(len(hashes))
+                    low.append(int(mix(hashes).sum(dtype=np.uint64).astype(np.int64)))
+                    high.append(int(mix(hashes ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+                    least.append(minima(hashes).tobytes())
+                    held.append(hashes)
+                    n_held += len(hashes)
+                if n_held > SKETCH_HELD:
+                    cells += np.bincount(_cells(np.concatenate(held)), minlength=len(cells)).astype(np.int32)
+                    held, n_held, total = [], 0, total + n_held
+            none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signatures, pa.binary())],
-                names=["id", "n_shingles", "set_lo", "set_hi", "signature"],
+                [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, low, high)], none, none, pa.array(least, pa.binary())], schema=_facts_schema()
             )
+        if held:
+            cells += np.bincount(_cells(np.concatenate(held)), minlength=len(cells)).astype(np.int32)
+        at = np.flatnonzero(cells >= SKETCH_LEAST + 4 * (total + n_held) // len(cells))
+        none = pa.nulls(len(at), pa.int64())
+        found = [pa.array(at, pa.int64()), pa.array(cells[at], pa.int64()), pa.nulls(len(at), pa.binary())]
+        yield pa.RecordBatch.from_arrays([none] * 4 + found, schema=_facts_schema())
 
     return run
 
 
+def _facts_schema() -> pa.Schema:
+    return pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in FACTS.split(", ")])
+
+
 def _hash_sets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,39 +144,39 @@ def _hash_sets(length: int):
     return run
 
 
-def _pairs_of(signatures: pa.Array) -> np.ndarray:
-    """The coordinate-value pairs of each signature as numbers, one row each."""
-    values = np.frombuffer(b"".join(s.as_py() for s in signatures), dtype=np.uint32).reshape(-1, COORDINATES)
-    return values.astype(np.uint64) | (np.arange(COORDINATES, dtype=np.uint64) << U(32))
+POSTS = "pair bigint, part int, id bigint, n int, place int, hidden int"
 
 
-def _cells(pairs: np.ndarray) -> np.ndarray:
-    return (mix(pairs) >> U(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for batch in batches:
-        if len(batch):
-            counts += np.bincount(_cells(_pairs_of(batch.column(0))).ravel(), minlength=len(counts))
-    at = np.flatnonzero(counts >= SKETCH_LEAST)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["cell", "n"])
-
-
-def _post(shared):
-    """(id, signature) to (pair, id) for the first COORDINATES - MATCHES + 1 pairs, rarest first."""
+def _post(shared, length: int, percent: int):
+    """(id, text) to the posts of each text: the coordinate-value pair, the part of its list,
+    the set's size, how many pairs stand before this one, and the shingles that share a
+    coordinate with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        cell, seen = shared.value
+        often = np.zeros(1 << SKETCH_BITS, dtype=np.uint64)
+        often[cell] = np.minimum(seen, (1 << 24) - 1).astype(np.uint64)
         for batch in batches:
-            if not len(batch):
-                continue
-            pairs = _pairs_of(batch.column(1))
-            rank = (np.minimum(often[_cells(pairs)], 0x7FFFFFFF).astype(np.uint64) << U(32)) | (mix(pairs) & U(0xFFFFFFFF))
-            first = np.argsort(rank, axis=1, kind="stable")[:, : COORDINATES - MATCHES + 1]
-            posted = np.take_along_axis(pairs, first, axis=1).ravel().view(np.int64)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), first.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(posted, pa.int64()), pa.array(ids, pa.int64())], names=["pair", "id"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, offsets, data in text_blocks(batch.column(1)):
+                pairs, parts, owner, sizes, places, hidden = [], [], [], [], [], []
+                for i, hashes in enumerate(shingle_sets(offsets, data, length)):
+                    own = signature(hashes)
+                    n = len(hashes)
+                    # A set alike enough is at most so large; by chance it may hide a few shingles too.
+                    chance = (n * 100 / percent) ** 2 / 2 ** (COORDINATE_BITS + 1)
+                    spare = 1 + (int(chance + 6 * chance**0.5) if chance > 1e-3 else 0)
+                    count = min(len(own), n - -(-percent * n // 100) + 1 + spare)
+                    known = often[_cells(own)]
+                    first = np.argsort((known << U(40)) | (mix(own) >> U(24)), kind="stable")[:count]
+                    pairs.append(own[first].view(np.int64))
+                    parts.append((mix(hashes[:1])[0] % (known[first] // U(HOT) + U(1))).astype(np.int32) if n else np.zeros(0, np.int32))
+                    owner.append(np.full(count, ids[row + i]))
+                    sizes.append(np.full(count, n, dtype=np.int32))
+                    places.append(np.arange(count, dtype=np.int32))
+                    hidden.append(np.full(count, n - len(own), dtype=np.int32))
+                columns = [np.concatenate(x) for x in (pairs, parts, owner, sizes, places, hidden)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in POSTS.split(", ")])
 
     return run
 
@@ -164,20 +203,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hubs(active: DataFrame, count: int) -> DataFrame:
-    """Up to `count` hubs (pair, hub, hub_component) of each list, from as many components
-    as can be: the least ids of its components. Long lists are cut down in salted parts first."""
+    """Up to `count` hubs of each list, from as many components as can be: of each, the
+    member with the fewest pairs before this one. Long lists are cut down in salted parts first."""
+    best = F.min(F.struct("place", "id", "n", "hidden")).alias("hub")
     if count == 1:
-        best = F.min(F.struct("component", "id")).alias("m")
-        return active.groupBy("pair").agg(best).select("pair", F.col("m.id").alias("hub"), F.col("m.component").alias("hub_component"))
-    from pyspark.sql import Window
-
-    firsts = active.groupBy("pair", "component").agg(F.min("id").alias("hub")).withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(64)))
+        firsts = active.groupBy("pair").agg(F.min(F.struct("place", "id", "n", "hidden", "component")).alias("hub"))
+        return firsts.select("pair", "hub", F.col("hub.component").alias("hub_component"))
+    firsts = active.groupBy("pair", "component").agg(best).withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(64)))
     for keys in (["pair", "salt"], ["pair"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("component"))
-        firsts = firsts.withColumn("place", place).where(F.col("place") <= count).drop("place")
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hub"))
+        firsts = firsts.withColumn("rank", rank).where(F.col("rank") <= count).drop("rank")
     return firsts.select("pair", "hub", F.col("component").alias("hub_component"))
 
 
+def _may_match(percent: int):
+    """Whether a member and a hub can still share enough: sizes first, then the matches that
+    the places of this pair leave possible on either side."""
+    least = F.col("n") + F.col("hub.n")
+    return (
+        (F.col("component") != F.col("hub_component"))
+        & (100 * F.least("n", F.col("hub.n")) >= percent * F.greatest("n", F.col("hub.n")))
+        & ((100 + percent) * (F.col("n") - F.col("place") + F.col("hub.hidden")) >= percent * least)
+        & ((100 + percent) * (F.col("hub.n") - F.col("hub.place") + F.col("hidden")) >= percent * least)
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -191,60 +241,58 @@ def near_duplicates(
 
     Null and empty texts and texts without words have no shingles and are linked with
     nothing. Rows of one id are one node: they share a component. Rows without an id
-    take no part, get no component and are kept. Other columns are not looked at. The
-    signature is laid out for similarities of 0.8 and more: a smaller `percent` raises.
+    take no part, get no component and are kept. Other columns are not looked at.
     """
-    if percent < 80:
-        raise ValueError("the signature holds for percent >= 80")
+    if not 80 <= percent <= 100:
+        raise ValueError("the minima are laid out for percent from 80 to 100")
     spark = docs.sparkSession
     rows = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
-    facts = cut(rows.mapInArrow(_describe(shingle), "id bigint, n_shingles bigint, set_lo bigint, set_hi bigint, signature binary"), "signatures")
+    described = cut(rows.mapInArrow(_describe(shingle), FACTS), "facts")
+    facts = described.where(F.col("n_shingles").isNotNull()).drop("cell", "seen")
     named = facts.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     # Rows with one set are one class; its least id stands for it. Rows of one id tie classes together.
-    classes = cut(
-        named.groupBy("set_lo", "set_hi").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("signature").alias("signature")), "classes"
-    )
+    classes = cut(named.groupBy("set_lo", "set_hi").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("minima").alias("minima")), "classes")
     same_id = (
         named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
         .join(named.select("id", "set_lo", "set_hi"), "id").join(classes, ["set_lo", "set_hi"])
         .where(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     )
 
-    often = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in classes.select("signature").mapInArrow(_sketch, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        often[r["cell"]] = r["n"]
-    shared = spark.sparkContext.broadcast(often)
-    posted = classes.select(F.col("rep").alias("id"), "signature").mapInArrow(_post(shared), "pair bigint, id bigint")
-    several = posted.groupBy("pair").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") < F.col("most")).select("pair")
-    lists = cut(posted.join(several, "pair").distinct(), "lists")
+    sketch = described.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
+    shared = spark.sparkContext.broadcast((sketch["cell"].to_numpy(), sketch["seen"].to_numpy()))
+    heads = classes.select(F.col("rep").alias("id")).distinct()
+    least = classes.select(F.col("rep").alias("id"), "minima")
+    posted = rows.join(small(heads, heads.count()), "id", "left_semi").mapInArrow(_post(shared, shingle, percent), POSTS)
+    # Only lists with two members or more are merged; the parts of a long one certainly belong to such a list.
+    part = Window.partitionBy("pair", "part")
+    several = (F.min("id").over(part) != F.max("id").over(part)) | (F.max("part").over(part) > 0)
+    lists = cut(posted.withColumn("several", several).where("several").drop("several", "part").distinct(), "lists")
 
-    signatures = classes.select(F.col("rep").alias("id"), "signature")
     links = cut(same_id, "links")
-    labels, hubs = None, 1
+    labels = components(links)
+    n_labels, hubs = labels.count(), 1
     while True:
-        if labels is None:
-            active = lists.withColumn("component", F.col("id"))
-        else:
-            known = lists.join(small(labels, n_labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = known.groupBy("pair").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most"))
-            active = lists = cut(known.join(open_.select("pair"), "pair"), "lists")
-            lists = lists.drop("component")
-            if active.isEmpty():
-                break
+        known = lists.join(small(labels, n_labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = known.groupBy("pair").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most"))
+        active = cut(known.join(open_.select("pair"), "pair", "left_semi"), "lists")
+        if active.isEmpty():
+            break
         chosen = cut(_hubs(active, hubs), "hubs")
         pairs = (
-            active.join(chosen, "pair").where(F.col("component") != F.col("hub_component"))
-            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            active.join(chosen, (active["pair"] == chosen["pair"]) & _may_match(percent))
+            .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         )
-        matched = (
-            pairs.join(signatures.withColumnsRenamed({"id": "a", "signature": "sa"}), "a")
-            .join(signatures.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
-            .where(_matches() >= MATCHES).select("a", "b").distinct()
+        alike = (
+            pairs.join(least.withColumnsRenamed({"id": "a", "minima": "least_a"}), "a")
+            .join(least.withColumnsRenamed({"id": "b", "minima": "least_b"}), "b")
+            .where(_agreeing() >= AGREE).select("a", "b").distinct()
         )
-        links = cut(links.union(_confirmed(rows, cut(matched, "matched"), shingle, percent)).distinct(), "links")
-        labels = components(links)
-        n_labels = labels.count()
-        lists = lists.join(chosen.select("pair", F.col("hub").alias("id")), ["pair", "id"], "left_anti")
+        found = cut(_confirmed(rows, cut(alike, "pairs"), shingle, percent), "found")
+        if not found.isEmpty():
+            links = cut(links.union(found).distinct(), "links")
+            labels = components(links)
+            n_labels = labels.count()
+        lists = active.drop("component").join(chosen.select("pair", F.col("hub.id").alias("id")), ["pair", "id"], "left_anti")
         hubs *= HUBS
 
     # From a class to its component; classes that nothing links keep their least id.
@@ -258,9 +306,9 @@ def near_duplicates(
     return out.select("id", "n_shingles", component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _matches():
-    """Coordinates in which the signatures sa and sb agree."""
-    same = [F.substring("sa", 4 * k + 1, 4) == F.substring("sb", 4 * k + 1, 4) for k in range(COORDINATES)]
+def _agreeing():
+    """How many of the minima least_a and least_b are equal."""
+    same = [F.substring("least_a", 2 * k + 1, 2) == F.substring("least_b", 2 * k + 1, 2) for k in range(CHECKS)]
     return sum((s.cast("int") for s in same[1:]), same[0].cast("int"))
 
 
