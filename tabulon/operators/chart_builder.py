@@ -131,12 +131,13 @@ def grouped_box(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def grouped_histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> DataFrame:
-    """Counts per group over shared equal-width bins."""
+    """Counts per group over shared equal-width bins of the finite values."""
     require(df, group, value)
-    v = as_double(df, value)
+    every_value = as_double(df, value)
+    v = F.when(F.abs(every_value) < F.lit(float("inf")), every_value)
     seen = df.agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
     if seen["low"] is None:
-        raise AnalysisError(f"Column {value!r} is empty")
+        raise AnalysisError(f"Column {value!r} has no finite value")
     width = (seen["high"] - seen["low"]) / bins
     place = F.lit(0) if width == 0 else F.least(F.floor((v - F.lit(seen["low"])) / F.lit(width)), F.lit(bins - 1))
     slim = df.filter(v.isNotNull()).select(label(df, group).alias("label"), place.cast("int").alias("bin"))

@@ -14,6 +14,7 @@ from tabulon.functions.columns import (
     as_double,
     as_text,
     col,
+    groupable,
     is_missing,
     is_numeric,
     numeric_columns,
@@ -50,12 +51,17 @@ def _moments(df: DataFrame, column: str) -> dict:
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """Equal-width bins, the last one closed, with the column's mean and median."""
+    """Equal-width bins over the finite values, the last one closed, with the column's mean
+    and median and the number of infinite values."""
     m = _moments(df, column)
-    low, high = m["low"], m["high"]
+    every_value = as_double(df, column)
+    v = F.when(F.abs(every_value) < F.lit(math.inf), every_value)
+    seen = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(every_value).alias("n"), F.count(v).alias("finite")).first()
+    low, high = seen["low"], seen["high"]
+    if low is None:
+        raise AnalysisError(f"Column {column!r} has no finite value")
     width = (high - low) / bins
     median = exact_quantiles(df, [column], [0.5])[column][0.5]
-    v = as_double(df, column)
     place = F.lit(0) if width == 0 else F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     counts = df.filter(v.isNotNull()).groupBy(place.cast("int").alias("bin")).count()
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -66,6 +72,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
         F.coalesce("count", F.lit(0)).alias("count"),
         F.lit(m["mean"]).alias("mean"),
         F.lit(median).alias("median"),
+        F.lit(seen["n"] - seen["finite"]).cast("long").alias("infinite"),
     )
 
 
@@ -152,15 +159,18 @@ def category_counts(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     return top.withColumn("percent", F.round(F.col("count") / F.lit(total) * 100, 1))
 
 
-def missing_matrix(df: DataFrame, order_by: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Missing-cell indicators of columns with gaps, every ``n // 200``-th row by order."""
+def missing_matrix(
+    df: DataFrame, order_by: Sequence[str], rows_per_task: int = ROWS_PER_TASK, points: int = 200
+) -> DataFrame:
+    """Missing-cell indicators of columns with gaps, every ``n // points``-th row by order:
+    the picture has about so many lines."""
     require(df, *order_by)
     aggs = [F.count_if(is_missing(df, n)).alias(f"m{i}") for i, n in enumerate(df.columns)]
     row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     gaps = [n for i, n in enumerate(df.columns) if row[f"m{i}"]]
     if not gaps:
         raise AnalysisError("No missing data found")
-    step = max(1, row["n"] // 200) if row["n"] > 200 else 1
+    step = max(1, row["n"] // points)
     slim = df.select(
         *[col(o).alias(f"__o{i}") for i, o in enumerate(order_by)],
         *[is_missing(df, n).cast("int").alias(n) for n in gaps],
@@ -247,7 +257,8 @@ def top_n(
     require(df, category)
     if agg not in AGGREGATES:
         raise AnalysisError(f"agg must be one of {sorted(AGGREGATES)}")
-    n = max(1, min(n, 50))
+    if n < 1:
+        raise AnalysisError("n must be positive")
     rows = df.filter(~is_missing(df, category))
     if value is None:
         grouped = rows.groupBy(col(category)).agg(F.count(F.lit(1)).cast("double").alias("value"))
@@ -321,17 +332,19 @@ def scatter_matrix(
     points: int = 2000,
     key: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Complete rows of a few numeric columns, thinned to ``points`` by a hash of
-    the row key so that the same points come back every time."""
+    """Complete rows of the named numeric columns, or of the ``max_cols`` with the largest
+    variance, thinned to ``points`` by a hash of the row key so that the same points come
+    back every time."""
     numeric = numeric_columns(df)
     if len(numeric) < 2:
         raise AnalysisError("Need at least 2 numeric columns for a scatter matrix")
-    max_cols = max(2, min(max_cols, 6))
+    if max_cols < 2 or points < 1:
+        raise AnalysisError("A scatter matrix needs at least 2 columns and 1 point")
     if columns:
         wrong = [c for c in columns if c not in numeric]
         if wrong:
             raise AnalysisError(f"Columns not found or not numeric: {wrong}")
-        chosen = list(dict.fromkeys(columns))[:max_cols]
+        chosen = list(dict.fromkeys(columns))
     else:
         chosen = [n for n, _ in variance_ranking(df)][:max_cols]
     if len(chosen) < 2:
@@ -373,7 +386,11 @@ def auto_pick(df: DataFrame) -> DataFrame:
         for f in df.schema.fields
         if not is_numeric(f.dataType) and not isinstance(f.dataType, T.BooleanType)
     ]
-    distinct = distinct_non_null(df, others)
+    near = {}
+    if others:  # exact counts only where the estimate comes near the limit
+        row = df.agg(*[F.approx_count_distinct(groupable(df, n)).alias(f"d{i}") for i, n in enumerate(others)]).first()
+        near = {n for i, n in enumerate(others) if row[f"d{i}"] <= 100}
+    distinct = distinct_non_null(df, [n for n in others if n in near])
     fitting = [(k, n) for n, k in distinct.items() if 2 <= k <= 50]
     category = max(fitting)[1] if fitting else None
     ranked = variance_ranking(df) if category else []
@@ -404,7 +421,7 @@ def all_charts(df: DataFrame, order_by: Sequence[str] | None = None) -> dict:
         offer("top_n", lambda: top_n(df, category, value))
         if value is not None:
             offer("waterfall", lambda: waterfall(df, category, value))
-    date = detect_date_column(df, order_by)
+    date = detect_date_column(df)
     if date is not None:
         offer("trend", lambda: trend(df, date, value))
     for f in df.schema.fields:

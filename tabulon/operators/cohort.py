@@ -9,7 +9,7 @@ from tabulon.functions.columns import col, is_missing, require
 from tabulon.functions.parsing import as_timestamp
 from tabulon.plans.results import result_frame
 
-MAX_PERIODS = 400
+MAX_PERIODS = 400  # of a matrix
 FREQUENCIES = {"D": "day", "W": "week", "M": "month", "Q": "quarter"}
 
 
@@ -50,18 +50,14 @@ def cohort(df: DataFrame, entity: str, date: str, freq: str = "M") -> DataFrame:
         col(entity).alias("entity"), period_start(as_timestamp(df, date), freq).alias("period")
     )
     rows = rows.filter(F.col("period").isNotNull())
-    periods = rows.select("period").distinct().limit(MAX_PERIODS + 1).count()
-    if not periods:
+    if rows.isEmpty():
         raise AnalysisError("No valid cohort data after date parsing")
-    if periods > MAX_PERIODS:
-        raise AnalysisError(f"More than {MAX_PERIODS} distinct {freq} periods: try a coarser frequency")
-    per_entity = rows.groupBy("entity").agg(
-        F.min("period").alias("first"), F.collect_set("period").alias("periods")
-    )
-    active = per_entity.select("first", F.explode("periods").alias("period"))
+    pairs = rows.groupBy("entity", "period").agg(F.lit(1).alias("one"))
+    # An entity has a row for each of its periods here, however often it was active.
+    active = pairs.withColumn("first", F.min("period").over(Window.partitionBy("entity")))
     counted = active.groupBy("first", "period").agg(F.count(F.lit(1)).alias("active_users"))
     # Every entity is active in its first period, so that cell is the cohort size.
-    cohort_rows = Window.partitionBy("first")  # at most 400 rows each
+    cohort_rows = Window.partitionBy("first")  # a row for each period
     size = F.max(F.when(F.col("period") == F.col("first"), F.col("active_users"))).over(cohort_rows)
     return counted.withColumn("cohort_size", size).select(
         period_label(F.col("first"), freq).alias("cohort"),
@@ -72,10 +68,15 @@ def cohort(df: DataFrame, entity: str, date: str, freq: str = "M") -> DataFrame:
     )
 
 
-def cohort_matrix(df: DataFrame, entity: str, date: str, freq: str = "M", measure: str = "retention_rate") -> DataFrame:
-    """The same as a matrix: one row per cohort, one column per period index, absent cells null."""
+def cohort_matrix(
+    df: DataFrame, entity: str, date: str, freq: str = "M", measure: str = "retention_rate", max_periods: int = MAX_PERIODS
+) -> DataFrame:
+    """The same as a matrix: one row per cohort, one column per period index, absent cells
+    null. More than ``max_periods`` cohorts raise: the long form has no such bound."""
     long = cohort(df, entity, date, freq)
-    cells = long.select("cohort", "period_index", "cohort_size", measure).collect()  # at most 400 x 400
+    cells = long.select("cohort", "period_index", "cohort_size", measure).limit(max_periods * max_periods + 1).collect()
+    if len({r["cohort"] for r in cells}) > max_periods:
+        raise AnalysisError(f"More than {max_periods} periods: try a coarser frequency or the long form")
     indexes = sorted({r["period_index"] for r in cells})
     table: dict = {}
     for r in cells:

@@ -15,7 +15,7 @@ def domain_codes(df: DataFrame, name: str, code: str, rows_per_task: int = ROWS_
     values = df.select(col(name)).filter(col(name).isNotNull()).distinct()
     size = values.count()
     placed = with_positions(values, [name], name=code, total=size, rows_per_task=rows_per_task)
-    return placed.withColumn(code, (col(code) - 1).cast("int")), size
+    return placed.withColumn(code, (col(code) - 1).cast("long")), size
 
 
 def code_column(

@@ -19,8 +19,7 @@ from tabulon.plans.ranks import discordant_pairs, spearman_r, tie_sums, two_samp
 from tabulon.plans.results import result_frame
 
 ALPHA = 0.05
-MAX_CATEGORIES = 50
-MAX_GROUPS = 50
+NAMED_GROUPS = 20
 EXACT_SIZE = 8
 EXACT_CELLS = 200_000
 SHAPIRO_LIMIT = 5000
@@ -106,59 +105,68 @@ def mann_whitney_u(
 
 def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
     """Observed and expected counts of every pair of categories, zeros included."""
-    rows, cols, observed, total = _contingency(df, first, second)
-    out = []
-    for a, ra in rows.items():
-        for b, cb in cols.items():
-            out.append((a, b, observed.get((a, b), 0), ra * cb / total))
-    return result_frame(df.sparkSession, out, "category1 string, category2 string, observed long, expected double")
+    observed, rows, cols = _counted_pairs(df, first, second)
+    total = F.sum("row_total").over(Window.partitionBy(F.lit(1)))
+    grid = rows.withColumn("total", total).crossJoin(cols)  # the result has a row for each pair
+    found = grid.join(observed, ["a", "b"], "left")
+    return found.select(
+        F.col("a").alias("category1"), F.col("b").alias("category2"), F.coalesce("o", F.lit(0)).cast("long").alias("observed"),
+        (F.col("row_total") * F.col("col_total") / F.col("total")).alias("expected"),
+    )
 
 
-def _contingency(df: DataFrame, first: str, second: str):
+def _counted_pairs(df: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of the pairs that occur, and of either side alone."""
     require(df, first, second)
-    for name in (first, second):
-        kinds = df.filter(~is_missing(df, name)).select(col(name)).distinct().limit(MAX_CATEGORIES + 1).count()
-        if kinds > MAX_CATEGORIES:
-            raise AnalysisError(
-                f"Too many categories for a chi-square test: {name} has more than {MAX_CATEGORIES}"
-            )
     both = df.filter(~is_missing(df, first) & ~is_missing(df, second))
-    counts = both.groupBy(as_text(df, first).alias("a"), as_text(df, second).alias("b")).count().collect()
-    observed = {(r["a"], r["b"]): r["count"] for r in counts}
-    rows: dict[str, int] = {}
-    cols: dict[str, int] = {}
-    for (a, b), k in sorted(observed.items()):
-        rows[a] = rows.get(a, 0) + k
-        cols[b] = cols.get(b, 0) + k
-    cols = dict(sorted(cols.items()))
-    if len(rows) * len(cols) < 4:
-        raise AnalysisError("Insufficient categories for chi-square test")
-    return rows, cols, observed, sum(rows.values())
+    observed = both.groupBy(as_text(df, first).alias("a"), as_text(df, second).alias("b")).agg(F.count(F.lit(1)).alias("o"))
+    rows = observed.groupBy("a").agg(F.sum("o").alias("row_total"))
+    cols = observed.groupBy("b").agg(F.sum("o").alias("col_total"))
+    return observed, rows, cols
 
 
 def chi_square(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Independence of two categorical columns, with Yates' correction for one degree of freedom."""
-    rows, cols, observed, total = _contingency(df, first, second)
-    dof = (len(rows) - 1) * (len(cols) - 1)
-    statistic = 0.0
-    for a, ra in rows.items():
-        for b, cb in cols.items():
-            expected = ra * cb / total
-            gap = abs(observed.get((a, b), 0) - expected)
-            if dof == 1:
-                gap -= min(0.5, gap)
-            statistic += gap * gap / expected
+    """Independence of two categorical columns, with Yates' correction for one degree of freedom.
+
+    From the pairs that occur and the two margins alone: the statistic is
+    n (sum of o^2 / (row total x column total) - 1).
+    """
+    observed, rows, cols = _counted_pairs(df, first, second)
+    observed = observed.persist()
+    try:
+        rows = observed.groupBy("a").agg(F.sum("o").alias("row_total"))
+        cols = observed.groupBy("b").agg(F.sum("o").alias("col_total"))
+        joined = observed.join(rows, "a").join(cols, "b")
+        part = F.col("o") * F.col("o") / F.col("row_total") / F.col("col_total")
+        r = joined.agg(F.sum("o").alias("n"), F.sum(part).alias("s")).first()
+        k1, k2 = rows.count(), cols.count()
+        if k1 * k2 < 4:
+            raise AnalysisError("Insufficient categories for chi-square test")
+        total, dof = r["n"], (k1 - 1) * (k2 - 1)
+        statistic = max(0.0, total * (r["s"] - 1.0)) if dof else 0.0
+        if dof == 1:  # four cells
+            cells = {(c["a"], c["b"]): c["o"] for c in observed.collect()}
+            row_sums = {c["a"]: c["row_total"] for c in rows.collect()}
+            col_sums = {c["b"]: c["col_total"] for c in cols.collect()}
+            statistic = 0.0
+            for a, ra in sorted(row_sums.items()):
+                for b, cb in sorted(col_sums.items()):
+                    expected = ra * cb / total
+                    gap = abs(cells.get((a, b), 0) - expected)
+                    statistic += (gap - min(0.5, gap)) ** 2 / expected
+    finally:
+        observed.unpersist()
     p = special.chi2_upper(statistic, dof) if dof else 1.0
     return result_frame(
         df.sparkSession,
-        [(first, second, statistic if dof else 0.0, p, dof, p < ALPHA, len(rows), len(cols), total)],
-        "column1 string, column2 string, chi2_statistic double, p_value double, degrees_of_freedom int, "
+        [(first, second, statistic, p, dof, p < ALPHA, k1, k2, total)],
+        "column1 string, column2 string, chi2_statistic double, p_value double, degrees_of_freedom long, "
         "significant boolean, categories1 int, categories2 int, n long",
     )
 
 
 def anova(df: DataFrame, numeric: str, group: str) -> DataFrame:
-    """One-way ANOVA over the first 50 groups, by key, that hold at least two values."""
+    """One-way ANOVA over all groups that hold at least two values; the first 20 are named."""
     require(df, numeric, group)
     require_numeric(df, numeric)
     v = as_double(df, numeric)
@@ -167,28 +175,33 @@ def anova(df: DataFrame, numeric: str, group: str) -> DataFrame:
         .groupBy(col(group).alias("g"))
         .agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("v"))
         .filter("n >= 2")
-        .orderBy("g")
-        .limit(MAX_GROUPS)
-        .collect()
+        .persist()
     )
-    if len(groups) < 2:
-        raise AnalysisError("Need at least 2 groups with 2 or more values each for ANOVA")
-    n, k = sum(r["n"] for r in groups), len(groups)
-    mean = sum(r["n"] * r["m"] for r in groups) / n
-    between = sum(r["n"] * (r["m"] - mean) ** 2 for r in groups) / (k - 1)
-    within = sum((r["n"] - 1) * r["v"] for r in groups) / (n - k)
+    try:
+        r = groups.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean")).first()
+        k, n = r["k"], r["n"]
+        if k < 2:
+            raise AnalysisError("Need at least 2 groups with 2 or more values each for ANOVA")
+        away = F.col("m") - F.lit(r["mean"])
+        sums = groups.agg(F.sum(F.col("n") * away * away).alias("between"), F.sum((F.col("n") - 1) * F.col("v")).alias("within")).first()
+        names = [str(g["g"]) for g in groups.orderBy("g").limit(NAMED_GROUPS).collect()]
+    finally:
+        groups.unpersist()
+    between, within = sums["between"] / (k - 1), sums["within"] / (n - k)
     f = between / within if within else None
     p = special.f_upper(f, k - 1, n - k) if f is not None else None
     return result_frame(
         df.sparkSession,
-        [(numeric, group, f, p, p is not None and p < ALPHA, k, [str(r["g"]) for r in groups[:20]])],
+        [(numeric, group, f, p, p is not None and p < ALPHA, k, names)],
         "numeric_column string, group_column string, f_statistic double, p_value double, significant boolean, "
         "n_groups int, group_names array<string>",
     )
 
 
 def normality(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
-    """Shapiro-Wilk on at most 5000 values per column, and Jarque-Bera on all of them.
+    """Shapiro-Wilk on at most 5000 values per column (the test is not defined beyond), and
+    Jarque-Bera on all of them. The verdict rests on all values: on Jarque-Bera where
+    Shapiro-Wilk has seen only a sample.
 
     The sample holds the rows with the smallest hash of ``key`` (repeatable), or
     random ones without a key.
@@ -210,7 +223,9 @@ def normality(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None =
             continue
         s, k = whole[f"s{i}"], whole[f"k{i}"]
         jb = sizes[i] / 6 * (s * s + k * k / 4) if s is not None and k is not None else None
-        out.append((n, w, p, p > ALPHA, taken, jb, special.chi2_upper(jb, 2) if jb is not None else None, sizes[i]))
+        jb_p = special.chi2_upper(jb, 2) if jb is not None else None
+        verdict = p if taken == sizes[i] or jb_p is None else jb_p
+        out.append((n, w, p, verdict > ALPHA, taken, jb, jb_p, sizes[i]))
     if not out and len(columns) == 1:
         raise AnalysisError("Insufficient data")
     return result_frame(
@@ -311,12 +326,12 @@ def correlations_with_p(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def overview(df: DataFrame, key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Normality of the first ten numeric columns; correlations among the first six."""
+    """Normality of all numeric columns; correlations of all their pairs."""
     numeric = numeric_columns(df)
     if not numeric:
         raise AnalysisError("No numeric columns")
-    tests = normality(df, numeric[:10], key)
-    return tests, correlations_with_p(df, numeric[:6])
+    tests = normality(df, numeric, key)
+    return tests, correlations_with_p(df, numeric)
 
 
 def ab_test(

@@ -49,7 +49,8 @@ def insights(table) -> DataFrame:
         return result_frame(p.spark, insight_rows(p), "rule string, level string, measure double, columns array<string>")
 
 
-def suggestion_rows(p: TableProfile, limit: int = 8) -> list[tuple]:
+def suggestion_rows(p: TableProfile) -> list[tuple]:
+    """All suggestions, the most urgent kinds first; callers may cut the list."""
     out = []
 
     def add(key, priority, category, column, title, affected, body):
@@ -62,25 +63,25 @@ def suggestion_rows(p: TableProfile, limit: int = 8) -> list[tuple]:
             f"Remove {p.duplicates:,} duplicate rows ({percent}%)", p.duplicates, {"remove_duplicates": True},
         )
     sparse = sorted((n for n in p.names if p.missing_percent(n) > 5), key=lambda n: -p.missing_percent(n))
-    for n in sparse[:5]:
+    for n in sparse:
         kind, action = ("numeric", "mean") if n in p.numeric else ("categorical", "mode")
         add(
             f"impute-{n}", "high" if p.missing_percent(n) > 30 else "medium", "missing_data", n,
             f"Fill {p.missing_percent(n):.0f}% missing values of {n} with the {action}", p.missing[n],
             {f"impute_{kind}": action, f"impute_{kind}_columns": [n]},
         )
-    for f in sorted(p.outlier_rows, key=lambda f: -f["percent"])[:2]:
+    for f in sorted(p.outlier_rows, key=lambda f: -f["percent"]):
         if f["percent"] > 3:
             add(
                 f"cap-outliers-{f['column']}", "medium", "outliers", f["column"],
                 f"Cap outliers of {f['column']} ({f['percent']:.1f}% affected)", f["count"],
                 {"cap_outliers": True, "outlier_columns": [f["column"]]},
             )
-    for n, *_ in datetime_rows(p)[:2]:
+    for n, *_ in datetime_rows(p):
         add(f"cast-datetime-{n}", "low", "type_cast", n, f"Convert {n} to datetime", None, {"cast_datetime": [n]})
-    for n, _, kind, *_ in numeric_rows(p)[:2]:
+    for n, _, kind, *_ in numeric_rows(p):
         add(f"cast-numeric-{n}", "low", "type_cast", n, f"Convert {n} to {kind}", None, {"cast_numeric": [n]})
-    return out[:limit]
+    return out
 
 
 def cleaning_suggestions(table) -> DataFrame:
@@ -101,7 +102,7 @@ def apply_suggestions(df: DataFrame, rows, order_by=None) -> DataFrame:
     from tabulon.operators.clean import Cleaner
 
     if isinstance(rows, DataFrame):
-        rows = [r["operation"] for r in rows.orderBy("rank").limit(1000).collect()]
+        rows = [r["operation"] for r in rows.orderBy("rank").collect()]  # some for each column
     cleaner = Cleaner(df, order_by=order_by)
     for body in rows:
         cleaner = cleaner.apply(json.loads(body) if isinstance(body, str) else body)

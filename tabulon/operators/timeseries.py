@@ -155,7 +155,7 @@ def decompose(
 
     placed = with_positions(series, ["date"], keys, name="__i", total=longest, rows_per_task=rows_per_task)
     placed = placed.withColumn("__i", F.col("__i") - 1)
-    sized = _join(placed, sizes.filter(F.col("__n") >= 2 * period), keys)
+    sized = _join(placed, sizes, keys)
 
     def averages(spec) -> dict[str, Column]:
         if period % 2:
@@ -169,7 +169,8 @@ def decompose(
     )
     i, n = F.col("__i"), F.col("__n")
     first, last = F.lit(half), n - 1 - half
-    inner = F.when((i >= first) & (i <= last), F.col("__avg"))
+    # A series too short for two seasons keeps its rows, without parts.
+    inner = F.when((i >= first) & (i <= last) & (n >= 2 * period), F.col("__avg"))
     smooth = smooth.withColumn("__inner", inner)
     head = (i >= first) & (i < F.least(first + period, last))
     tail = (i >= F.greatest(first, last - period)) & (i < last)
@@ -214,6 +215,7 @@ def forecast_arima(
 ) -> DataFrame:
     """ARIMA forecasts with intervals, one model per series, models in parallel.
 
+    A series of fewer than 8 timestamps gives one row without step and forecast.
     Fitting walks a series in time order, so a series must fit one task: longer
     ones than ``max_series`` timestamps are refused, not cut.
     """
@@ -237,8 +239,9 @@ def forecast_arima(
         part = part.sort_values("date")
         y = part["value"].to_numpy(dtype=float)
         columns = [*names, "date", "step", "forecast", "lower_ci", "upper_ci", "aic", "bic", "n_observations"]
-        if len(y) < 8:
-            return pd.DataFrame(columns=columns)
+        if len(y) < 8:  # too short for a model: one row that says so
+            short = {c: [None] for c in columns} | {"n_observations": [len(y)]} | {k: [part[k].iloc[0]] for k in names}
+            return pd.DataFrame(short, columns=columns)
         fit = fit_arima(y, p, d, q)
         level, spread = predict(fit, periods)
         z = special.normal_quantile(1 - alpha / 2)

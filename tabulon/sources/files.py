@@ -9,16 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col
 
-INFER_ROWS = 10_000
 WHOLE = r"^[+-]?\d{1,19}$"
 FRACTION = r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
 BOOLEAN = r"^(true|false)$"
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str, infer_rows: int = INFER_ROWS, multiline: bool | None = None
+    spark: SparkSession, path: str, sep: str, multiline: bool | None = None
 ) -> DataFrame:
-    """Header row, types from the first rows, cells that do not fit become null.
+    """Header row, types from all rows: a column is a number or boolean only if every cell is.
 
     Dates stay text. Files are split over tasks unless a quoted cell holds a line
     break; ``multiline=None`` finds that out by looking for a line whose quotes
@@ -31,14 +30,13 @@ def read_delimited(
         path, sep=sep, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"', nullValue="",
         mode="PERMISSIVE",
     )
-    return cast_inferred(raw, infer_rows)
+    return cast_inferred(raw)
 
 
-def cast_inferred(raw: DataFrame, infer_rows: int = INFER_ROWS) -> DataFrame:
-    """Text columns cast to long, double or boolean where the first rows all fit."""
+def cast_inferred(raw: DataFrame) -> DataFrame:
+    """Text columns cast to long, double or boolean where all cells fit, so no cell is lost."""
     if not raw.columns:
         return raw
-    head = raw.limit(infer_rows)
     checks = []
     for i, n in enumerate(raw.columns):
         cell = col(n)
@@ -47,7 +45,7 @@ def cast_inferred(raw: DataFrame, infer_rows: int = INFER_ROWS) -> DataFrame:
             if tag == "w":
                 fits = F.when(cell.isNotNull(), fits & cell.try_cast("long").isNotNull())
             checks.append(F.bool_and(fits).alias(f"{tag}{i}"))
-    row = head.agg(*checks).first()
+    row = raw.agg(*checks).first()
     out = []
     for i, n in enumerate(raw.columns):
         if row[f"w{i}"]:
@@ -100,7 +98,7 @@ def read_json(
             for f in dtype.fields:
                 add(value.getField(f.name), f"{name}.{f.name}", f.dataType)
         elif isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-            out.append(F.to_json(value).alias(name))
+            out.append(F.to_json(value, {"ignoreNullFields": "false"}).alias(name))
         elif nan_as_null and isinstance(dtype, (T.DoubleType, T.FloatType)):
             out.append(F.when(~F.isnan(value), value).alias(name))
         else:
@@ -111,8 +109,9 @@ def read_json(
     return df.select(*out)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Reader chosen by the lower-cased extension; no extension means CSV."""
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Reader chosen by the lower-cased extension; no extension means CSV. Options go to
+    the reader, such as ``lines=True`` for JSON."""
     from tabulon.sources.sqlite import read_sqlite
     from tabulon.sources.xlsx import read_xlsx
 
@@ -130,4 +129,4 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     extension = name.rsplit(".", 1)[1].lower() if "." in name else "csv"
     if extension not in readers:
         raise AnalysisError(f"Unsupported format: {extension}")
-    return readers[extension](spark, path)
+    return readers[extension](spark, path, **options)

@@ -29,13 +29,27 @@ LIMITS = "(SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, (max(o_total
 @query(
     "histogram_order_price",
     f"""SELECT b.i::INT AS bin, {r('any_value(lo + b.i * w)', 2)} AS lower, {r('any_value(lo + (b.i + 1) * w)', 2)} AS upper,
-        count(o_totalprice) AS count, {r('any_value(mean)', 2)} AS mean, {r('any_value(med)', 2)} AS median
+        count(o_totalprice) AS count, {r('any_value(mean)', 2)} AS mean, {r('any_value(med)', 2)} AS median, 0::BIGINT AS infinite
         FROM range(30) AS b(i), {LIMITS} AS l LEFT JOIN orders ON least(floor((o_totalprice - lo) / w), 29) = b.i GROUP BY b.i""",
 )
 def histogram(spark, folder):
     return tidy(charts.histogram(table(spark, folder, "orders"), "o_totalprice"), 2)
 
 
+FINITE = "(SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 30 AS w, (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0) AS lost FROM (SELECT o_totalprice AS v FROM orders WHERE o_orderkey % 97 <> 0))"
+
+
+@query(
+    "histogram_infinite",
+    f"""SELECT b.i::INT AS bin, {r('any_value(lo + b.i * w)', 2)} AS lower, count(o_totalprice) AS count, any_value(lost) AS infinite
+        FROM range(30) AS b(i), {FINITE} AS l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 97 <> 0) ON least(floor((o_totalprice - lo) / w), 29) = b.i
+        GROUP BY b.i""",
+)
+def histogram_infinite(spark, folder):
+    df = table(spark, folder, "orders").selectExpr("CASE WHEN o_orderkey % 97 = 0 THEN double('Infinity') ELSE o_totalprice END AS v")
+    return tidy(charts.histogram(df, "v").select("bin", "lower", "count", "infinite"), 2)
+
+
 KDE_SQL = """WITH m AS (SELECT count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, stddev_samp(c_acctbal) * power(count(*), -0.2) AS h
     FROM customer), g AS (SELECT i::INT AS point, lo + i * (hi - lo) / 199.0 AS x, n, lo, hi, h FROM range(200) AS t(i), m)"""
 
@@ -273,7 +287,7 @@ def date_column(spark, folder):
     df = table(spark, folder, "orders").selectExpr(
         "o_orderkey", "o_orderpriority", "date_format(o_orderdate, 'dd.MM.yyyy') AS day_text", "o_orderstatus"
     )
-    return spark.createDataFrame([(charts.detect_date_column(df, ["o_orderkey"]),)], "date_column string")
+    return spark.createDataFrame([(charts.detect_date_column(df),)], "date_column string")
 
 
 NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]

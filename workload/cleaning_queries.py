@@ -85,10 +85,21 @@ def impute_mode(spark, folder):
     f"SELECT {IDS}, coalesce(l_returnflag, 'missing') AS l_returnflag, {r('coalesce(l_quantity, -1)')} AS l_quantity FROM {GAPPY_SQL}",
 )
 def impute_constant(spark, folder):
-    done = Cleaner(gappy(spark, folder)).impute_constant("missing").impute_constant(-1, ["l_quantity"])
+    done = Cleaner(gappy(spark, folder)).impute_constant("missing", ["l_returnflag"]).impute_constant(-1, ["l_quantity"])
     return tidy(done.df.select(*ID_LIST, "l_returnflag", "l_quantity"))
 
 
+@query(
+    "impute_constant_fraction",
+    f"SELECT {IDS}, {r('coalesce(l_quantity, 0.5)')} AS l_quantity, "
+    f"{r('coalesce((CASE WHEN l_partkey % 5 > 0 THEN l_partkey END)::DOUBLE, 0.5)')} AS part FROM {GAPPY_SQL}",
+)
+def impute_constant_fraction(spark, folder):
+    df = gappy(spark, folder).selectExpr("*", "CASE WHEN l_partkey % 5 > 0 THEN l_partkey END AS part")
+    done = Cleaner(df).impute_constant(0.5, ["l_quantity", "part"])
+    return tidy(done.df.select(*ID_LIST, "l_quantity", "part"))
+
+
 EVENT_GAPS = "(SELECT event_id, user_id, nullif(event_type, 'view') AS event_type, CASE WHEN value > 20 THEN value END AS value FROM events)"
 
 

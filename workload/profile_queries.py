@@ -326,7 +326,7 @@ def parse_frame(spark, folder):
 def _suggest(c: str, pattern: str, share: float, kind: str) -> str:
     return f"""SELECT '{c}' AS "column", {kind} AS suggested_type, {r('hits / n::DOUBLE * 100', 1)} AS confidence FROM (
         SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(v, '{pattern}')) AS hits,
-        count(*) FILTER (WHERE contains(v, '.')) AS dots FROM (SELECT {c} AS v FROM {PARSE_SQL} ORDER BY o_orderkey LIMIT 100))
+        count(*) FILTER (WHERE contains(v, '.')) AS dots FROM (SELECT {c} AS v FROM {PARSE_SQL}))
         WHERE hits / n::DOUBLE > {share}"""
 
 

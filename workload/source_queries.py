@@ -69,17 +69,16 @@ def tsv_round_trip(spark, folder):
 
 
 @query(
-    "csv_bad_cells_become_null",
-    "SELECT o_orderkey, CASE WHEN i >= 12000 AND o_orderpriority = '5-LOW' THEN NULL ELSE o_custkey END AS o_custkey FROM "
-    "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)",
+    "csv_late_text_kept",
+    "SELECT o_orderkey, CASE WHEN o_orderkey >= 1000 AND o_orderpriority = '5-LOW' THEN 'n/a' ELSE o_custkey::VARCHAR END AS o_custkey FROM orders",
 )
-def csv_bad_cells(spark, folder):
+def csv_late_text(spark, folder):
     path = scratch(spark, "csv")
     df = table(spark, folder, "orders").selectExpr(
         "o_orderkey",
-        "CASE WHEN o_orderkey >= 12000 AND o_orderpriority = '5-LOW' THEN 'n/a' ELSE cast(o_custkey AS STRING) END AS o_custkey",
+        "CASE WHEN o_orderkey >= 1000 AND o_orderpriority = '5-LOW' THEN 'n/a' ELSE cast(o_custkey AS STRING) END AS o_custkey",
     )
-    df.orderBy("o_orderkey").coalesce(1).write.csv(path, header=True)
+    df.orderBy("o_orderkey").write.csv(path, header=True)
     return sources.read_csv(spark, path)
 
 
@@ -104,6 +103,17 @@ def json_text(spark, folder):
     return tidy(sources.read_json(spark, customer_json(spark, folder), lines=True), 2)
 
 
+@query(
+    "json_null_keys",
+    """SELECT c_custkey, '{"balance":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE c_nationkey::VARCHAR END || ',"key":' || c_nationkey || '}' AS cell FROM customer""",
+)
+def json_null_keys(spark, folder):
+    path = scratch(spark, "json")
+    cell = "named_struct('balance', CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END, 'key', c_nationkey) AS cell"
+    table(spark, folder, "customer").selectExpr("c_custkey", cell).write.option("ignoreNullFields", "false").json(path)
+    return sources.read_json(spark, path, lines=True)
+
+
 @query(
     "json_flattened",
     JSON_SQL.format(address="""c_nationkey::BIGINT AS "address.key", n_name AS "address.nation\"""", money=r("c_acctbal", 2)),
