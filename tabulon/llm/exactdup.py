@@ -21,6 +21,7 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store takes some MB of disk when empty
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -54,6 +55,8 @@ class StreamingDedup:
         spark = self.spark.newSession()
         for key, value in ROCKSDB.items():
             spark.conf.set(key, value)
+        # A new session has its own settings; the state's partitions are those of the caller's shuffles.
+        spark.conf.set("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))
         schema = self.spark.read.parquet(self.source).schema
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch)
         # A pattern that matches this path alone: only then may it be a single file too.
