@@ -65,6 +65,7 @@ def full_report(table, order_by: list[str] | None = None) -> Report:
 
 
 def _report(p: TableProfile) -> Report:
+    p.load("outlier_rows", "duplicates", "distinct")
     return Report(
         basic_info=p.basic_info(),
         column_analysis=p.column_analysis(),

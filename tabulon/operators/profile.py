@@ -10,16 +10,17 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabulon.functions.columns import TEMPORAL_TYPES, as_double, as_text, col, numeric_columns, string_columns, type_of
-from tabulon.plans.correlations import Moments, pearson, summarise
+from tabulon.plans.correlations import Moments, pearson, summarise_with_edges
 from tabulon.plans.duplicates import duplicate_rows
 from tabulon.plans.layout import spread
-from tabulon.plans.quantiles import exact_quantiles, sketch_columns
+from tabulon.plans.quantiles import exact_quantiles, sketch_probabilities
 from tabulon.plans.results import result_frame, rounded
 from tabulon.plans.value_counts import distinct_and_top
 
@@ -70,6 +71,13 @@ class TableProfile:
             self.work.unpersist()
             del self.__dict__["work"]
 
+    def load(self, *names: str) -> None:
+        """Run passes that do not need each other side by side: none of them alone keeps
+        a cluster busy to its end. The counts come first, which also fills the cache."""
+        if self.rows and self.scalars:
+            with ThreadPoolExecutor(len(names)) as pool:
+                list(pool.map(lambda n: getattr(self, n), names))
+
     def __enter__(self) -> TableProfile:
         return self
 
@@ -78,15 +86,14 @@ class TableProfile:
 
     @cached_property
     def scalars(self) -> dict:
-        """Value and byte counts, and the quantile sketches, in one aggregate."""
-        aggs = {}
+        """Row, value and byte counts in one aggregate."""
+        aggs = {"rows": F.count(F.lit(1))}
         for i, n in enumerate(self.names):
             aggs[f"n{i}"] = F.count(col(n))
             if n in self.numeric or isinstance(type_of(self.df, n), (*TEMPORAL_TYPES, T.BooleanType)):
                 aggs[f"same{i}"] = F.min(col(n)) == F.max(col(n))
             if self._width(n) is None:
                 aggs[f"bytes{i}"] = F.sum(F.octet_length(as_text(self.df, n)))
-        aggs |= sketch_columns(self.df, self.numeric, QUARTILES)
         return self.work.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
 
     def _width(self, name: str) -> int | None:
@@ -169,24 +176,29 @@ class TableProfile:
 
     @cached_property
     def quartiles(self) -> dict[str, dict[float, float | None]]:
-        return exact_quantiles(self.work, self.numeric, QUARTILES, "midpoint", self.scalars)
+        sketch = {}
+        for i, n in enumerate(self.numeric):
+            m = self.moments[n]
+            sketch |= {f"q{i}_n": m.n, f"q{i}_lo": m.low, f"q{i}_hi": m.high, f"q{i}_edges": self._first[2][n]}
+        return exact_quantiles(self.work, self.numeric, QUARTILES, "midpoint", sketch)
 
     @cached_property
     def duplicates(self) -> int:
         return duplicate_rows(self.work)
 
     @cached_property
-    def summary(self) -> tuple[dict[str, Moments], dict[tuple[str, str], tuple]]:
-        return summarise(self.work, self.numeric)
+    def _first(self) -> tuple[dict[str, Moments], dict[tuple[str, str], tuple], dict]:
+        """Moments, pair products and the brackets of the quartiles, in one pass."""
+        return summarise_with_edges(self.work, self.numeric, sketch_probabilities(QUARTILES))
 
     @property
     def moments(self) -> dict[str, Moments]:
-        return self.summary[0]
+        return self._first[0]
 
     @cached_property
     def correlations(self) -> dict[tuple[str, str], float | None]:
         """Pearson r of every numeric pair; None where undefined."""
-        return {pair: pearson(s) for pair, s in self.summary[1].items()}
+        return {pair: pearson(s) for pair, s in self._first[1].items()}
 
     @cached_property
     def outlier_rows(self) -> list[dict]:
@@ -260,6 +272,7 @@ class TableProfile:
         )
 
     def column_analysis(self) -> DataFrame:
+        self.load("quartiles", "distinct")
         out = []
         for n, dtype in self.df.dtypes:
             stats = self.number_stats(n) if n in self.numeric else [None] * 8

@@ -1,7 +1,8 @@
 """Moments of many columns and pairwise-complete products in one pass.
 
 Each task turns its Arrow batches into per-column sums and small k x k matrices
-with numpy; Spark adds them up. One aggregate expression per column and pair
+with numpy; Spark adds them up. The same pass feeds every 32nd of the sorted values to a
+quantile sketch, where quantiles are wanted. One aggregate expression per column and pair
 would grow past what the JVM compiles already at a dozen columns.
 """
 
@@ -17,9 +18,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabulon.functions.columns import as_double
 
+SKETCH_K = 4000
 PARTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 NOISE = 1e-13
 SHIFT_ROWS = 1000
+STRIDE = 32  # a value handed to the sketch stands for so many rows
+SORTED = 8192  # rows sorted together for that
 
 
 @dataclass
@@ -50,10 +54,17 @@ def typical_values(df: DataFrame, names: Sequence[str]) -> list[float]:
 def summarise(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Moments], dict[tuple[str, str], tuple]]:
     """Moments per column, and (n, covariance, deviation x, deviation y) of every
     pair i < j over the rows where both are present."""
+    return summarise_with_edges(df, names, ())[:2]
+
+
+def summarise_with_edges(
+    df: DataFrame, names: Sequence[str], edges: Sequence[float]
+) -> tuple[dict[str, Moments], dict[tuple[str, str], tuple], dict[str, list[float] | None]]:
+    """The same, and per column the sketched quantiles at ``edges``, None for few rows."""
     names = list(names)
     k = len(names)
     if not k:
-        return {}, {}
+        return {}, {}, {}
     centre = np.array(typical_values(df, names))
     slim = df.select(*[as_double(df, n).alias(f"c{i}") for i, n in enumerate(names)])
 
@@ -61,8 +72,14 @@ def summarise(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Moments],
         pairs = np.zeros((6, k, k))
         sums = np.zeros((3, k))
         low, high = np.full(k, np.inf), np.full(k, -np.inf)
+        held: list[np.ndarray] = []
         for batch in batches:
             raw = batch.to_numpy(dtype=float, na_value=np.nan)
+            if edges:
+                held.append(raw)
+                if sum(map(len, held)) >= SORTED:
+                    yield _points(np.concatenate(held))
+                    held = []
             there = ~np.isnan(raw)
             x = np.where(there, raw - centre, 0.0)
             m = there.astype(float)
@@ -77,6 +94,8 @@ def summarise(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Moments],
             pairs[3] += squares.T @ m
             pairs[4] += m.T @ squares
             pairs[5] += x.T @ x
+        if held:
+            yield _points(np.concatenate(held))
         i, j = np.triu_indices(k)
         one = i == j
         yield pd.DataFrame(
@@ -88,10 +107,16 @@ def summarise(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Moments],
                 "cubes": np.where(one, sums[1][i], 0.0),
                 "low": np.where(one, low[i], 0.0),
                 "high": np.where(one, high[i], 0.0),
+                "point": np.nan,
             }
         )
 
-    columns = (*PARTS, "total", "cubes", "low", "high")
+    columns = (*PARTS, "total", "cubes", "low", "high", "point")
+    point = F.when(F.col("j") < 0, F.col("point"))
+    sketched = F.when(
+        F.count(point) > 0,
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(point, SKETCH_K), F.array(*[F.lit(e) for e in edges])),
+    )
     rows = (
         slim.mapInPandas(accumulate, "i int, j int, " + ", ".join(f"{c} double" for c in columns))
         .groupBy("i", "j")
@@ -99,9 +124,12 @@ def summarise(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Moments],
             *[F.sum(c).alias(c) for c in (*PARTS, "total", "cubes")],
             F.min("low").alias("low"),
             F.max("high").alias("high"),
+            *([sketched.alias("edges")] if edges else []),
         )
         .collect()
     )
+    found = {n: None for n in names} | {names[r["i"]]: r["edges"] for r in rows if r["j"] < 0}
+    rows = [r for r in rows if r["j"] >= 0]
     moments = {n: Moments(0, None, None, None, None, None) for n in names}
     pairs = {(a, b): (0, None, None, None) for i, a in enumerate(names) for b in names[i + 1 :]}
     for r in rows:
@@ -118,7 +146,19 @@ def summarise(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Moments],
                 _deviation(n, r["sx"], r["sxx"]),
                 _deviation(n, r["sy"], r["syy"]),
             )
-    return moments, pairs
+    return moments, pairs, found
+
+
+def _points(raw: np.ndarray) -> pd.DataFrame:
+    """Of each column's sorted values the middle one of every STRIDE."""
+    parts = []
+    for i in range(raw.shape[1]):
+        values = np.sort(raw[:, i])[STRIDE // 2 : np.count_nonzero(~np.isnan(raw[:, i])) : STRIDE]  # NaN sorts last
+        parts.append(pd.DataFrame({"i": i, "j": -1, "point": values}))
+    out = pd.concat(parts)
+    for c in (*PARTS, "total", "cubes", "low", "high"):
+        out[c] = 0.0
+    return out[["i", "j", *PARTS, "total", "cubes", "low", "high", "point"]]
 
 
 def _moments(r) -> Moments:

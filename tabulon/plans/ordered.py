@@ -11,14 +11,17 @@ fall changes the balance of the work and never the result. Tables below
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tabulon.functions.columns import col
 
 ROWS_PER_TASK = 2_000_000
-MAX_PIECES = 4096
+MAX_PIECES = 1 << 16
+TREE_POINTS = 32  # so many are compared in a tree of conditions; more in a search whose plan stays small
 SAMPLE_PER_PIECE = 40
 
 PIECE = "__piece"
@@ -49,7 +52,7 @@ def split_points(df: DataFrame, keys: Sequence[str], pieces: int, total: int) ->
 
 
 def piece_column(df: DataFrame, keys: Sequence[str], points: list) -> Column:
-    """Number of split points at or before the row, as a balanced comparison tree."""
+    """Number of split points at or before the row."""
     types = [df.schema[k].dataType for k in keys]
     single = len(keys) == 1 and all(p[0] is not None for p in points)
     if single:
@@ -71,7 +74,26 @@ def piece_column(df: DataFrame, keys: Sequence[str], points: list) -> Column:
             tree(low, middle)
         )
 
-    return tree(0, len(points))
+    if len(points) <= TREE_POINTS:
+        return tree(0, len(points))
+    plain = (T.IntegralType, T.DoubleType, T.StringType, T.DateType, T.TimestampNTZType)
+    if not single and all(isinstance(t, plain) for t in types):  # one text literal is quicker to plan than thousands of numbers
+        rows = [{f"k{i}": v.isoformat() if isinstance(v, date) else v for i, v in enumerate(p) if v is not None} for p in points]
+        schema = T.ArrayType(T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(types)]))
+        sorted_points = F.from_json(F.lit(json.dumps(rows)), schema)
+    else:
+        sorted_points = F.array(*[literal(p) for p in points])
+
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.shiftright(low + high, 1)
+        reached = F.coalesce(key >= F.get(sorted_points, middle), F.lit(False))
+        return F.when(low >= high, state).otherwise(
+            F.struct(F.when(reached, middle + 1).otherwise(low).alias("low"), F.when(reached, high).otherwise(middle).alias("high"))
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(points)).alias("high"))
+    return F.aggregate(F.array(*[F.lit(i) for i in range(len(points).bit_length())]), start, halve)["low"]
 
 
 def cut(

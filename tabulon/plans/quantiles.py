@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.columns import as_double, col, pick
+from tabulon.plans.correlations import SKETCH_K
 from tabulon.plans.ordered import ROWS_PER_TASK, running_sums
 
-SKETCH_K = 4000
 MARGIN = 0.002
 COLLECT_LIMIT = 200_000
 BUCKETS = 4096
@@ -93,7 +93,7 @@ def exact_quantiles(
             continue
         for j, p in enumerate(probs):
             low, high, _ = _rank_pair(count, p)
-            edges = sketch[f"q{i}_edges"]
+            edges = sketch[f"q{i}_edges"] or [sketch[f"q{i}_lo"], sketch[f"q{i}_hi"]] * len(probs)
             for rank in {low, high}:
                 key = (n, rank)
                 if key in targets:

@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.plans.layout import settle
-from tabulon.plans.ordered import MAX_PIECES, ROWS_PER_TASK, piece_column, running_sums, split_points
+from tabulon.plans.ordered import ROWS_PER_TASK, piece_column, running_sums, split_points
 
 BROADCAST_LIMIT = 200_000
 BINS_PER_GROUP = 128
 MAX_DEPTH = 4
+MAX_CUTS = 4096  # of one level on one axis: group numbers of all levels fit a bigint
 
 
 def average_ranks(
@@ -125,7 +126,7 @@ def _discordant(rows: DataFrame, total: int, rows_per_task: int, depth: int) ->
 
     binned = rows
     for side in ("x", "y"):
-        points = _thinned(split_points(rows, ["g", side], min(MAX_PIECES, -(-total // rows_per_task) * 2), total))
+        points = _thinned(split_points(rows, ["g", side], min(MAX_CUTS, -(-total // rows_per_task) * 2), total))
         below = piece_column(rows, ["g", side], points)
         cuts = F.array(*[F.struct(F.lit(p[0]).cast("long").alias("g"), F.lit(p[1]).cast("double").alias("v")) for p in points])
         here = F.struct(F.col("g").alias("g"), F.col(side).alias("v"))
@@ -136,7 +137,7 @@ def _discordant(rows: DataFrame, total: int, rows_per_task: int, depth: int) ->
 
     # Next level: rows sharing an open x bin, and rows sharing an open y bin, where
     # only the x bin still matters. Group numbers stay apart by kind.
-    width = 2 * MAX_PIECES + 2
+    width = 2 * MAX_CUTS + 2
     by_x = binned.filter(F.col("xb") % 2 == 0).select(
         ((F.col("g") * width + F.col("xb")) * 2).alias("g"), "x", "y", "c"
     )

@@ -49,40 +49,39 @@ def distinct_and_top(
 ) -> tuple[dict[str, int], dict[str, list[tuple[str | None, int]]]]:
     """Distinct counts (null counts as a value) and the ``k`` most frequent values.
 
-    Both halves read the same shuffle; at most ``k`` rows per column come back.
+    Columns without a ranking are only counted; the counts of the others are kept while
+    both halves read them. At most ``k`` rows per column come back.
     """
-    if not names:
-        return {}, {}
-    names = list(names)
-    counts = value_counts(df, names)
-    sizes = counts.groupBy("column_index").agg(F.count(F.lit(1)).alias("count")).select(
-        "column_index", F.lit(0).alias("place"), F.lit(None).cast("string").alias("text"), "count"
-    )
-    wanted = [i for i, n in enumerate(names) if n in set(top_for)]
-    frame = sizes
-    if wanted:
-        order = Window.partitionBy("column_index").orderBy(
-            F.col("count").desc(), F.col("text").asc_nulls_first()
-        )
-        shown = F.coalesce(
-            F.col("text"), F.col("whole").cast("string"), F.col("fraction").cast("string")
-        )
-        top = (
-            counts.filter(F.col("column_index").isin(wanted))
-            .select("column_index", shown.alias("text"), "count")
-            .withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= k)
-            .select("column_index", "place", "text", "count")
-        )
-        frame = sizes.unionByName(top)
     distinct = {n: 0 for n in names}
     tops: dict[str, list] = {n: [] for n in top_for}
-    for row in sorted(frame.collect(), key=lambda r: (r["column_index"], r["place"])):
-        name = names[row["column_index"]]
-        if row["place"] == 0:
-            distinct[name] = row["count"]
-        else:
-            tops[name].append((row["text"], row["count"]))
+    plain, ranked = [n for n in names if n not in tops], [n for n in names if n in tops]
+    size = F.count(F.lit(1)).alias("count")
+    if plain:
+        for row in value_counts(df, plain).groupBy("column_index").agg(size).collect():
+            distinct[plain[row["column_index"]]] = row["count"]
+    if ranked:
+        counts = value_counts(df, ranked).persist()
+        try:
+            sizes = counts.groupBy("column_index").agg(size).select(
+                "column_index", F.lit(0).alias("place"), F.lit(None).cast("string").alias("text"), "count"
+            )
+            order = Window.partitionBy("column_index").orderBy(F.col("count").desc(), F.col("text").asc_nulls_first())
+            shown = F.coalesce(F.col("text"), F.col("whole").cast("string"), F.col("fraction").cast("string"))
+            top = (
+                counts.select("column_index", shown.alias("text"), "count")
+                .withColumn("place", F.row_number().over(order))
+                .filter(F.col("place") <= k)
+                .select("column_index", "place", "text", "count")
+            )
+            found = sizes.unionByName(top).collect()
+        finally:
+            counts.unpersist()
+        for row in sorted(found, key=lambda r: (r["column_index"], r["place"])):
+            name = ranked[row["column_index"]]
+            if row["place"] == 0:
+                distinct[name] = row["count"]
+            else:
+                tops[name].append((row["text"], row["count"]))
     return distinct, tops
 
 
