@@ -25,6 +25,16 @@ def test_harmless_sql(orders, text):
     assert sql.run_sql(orders, text).row_count == 1
 
 
+def test_a_view_of_the_caller_survives(spark, orders):
+    spark.range(3).createOrReplaceTempView("df")
+    try:
+        assert sql.run_sql(orders, "SELECT count(*) AS n FROM df").rows[0][0] == orders.count()
+        assert sql.run_sql(orders, "WITH t AS (SELECT 1 AS a) SELECT a, count(*) AS n FROM t, df GROUP BY a").rows[0][1] == orders.count()
+        assert spark.table("df").count() == 3
+    finally:
+        spark.catalog.dropTempView("df")
+
+
 @pytest.mark.parametrize(
     "text",
     [
