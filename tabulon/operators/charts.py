@@ -352,7 +352,7 @@ def scatter_matrix(
     complete = df
     for n in chosen:
         complete = complete.filter(~is_missing(df, n))
-    order = F.xxhash64(*[col(k) for k in (key or df.columns)], F.lit(42))
+    order = F.md5(F.concat_ws(":", *[F.coalesce(as_text(df, k), F.lit("")) for k in (key or df.columns)], F.lit("42")))
     picked = complete.select(*[col(n) for n in chosen], order.alias("__h"))
     return picked.orderBy("__h", *[col(n) for n in chosen]).limit(points).drop("__h")
 

@@ -232,9 +232,14 @@ def trend_median(spark, folder):
     return tidy(charts.trend(table(spark, folder, "orders"), "o_orderdate", "o_totalprice", "median"))
 
 
-@query("scatter_matrix_lineitem")
+@query(
+    "scatter_matrix_lineitem",
+    """SELECT l_extendedprice, l_quantity, l_partkey FROM lineitem
+       ORDER BY md5(concat_ws(':', l_orderkey, l_linenumber, 42)), l_extendedprice, l_quantity, l_partkey LIMIT 2000""",
+)
 def scatter(spark, folder):
-    return charts.scatter_matrix(table(spark, folder, "lineitem"), key=["l_orderkey", "l_linenumber"])
+    columns = ["l_extendedprice", "l_quantity", "l_partkey"]
+    return charts.scatter_matrix(table(spark, folder, "lineitem"), columns, key=["l_orderkey", "l_linenumber"])
 
 
 @query(
