@@ -164,14 +164,18 @@ def polynomial_fit(spark, folder):
 
 
 # Newton steps on the penalised likelihood (C = 1, free intercept).
-NEWTON = """WITH RECURSIVE v AS (SELECT o_totalprice / 100000 AS x, (o_orderpriority IN ('1-URGENT', '2-HIGH') OR
-    o_totalprice > 300000)::INT AS y FROM orders), fit(step, b0, b1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+ORDER_CLASSES = """SELECT o_totalprice / 100000 AS x, (o_orderpriority IN ('1-URGENT', '2-HIGH') OR
+    o_totalprice > 300000)::INT AS y FROM orders"""
+NEWTON_STEPS = """fit(step, b0, b1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
     SELECT step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
     FROM (SELECT step, b0, b1, sum(p - y) AS g0, sum((p - y) * x) + b1 AS g1, sum(p * (1 - p)) AS h00,
     sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 1 AS h11
     FROM (SELECT step, b0, b1, x, y, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM fit, v) GROUP BY step, b0, b1) WHERE step < 15)"""
 
 
+NEWTON = f"WITH RECURSIVE v AS ({ORDER_CLASSES}), {NEWTON_STEPS}"
+
+
 @query(
     "logistic_regression_priority",
     NEWTON
@@ -189,10 +193,18 @@ def logistic(spark, folder):
     return found.select(*[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in digits.items()], "n_samples")
 
 
-@query("logistic_regression_quality")
+@query(
+    "logistic_regression_quality",
+    "WITH RECURSIVE v AS (SELECT ln(n_chars) AS x, quality AS y FROM documents JOIN labels USING (doc_id)), "
+    + NEWTON_STEPS
+    + f""" SELECT {r('any_value(b0)', 2)} AS intercept, {r('any_value(b1)', 2)} AS coefficient,
+        {r('avg(((b0 + b1 * x >= 0)::INT = y)::INT)')} AS accuracy, count(*) AS n_samples FROM fit, v WHERE step = 15""",
+)
 def logistic_quality(spark, folder):
-    df = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
-    return regression.logistic_regression(df, "n_chars", "quality")
+    df = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").selectExpr("ln(n_chars) AS x", "quality")
+    found = regression.logistic_regression(df, "x", "quality")
+    digits = {"intercept": 2, "coefficient": 2, "accuracy": 4}
+    return found.select(*[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in digits.items()], "n_samples")
 
 
 @query(
