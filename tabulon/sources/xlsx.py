@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -18,7 +19,6 @@ from tabulon.errors import AnalysisError
 # Built-in number formats that show dates or times.
 DATE_FORMATS = [14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47]
 EPOCH = datetime(1899, 12, 30)
-INFER_ROWS = 10_000
 
 
 def _local(tag: str) -> str:
@@ -119,19 +119,45 @@ def _header(row: list) -> list[str]:
     return names
 
 
-def _type(values: list) -> T.DataType:
-    kinds = {type(v) for v in values if v is not None}
-    if kinds == {bool}:
+def _type(kinds: set[str]) -> T.DataType:
+    """The type that holds all cells of a column, given the names of their Python types."""
+    if kinds == {"bool"}:
         return T.BooleanType()
-    if kinds == {int}:
+    if kinds == {"int"}:
         return T.LongType()
-    if kinds and kinds <= {int, float}:
+    if kinds and kinds <= {"int", "float"}:
         return T.DoubleType()
-    if kinds == {datetime}:
+    if kinds == {"datetime"}:
         return T.TimestampNTZType()
     return T.StringType()
 
 
+def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(file, place, name, kind): the header of each workbook and the kinds of cells of each
+    column, over all rows; kind is empty where a column has no cell."""
+    for batch in batches:
+        for file, path in zip(batch["file"], batch["path"]):
+            rows = workbook_rows(path)
+            names = _header(next(rows, []))
+            found: list[set[str]] = [set() for _ in names]
+            for row in rows:
+                for kinds, value in zip(found, row):
+                    if value is not None:
+                        kinds.add(type(value).__name__)
+            cells = [(file, i, n, kind) for i, n in enumerate(names) for kind in sorted(found[i]) or [""]]
+            yield pd.DataFrame(cells, columns=["file", "place", "name", "kind"])
+
+
+def united_schema(spark: SparkSession, paths: Sequence[str]) -> T.StructType:
+    """The columns of all workbooks, those of earlier ones first, with types that hold all cells."""
+    files = spark.createDataFrame(list(enumerate(paths)), "file int, path string").repartition(len(paths), "file")
+    found = files.mapInPandas(_kinds, "file int, place int, name string, kind string").collect()  # a few for each column
+    kinds: dict[str, set[str]] = {}
+    for r in sorted(found, key=lambda r: (r["file"], r["place"])):
+        kinds.setdefault(r["name"], set()).update({r["kind"]} - {""})
+    return T.StructType([T.StructField(n, _type(k)) for n, k in kinds.items()])
+
+
 def _fit(value, dtype: T.DataType):
     if value is None:
         return None
@@ -176,17 +202,6 @@ class WorkbookSource(DataSource):
     def _paths(self) -> list[str]:
         return self.options["paths"].split("\n")
 
-    def schema(self) -> T.StructType:
-        rows = workbook_rows(self._paths()[0])
-        names = _header(next(rows, []))
-        sample = [row for _, row in zip(range(INFER_ROWS), rows)]
-        return T.StructType(
-            [
-                T.StructField(n, _type([r[i] for r in sample if i < len(r)]))
-                for i, n in enumerate(names)
-            ]
-        )
-
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return WorkbookReader(self._paths(), schema)
 
@@ -206,6 +221,8 @@ def expand(paths: str | Sequence[str], what: str) -> list[str]:
 
 
 def read_xlsx(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """First sheets of one or many workbooks with the header of the first."""
+    """First sheets of one or many workbooks, their columns united; a job reads all rows to
+    find types that hold every cell. Tasks open the files: they must reach the paths."""
     spark.dataSource.register(WorkbookSource)
-    return spark.read.format("tabulon_xlsx").option("paths", "\n".join(expand(paths, "workbook"))).load()
+    files = expand(paths, "workbook")
+    return spark.read.format("tabulon_xlsx").schema(united_schema(spark, files)).option("paths", "\n".join(files)).load()
