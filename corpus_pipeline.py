@@ -29,7 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     found = cut(near_duplicates(docs), "near")
     dropped = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*[col(c) for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; those of underrepresented sources again."""
     mixed, name, _ = mix_sources(docs, ratio=None, max_passes=MAX_PASSES)
     read, _ = draws(mixed, name)
-    return read.select(*docs.columns)
+    return read.select(*[col(c) for c in docs.columns])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
