@@ -36,29 +36,56 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics of a text, by name; all are finite, and a null is an empty text."""
+def counts(text: Column) -> dict[str, Column]:
+    """What is counted in a text; a null is an empty text. Runs are matched as a whole,
+    since a match for every character would cost more than all the rest."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.char_length(text).cast("double")
-    words = _count(text, r"\S++")
-    lines = _count(text, r"[^\n]++")
-    listed = F.split(text, r"\s++")
+    without = lambda pattern: F.char_length(F.regexp_replace(text, pattern, "")).cast("double")
+    plain = lambda sign: F.char_length(F.replace(text, F.lit(sign), F.lit(""))).cast("double")
+    words = F.split(text, r"\s++")
+    return {
+        "chars": F.char_length(text).cast("double"),
+        "words": F.size(words).cast("double"),
+        "distinct": F.size(F.array_distinct(words)).cast("double"),
+        "lines": _count(text, r"[^\n]++"),
+        "no_upper": without(r"\p{Lu}++"),
+        "no_letter": without(r"\p{L}++"),
+        "digits": _count(text, r"[0-9]"),
+        "symbols": _count(text, r"[#$%&*@^~=+<>_\\/{}\[\]]"),
+        "stops": _count(text, r"[.?!](?=\s|\z)"),
+        "no_bar": plain("|"),
+        "no_exclamation": plain("!"),
+    }
+
+
+def statistics(c: dict[str, Column]) -> dict[str, Column]:
+    """The statistics of a text, by name, from its counts; all are finite."""
+    chars, words = c["chars"], c["words"]
     return {
         "log_chars": F.log1p(chars),
         "chars_per_word": _ratio(chars, words),
-        "words_per_line": _ratio(words, lines),
-        "upper_share": _ratio(_count(text, r"\p{Lu}"), chars),
-        "digit_share": _ratio(_count(text, r"[0-9]"), chars),
-        "letter_share": _ratio(_count(text, r"\p{L}"), chars),
-        "symbols_per_word": _ratio(_count(text, r"[#$%&*@^~=+<>_\\/{}\[\]]"), words),
-        "bars_per_word": _ratio(chars - F.char_length(F.replace(text, F.lit("|"), F.lit(""))), words),
-        "exclamations_per_word": _ratio(chars - F.char_length(F.replace(text, F.lit("!"), F.lit(""))), words),
-        "stops_per_word": _ratio(_count(text, r"[.?!](?=\s|\z)"), words),
-        "repeats_per_word": _ratio(_count(text, r"(?<!\S)(\S++)(?=\s\1(?!\S))"), words),
-        "distinct_words": _ratio(F.size(F.array_distinct(listed)).cast("double"), F.size(listed).cast("double")),
+        "words_per_line": _ratio(words, c["lines"]),
+        "upper_share": _ratio(chars - c["no_upper"], chars),
+        "digit_share": _ratio(c["digits"], chars),
+        "letter_share": _ratio(chars - c["no_letter"], chars),
+        "symbols_per_word": _ratio(c["symbols"], words),
+        "bars_per_word": _ratio(chars - c["no_bar"], words),
+        "exclamations_per_word": _ratio(chars - c["no_exclamation"], words),
+        "stops_per_word": _ratio(c["stops"], words),
+        "distinct_words": _ratio(c["distinct"], words),
     }
 
 
+def with_statistics(df: DataFrame, text: Column) -> tuple[DataFrame, str]:
+    """`df` with a struct column of the statistics, and its name. The counts are a column of
+    their own first, so that none is made twice."""
+    place, name = fresh(df, "text_counts"), fresh(df, "text_statistics")
+    counted = counts(text)
+    df = df.withColumn(place, F.struct(*[c.alias(k) for k, c in counted.items()]))
+    found = statistics({k: col(place)[k] for k in counted})
+    return df.withColumn(name, F.struct(*[c.alias(k) for k, c in found.items()])).drop(place), name
+
+
 def tree_rules(description: str) -> set[tuple[Condition, ...]]:
     """The paths of a forest's textual description, each sorted and without thresholds that
     another one of the path implies."""
@@ -118,9 +145,9 @@ def fit(
     share = min(1 << 20, -(-sample * (1 << 20) // max(1, n)))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < share)
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    stats = statistics(F.col("text"))
-    names = tuple(stats)
-    table = cut(rows.select("id", "label", *[c.alias(k) for k, c in stats.items()]), "statistics").coalesce(TASKS)
+    found, place = with_statistics(rows, F.col("text"))
+    table = cut(found.select("id", "label", f"{place}.*"), "statistics").coalesce(TASKS)
+    names = tuple(c for c in table.columns if c not in ("id", "label"))
     table = table.sortWithinPartitions("id", "label", *names).persist()
     try:
         counts = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
@@ -154,6 +181,5 @@ def classify(docs: DataFrame, model: RuleModel, text_col: str = "text", result:
     made longer where the input has such a column). Null and empty texts are scored as texts
     without characters."""
     name = fresh(docs, result)
-    place = fresh(docs, "text_statistics")
-    found = docs.withColumn(place, F.struct(*[c.alias(k) for k, c in statistics(col(text_col)).items()]))
+    found, place = with_statistics(docs, col(text_col))
     return found.withColumn(name, model.score({k: col(place)[k] for k in model.names})).drop(place), name
