@@ -147,10 +147,10 @@ def _hash_sets(length: int):
 POSTS = "pair bigint, part int, id bigint, n int, place int, hidden int"
 
 
-def _post(shared, length: int, percent: int):
-    """(id, text) to the posts of each text: the coordinate-value pair, the part of its list,
-    the set's size, how many pairs stand before this one, and the shingles that share a
-    coordinate with another one."""
+def _post(shared, length: int, percent: int, hot: int):
+    """(id, text) to the posts of each text: the coordinate-value pair, the part of its list
+    (0 for a whole list, parts count from 1), the set's size, how many pairs stand before
+    this one, and the shingles that share a coordinate with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, seen = shared.value
@@ -170,7 +170,9 @@ def _post(shared, length: int, percent: int):
                     known = often[_cells(own)]
                     first = np.argsort((known << U(40)) | (mix(own) >> U(24)), kind="stable")[:count]
                     pairs.append(own[first].view(np.int64))
-                    parts.append((mix(hashes[:1])[0] % (known[first] // U(HOT) + U(1))).astype(np.int32) if n else np.zeros(0, np.int32))
+                    split = known[first] // U(hot) + U(1)
+                    part = mix(hashes[:1])[0] % split + U(1) if n else split
+                    parts.append(np.where(split > 1, part, U(0)).astype(np.int32))
                     owner.append(np.full(count, ids[row + i]))
                     sizes.append(np.full(count, n, dtype=np.int32))
                     places.append(np.arange(count, dtype=np.int32))
@@ -234,6 +236,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = SHINGLE,
     percent: int = PERCENT,
+    hot: int = HOT,
 ) -> DataFrame:
     """One row (id, n_shingles, component, kept) for each row of `docs`; `id` has the type
     bigint. Sets of shingles A and B are linked where 100 |A and B| >= percent |A or B|; a
@@ -262,10 +265,11 @@ def near_duplicates(
     shared = spark.sparkContext.broadcast((sketch["cell"].to_numpy(), sketch["seen"].to_numpy()))
     heads = classes.select(F.col("rep").alias("id")).distinct()
     least = classes.select(F.col("rep").alias("id"), "minima")
-    posted = rows.join(small(heads, heads.count()), "id", "left_semi").mapInArrow(_post(shared, shingle, percent), POSTS)
-    # Only lists with two members or more are merged; the parts of a long one certainly belong to such a list.
+    posted = rows.join(small(heads, heads.count()), "id", "left_semi").mapInArrow(_post(shared, shingle, percent, hot), POSTS)
+    # Only lists with two members or more are merged. A list in parts is kept whole: who is alone in one part may meet others
+    # in another, and lists that turn out to have one member fall out of the first round.
     part = Window.partitionBy("pair", "part")
-    several = (F.min("id").over(part) != F.max("id").over(part)) | (F.max("part").over(part) > 0)
+    several = (F.min("id").over(part) != F.max("id").over(part)) | (F.col("part") > 0)
     lists = cut(posted.withColumn("several", several).where("several").drop("several", "part").distinct(), "lists")
 
     links = cut(same_id, "links")

@@ -143,6 +143,27 @@ def test_near_duplicates_large_family(spark):
     assert {r.id: r.component for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("hot", [2, 7, 50])
+def test_near_duplicates_in_parts(spark, hot):
+    """Texts with many exact copies and near copies: their lists are looked at in parts."""
+    draw = random.Random(11)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{draw.randrange(10**6)}" for _ in range(100)]
+        rows += [(1000 * family + i, " ".join(base)) for i in range(150)]
+        for i in range(1 + family % 3):
+            near = list(base)
+            near[draw.randrange(100)] = f"near{i}"
+            rows.append((1000 * family + 500 + i, " ".join(near)))
+    from test_llm_queries import components, shingles
+
+    want = components({d: shingles(t, 5) for d, t in rows if d % 1000 == 0 or d % 1000 >= 500})
+    want |= {d: want[d - d % 1000] for d, _ in rows if d % 1000 < 500}
+    assert all(want[d] == d - d % 1000 for d, _ in rows)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), hot=hot)
+    assert {r.id: r.component for r in found.collect()} == want
+
+
 def test_difference():
     draw = random.Random(2)
     sizes = [draw.randrange(1, 10_000) for _ in range(3000)]
