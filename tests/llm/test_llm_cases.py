@@ -264,6 +264,28 @@ def test_language_model(odd, empty):
     assert all(r.n_known == 0 for r in ngramlm.score(odd, blank).collect())
 
 
+def test_language_model_leaves_out_nothing(spark, odd):
+    """A filter larger than what is broadcast gives the scores of one that is broadcast, and
+    pairs seen once are known on a large corpus."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(f"w{draw.randrange(3000)}" for _ in range(60))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    model = ngramlm.fit(docs, filter_bits=1 << 16)
+    assert model.filter is None and ngramlm.fit(docs).filter is not None
+    table = {r.id: r for r in ngramlm.score(docs, model).collect()}
+    shared = {r.id: r for r in ngramlm.score(docs, ngramlm.fit(docs)).collect()}
+    assert len(table) == 4000 and table.keys() == shared.keys()
+    for d, r in table.items():
+        assert r.score == pytest.approx(shared[d].score) and r.base_score == pytest.approx(shared[d].base_score)
+    pairs = {p for _, t in rows for p in zip(t.split(), t.split()[1:], strict=False)}
+    words = len({w for _, t in rows for w in t.split()})
+    assert model.stretches.agg({"entries": "sum"}).first()[0] >= len(pairs) + words
+    few = ngramlm.fit(odd, filter_bits=1)
+    want = {r.id: r for r in ngramlm.score(odd, ngramlm.fit(odd)).collect()}
+    for r in ngramlm.score(odd, few).collect():
+        assert (r.score, r.n_tokens, r.n_known) == (pytest.approx(want[r.id].score), want[r.id].n_tokens, want[r.id].n_known)
+
+
 def test_quality(spark, odd, empty):
     draw = random.Random(1)
     good = [(i, " ".join(draw.choice(["plain", "words", "go", "on."]) for _ in range(40))) for i in range(100)]
