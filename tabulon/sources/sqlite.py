@@ -6,6 +6,7 @@ import sqlite3
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -13,7 +14,7 @@ from tabulon.errors import AnalysisError
 from tabulon.sources.xlsx import expand
 
 ROWS_PER_TASK = 200_000
-INFER_ROWS = 10_000
+EXACT = 1 << 53  # whole numbers beyond are not all doubles
 
 
 def _connect(path: str) -> sqlite3.Connection:
@@ -35,27 +36,91 @@ def first_table(path: str) -> str:
     return row[0]
 
 
-def _infer(path: str, table: str) -> T.StructType:
+def _columns(connection: sqlite3.Connection, table: str) -> list[str]:
+    return [d[0] for d in connection.execute(f"SELECT * FROM {quoted(table)} LIMIT 0").description]
+
+
+def _row_id(names: list[str]) -> str | None:
+    """A name of the row id that no column has taken."""
+    taken = {n.lower() for n in names}
+    return next((n for n in ("rowid", "_rowid_", "oid") if n not in taken), None)
+
+
+def _ranges(path: str, table: str | None, rows_per_task: int) -> list[tuple[str, int | None, int | None]]:
+    """(path, low, high) of the tasks that read a table; without row ids one task reads it."""
     connection = _connect(path)
     try:
-        cursor = connection.execute(f"SELECT * FROM {quoted(table)} LIMIT {INFER_ROWS}")
-        names = [d[0] for d in cursor.description]
-        rows = cursor.fetchall()
+        name = table or first_table(path)
+        row_id = _row_id(_columns(connection, name))
+        low = high = None
+        if row_id:
+            try:
+                low, high = connection.execute(f"SELECT min({row_id}), max({row_id}) FROM {quoted(name)}").fetchone()
+            except sqlite3.OperationalError:
+                pass
     finally:
         connection.close()
-    fields = []
-    for i, name in enumerate(names):
-        kinds = {type(r[i]) for r in rows if r[i] is not None}
-        if kinds == {int}:
-            dtype: T.DataType = T.LongType()
-        elif kinds and kinds <= {int, float}:
-            dtype = T.DoubleType()
-        elif kinds == {bytes}:
-            dtype = T.BinaryType()
-        else:
-            dtype = T.StringType()
-        fields.append(T.StructField(name, dtype))
-    return T.StructType(fields)
+    if low is None:
+        return [(path, None, None)]
+    return [(path, start, min(high, start + rows_per_task - 1)) for start in range(low, high + 1, rows_per_task)]
+
+
+def _select(connection: sqlite3.Connection, table: str, what: str, low: int | None, high: int | None) -> sqlite3.Cursor:
+    query = f"SELECT {what} FROM {quoted(table)}"
+    if low is None:
+        return connection.execute(query)
+    return connection.execute(f"{query} WHERE {_row_id(_columns(connection, table))} BETWEEN ? AND ?", (low, high))
+
+
+def _kinds(table: str | None):
+    """(file, path, low, high) to (file, place, name, kind): the kinds of cells of each column
+    in a range of rows; kind is empty where a column has no cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, path, low, high in zip(batch["file"], batch["path"], batch["low"], batch["high"]):
+                connection = _connect(path)
+                try:
+                    name = table or first_table(path)
+                    names = _columns(connection, name)
+                    kind = "CASE WHEN typeof({0}) = 'integer' AND {0} NOT BETWEEN -{1} AND {1} THEN 'large' ELSE typeof({0}) END"
+                    what = "DISTINCT " + ", ".join(kind.format(quoted(n), EXACT) for n in names)
+                    found: list[set[str]] = [set() for _ in names]
+                    for row in _select(connection, name, what, *((int(low), int(high)) if low else (None, None))):
+                        for kinds, value in zip(found, row):
+                            kinds.add(value)
+                finally:
+                    connection.close()
+                cells = [(file, i, n, k) for i, n in enumerate(names) for k in sorted(found[i] - {"null"}) or [""]]
+                yield pd.DataFrame(cells, columns=["file", "place", "name", "kind"])
+
+    return run
+
+
+def _type(kinds: set[str]) -> T.DataType:
+    """The type that holds all cells of a column."""
+    if kinds and kinds <= {"integer", "large"}:
+        return T.LongType()
+    if kinds and kinds <= {"integer", "real"}:
+        return T.DoubleType()
+    return T.BinaryType() if kinds == {"blob"} else T.StringType()
+
+
+def united_schema(spark: SparkSession, paths: Sequence[str], table: str | None, rows_per_task: int) -> T.StructType:
+    """The columns of all files, those of earlier ones first, with types that hold all cells.
+    Names that differ in case only are one column, as in SQLite."""
+    # Row ids travel as text: pandas would make doubles of them where a range has none.
+    ranges = [
+        (i, path, *(None if x is None else str(x) for x in bounds)) for i, p in enumerate(paths) for path, *bounds in _ranges(p, table, rows_per_task)
+    ]
+    parts = spark.createDataFrame(ranges, "file int, path string, low string, high string").repartition(len(ranges))
+    found = parts.mapInPandas(_kinds(table), "file int, place int, name string, kind string").distinct().collect()  # a few for each column and file
+    names: dict[str, str] = {}
+    kinds: dict[str, set[str]] = {}
+    for r in sorted(found, key=lambda r: (r["file"], r["place"])):
+        names.setdefault(r["name"].lower(), r["name"])
+        kinds.setdefault(r["name"].lower(), set()).update({r["kind"]} - {""})
+    return T.StructType([T.StructField(names[n], _type(k)) for n, k in kinds.items()])
 
 
 class RangePartition(InputPartition):
@@ -68,33 +133,16 @@ class TableReader(DataSourceReader):
         self.paths, self.table, self.schema, self.rows_per_task = paths, table, schema, rows_per_task
 
     def partitions(self) -> Sequence[InputPartition]:
-        out = []
-        for path in self.paths:
-            connection = _connect(path)
-            try:
-                name = self.table or first_table(path)
-                low, high = connection.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(name)}").fetchone()
-                if low is None:
-                    continue
-                for start in range(low, high + 1, self.rows_per_task):
-                    out.append(RangePartition(path, start, min(high, start + self.rows_per_task - 1)))
-            except sqlite3.OperationalError:  # no row ids: one task reads the table
-                out.append(RangePartition(path, None, None))
-            finally:
-                connection.close()
-        return out or [RangePartition(self.paths[0], 0, -1)]
+        return [RangePartition(*r) for path in self.paths for r in _ranges(path, self.table, self.rows_per_task)]
 
     def read(self, partition: RangePartition) -> Iterator[tuple]:
         connection = _connect(partition.path)
         try:
             name = self.table or first_table(partition.path)
-            columns = ", ".join(quoted(f.name) for f in self.schema.fields)
-            query = f"SELECT {columns} FROM {quoted(name)}"
-            if partition.low is None:
-                rows = connection.execute(query)
-            else:
-                rows = connection.execute(query + " WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
-            for row in rows:
+            # SQLite takes a quoted name that is no column for a text.
+            held = {n.lower() for n in _columns(connection, name)}
+            columns = ", ".join(quoted(f.name) if f.name.lower() in held else "NULL" for f in self.schema.fields)
+            for row in _select(connection, name, columns, partition.low, partition.high):
                 yield tuple(_fit(v, f.dataType) for v, f in zip(row, self.schema.fields))
         finally:
             connection.close()
@@ -120,10 +168,6 @@ class TableSource(DataSource):
     def _paths(self) -> list[str]:
         return self.options["paths"].split("\n")
 
-    def schema(self) -> T.StructType:
-        path = self._paths()[0]
-        return _infer(path, self.options.get("table") or first_table(path))
-
     def reader(self, schema: T.StructType) -> DataSourceReader:
         size = int(self.options.get("rowspertask", ROWS_PER_TASK))
         return TableReader(self._paths(), self.options.get("table"), schema, size)
@@ -132,10 +176,12 @@ class TableSource(DataSource):
 def read_sqlite(
     spark: SparkSession, paths: str | Sequence[str], table: str | None = None, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """A table (by default the first one) of each file."""
+    """A table (by default the first one) of each file, their columns united; a job reads all
+    rows to find types that hold every cell. Tasks open the files: they must reach the paths."""
     found = expand(paths, "database")
     if table is None:
         first_table(found[0])  # raises before a job is started
     spark.dataSource.register(TableSource)
-    reader = spark.read.format("tabulon_sqlite").option("paths", "\n".join(found)).option("rowspertask", rows_per_task)
+    schema = united_schema(spark, found, table, rows_per_task)
+    reader = spark.read.format("tabulon_sqlite").schema(schema).option("paths", "\n".join(found)).option("rowspertask", rows_per_task)
     return (reader.option("table", table) if table else reader).load()

@@ -144,6 +144,23 @@ def test_nested_json(spark, tmp_path):
     assert set(sources.read_json(spark, str(path), nested="flatten").columns) == {"address.zip", "address.geo.x", "id", "tags"}
 
 
+def test_sqlite_types_hold_all_cells(spark, tmp_path):
+    for file, extra in (("a", ""), ("b", ", late INTEGER")):
+        connection = sqlite3.connect(str(tmp_path / f"{file}.db"))
+        connection.execute(f"CREATE TABLE t (n, frac, big{extra})")
+        rows = [(i, i, 2**60 + 1) for i in range(10_050)] if file == "a" else [(7, 2.5, 0.5, 9), ("text", 3, 1, None)]
+        connection.executemany(f"INSERT INTO t VALUES ({', '.join('?' * len(rows[0]))})", rows)
+        if file == "a":
+            connection.execute("INSERT INTO t VALUES (0.5, 0.25, 3)")
+        connection.commit()
+        connection.close()
+    df = sources.read_sqlite(spark, str(tmp_path), rows_per_task=3000)
+    assert df.dtypes == [("n", "string"), ("frac", "double"), ("big", "string"), ("late", "bigint")]
+    assert df.count() == 10_053 and df.where("n IS NULL OR frac IS NULL OR big IS NULL").count() == 0
+    assert df.where(f"big = '{2**60 + 1}'").count() == 10_050 and df.where("n IN ('0.5', 'text')").count() == 2
+    assert [r.late for r in df.where("late IS NOT NULL").collect()] == [9]
+
+
 def test_sqlite_names_are_quoted(spark, tmp_path):
     path = str(tmp_path / "evil.db")
     connection = sqlite3.connect(path)
