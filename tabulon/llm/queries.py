@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import langid, ngramlm, pii, quality
+from tabulon.llm import langid, ngramlm, piecebpe, pii, quality
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.exactdup import deduplicate
@@ -113,6 +113,21 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PIECES = "piece_bpe_32k.model"
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found, name = piecebpe.encode(docs, _tokenizer(PIECES), whole=False)
+    return found.select("doc_id", *[col(name)[f].alias(f) for f in ["n_tokens", "ids_sha256", "decoded_sha256"]])
+
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A-Z only; DuckDB's lower() would change other letters too.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -187,5 +202,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM docs WINDOW same AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_personal_data": op6_personal_data, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_personal_data": op6_personal_data, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores, "op13_pieces": op13_pieces}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}
