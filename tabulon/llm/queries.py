@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.llm import langid, ngramlm, piecebpe, pii, quality
+from tabulon.llm.alignment import align
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.exactdup import deduplicate
@@ -113,6 +114,7 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
@@ -122,6 +124,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = align(table(spark, folder, "documents"), _tokenizer(BYTE_LEVEL), _tokenizer(PIECES))
+    return found.withColumnRenamed("id", "doc_id").drop("groups")
+
+
 def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found, name = piecebpe.encode(docs, _tokenizer(PIECES), whole=False)
@@ -202,5 +209,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM docs WINDOW same AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_personal_data": op6_personal_data, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores, "op13_pieces": op13_pieces}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_personal_data": op6_personal_data, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores, "op11_alignment": op11_alignment, "op13_pieces": op13_pieces}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}

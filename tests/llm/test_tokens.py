@@ -2,14 +2,18 @@
 
 import hashlib
 import random
+from collections import Counter
+from itertools import accumulate
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from public_tokenizers import path
+from tokenizers import Tokenizer
 
-from tabulon.llm import piecebpe, units
+from tabulon.llm import alignment, piecebpe, units
 from tabulon.llm.common import col
-from tabulon.llm.queries import PIECES, QUERIES
+from tabulon.llm.queries import BYTE_LEVEL, PIECES, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 ALPHABET = "ab e▁ \n\t\r　\xa0é日本語😀.,!?=/-_<>s0x41\x00\x1c'\"ABCetonir"
@@ -104,3 +108,119 @@ def test_op13(spark, library):
     for r in found:
         ids = library.encode(texts[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def aligned(texts, library):
+    """The contract, token by token: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each text."""
+    first = Tokenizer.from_file(path(BYTE_LEVEL))
+    first.encode_special_tokens = True
+    letters = alignment._byte_alphabet()
+    entries = {i: bytes(letters[c] for c in e) for e, i in first.get_vocab().items() if i != 50256}
+
+    def piece(i):
+        p = library.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode()
+
+    rows = []
+    for text in texts:
+        a = first.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = library.encode(text) if text else []
+        wanted = (" " + (text or "")).encode()
+        if not text or b"".join(map(entries.get, a)) != wanted or b"".join(map(piece, b)) != wanted:
+            rows.append(([], [], [], ""))
+            continue
+        ends = [list(accumulate(len(size(i)) for i in ids)) for ids, size in ((a, entries.get), (b, piece))]
+        places = [{e: k + 1 for k, e in enumerate(es)} for es in ends]
+        starts = [[0, *e[:-1]] for e in ends]
+        links, low = [], 0
+        for i, x in enumerate(a):
+            while ends[1][low] <= starts[0][i]:
+                low += 1
+            j = low
+            while j < len(b) and starts[1][j] < ends[0][i]:
+                links.append((x, b[j]))
+                j += 1
+        names, at = [], [0, 0]
+        for end in sorted(set(ends[0]) & set(ends[1])):
+            stop = [places[0][end], places[1][end]]
+            names.append(",".join(map(str, a[at[0] : stop[0]])) + "|" + ",".join(map(str, b[at[1] : stop[1]])))
+            at = stop
+        rows.append((a, b, links, ";".join(names)))
+    counts = Counter(p for r in rows for p in set(r[2]))
+    top = Counter()
+    for (x, _), n in counts.items():
+        top[x] = max(top[x], n)
+    return [
+        (len(a), len(b), names.count("|"), len(links), sum(counts[p] == top[p[0]] for p in links), sum(counts[p] for p in links), names)
+        for a, b, links, names in rows
+    ]
+
+
+def as_tuple(r):
+    return (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_align_any_table(spark, library, monkeypatch, small):
+    texts = [t for t in odd_texts() if len(t or "") < 200][:700] + ["the same text"] * 40 + [None, "", "<|endoftext|> x"]
+    rows = [(i if i != 4 else None, t, *["clash"] * 6) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    if small:  # several parts a partition, and several levels of merging
+        monkeypatch.setattr(alignment, "PART_BYTES", 300)
+    found = alignment.align(docs, path(BYTE_LEVEL), path(PIECES), groups=True).collect()
+    assert len(found) == len(texts)
+    want = aligned(texts, library)
+    for r in found:
+        if r.id is not None:
+            w = want[r.id]
+            assert (as_tuple(r), r.groups, r.groups_sha256) == (w[:6], w[6], sha(w[6]) if w[0] else "")
+    assert alignment.align(docs.limit(0), path(BYTE_LEVEL), path(PIECES)).count() == 0
+
+
+def test_chunks_split_anywhere(library, monkeypatch):
+    """Chunks, segments and caches of any size give the same records."""
+    from tabulon.llm.alignment import Aligner, Chunk, Vocabularies, highest, merge, unpack, unpack_records
+
+    texts = [t for t in odd_texts() if len(t or "") < 300][:300] + ["one two three " * 300, "▁ " + "four five " * 100]
+    want = aligned(texts, library)
+    with open(path(BYTE_LEVEL), encoding="utf-8") as a, open(path(PIECES), "rb") as b:
+        aligner = Aligner(Vocabularies(a.read(), b.read()))
+    segments = alignment.Cutter.segments
+    monkeypatch.setattr(alignment.Cutter, "segments", lambda self, text: segments(self, text, 50))
+    chunks, rows = [], []
+    for i, text in enumerate(texts):
+        if i % 60 == 0:
+            chunks.append(Chunk(aligner, False))
+        if len(text or "") > 100:
+            chunks[-1].add_long(pa.scalar(i), text)
+        else:
+            chunks[-1].add([(pa.scalar(i), text or "")])
+    rows = [r for c in chunks for r in c.rows()]
+    docs = {(r["chunk"], r["index"]): r["doc"] for r in rows if r["bucket"] < 0}
+    sums = {k: [0, 0] for k in docs}
+    for bucket in range(alignment.RADIX):
+        runs = [r for r in rows if r["bucket"] == bucket]
+        if not runs:
+            continue
+        pairs, counts = merge([r["pairs"] for r in runs])
+        best = highest(pairs, counts)
+        table = {p: (c, t) for p, c, t in zip(pairs.tolist(), counts.tolist(), best.tolist(), strict=True)}
+        assert len(table) == len(pairs) and sorted(table) == pairs.tolist()
+        for r in runs:
+            own, holders = unpack(r["pairs"])
+            of = [p for p, n in zip(own.tolist(), holders.tolist(), strict=True) for _ in range(n)]
+            for p, d, n in zip(of, *map(lambda x: x.tolist(), unpack_records(r["records"])), strict=True):
+                sums[r["chunk"], d][0] += n * table[p][1]
+                sums[r["chunk"], d][1] += n * table[p][0]
+    for k, d in docs.items():
+        assert (*d[1:5], *sums[k]) == want[d[0].as_py()][:6]
+
+
+def test_op11(spark, library):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = QUERIES["op11_alignment"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(texts)
+    want = dict(zip(texts, aligned(list(texts.values()), library), strict=True))
+    for r in found:
+        w = want[r.doc_id]
+        assert (as_tuple(r), r.groups_sha256) == (w[:6], sha(w[6]) if w[0] else "")
