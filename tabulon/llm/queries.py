@@ -9,6 +9,7 @@ from tabulon.llm.alignment import align
 from tabulon.llm.common import col, fold, table
 from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.exactdup import deduplicate
+from tabulon.llm.hardneg import mine
 from tabulon.llm.mixing import mix_sources
 from tabulon.llm.neardup import near_duplicates
 from tabulon.llm.secrets import find_secrets, span_names
@@ -129,6 +130,18 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("groups")
 
 
+ANCHOR_EVERY, NOISY_EVERY, CLASSES = 100, 7, 10
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    rows = table(spark, folder, "embeddings").where(F.forall("embedding", finite)).select(
+        "vec_id", F.when(F.col("vec_id") % NOISY_EVERY == 0, (F.col("label") + 1) % CLASSES).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"),
+    )
+    return mine(rows, F.col("vec_id") % ANCHOR_EVERY == 0, id_col="vec_id")
+
+
 def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found, name = piecebpe.encode(docs, _tokenizer(PIECES), whole=False)
@@ -209,5 +222,23 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM docs WINDOW same AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_personal_data": op6_personal_data, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores, "op11_alignment": op11_alignment, "op13_pieces": op13_pieces}
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM vectors a JOIN vectors r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_exact_dedup": op4_exact_dedup, "op5_secrets": op5_secrets, "op6_personal_data": op6_personal_data, "op7_near_duplicates": op7_near_duplicates, "op8_shards": op8_shards, "op9_language": op9_language, "op10_lm_scores": op10_lm_scores, "op11_alignment": op11_alignment, "op12_hard_negatives": op12_hard_negatives, "op13_pieces": op13_pieces}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op12_hard_negatives": OP12_SQL}
