@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col, is_missing, require
 from tabulon.functions.parsing import as_timestamp
-from tabulon.plans.results import result_frame
+from tabulon.plans.layout import settle
 
-MAX_PERIODS = 400  # of a matrix
+MAX_PERIODS = 400  # of a matrix, either way
 FREQUENCIES = {"D": "day", "W": "week", "M": "month", "Q": "quarter"}
 
 
@@ -72,16 +72,19 @@ def cohort_matrix(
     df: DataFrame, entity: str, date: str, freq: str = "M", measure: str = "retention_rate", max_periods: int = MAX_PERIODS
 ) -> DataFrame:
     """The same as a matrix: one row per cohort, one column per period index, absent cells
-    null. More than ``max_periods`` cohorts raise: the long form has no such bound."""
-    long = cohort(df, entity, date, freq)
-    cells = long.select("cohort", "period_index", "cohort_size", measure).limit(max_periods * max_periods + 1).collect()
-    if len({r["cohort"] for r in cells}) > max_periods:
-        raise AnalysisError(f"More than {max_periods} periods: try a coarser frequency or the long form")
-    indexes = sorted({r["period_index"] for r in cells})
-    table: dict = {}
-    for r in cells:
-        table.setdefault((r["cohort"], r["cohort_size"]), {})[r["period_index"]] = r[measure]
-    rows = [(c, size, *[row.get(i) for i in indexes]) for (c, size), row in sorted(table.items())]
-    kind = "double" if measure == "retention_rate" else "long"
-    schema = "cohort string, cohort_size long" + "".join(f", period_{i} {kind}" for i in indexes)
-    return result_frame(df.sparkSession, rows, schema)
+    null. More than ``max_periods`` cohorts or period indexes raise: the long form has no
+    such bound."""
+    if measure not in ("retention_rate", "active_users"):
+        raise AnalysisError("measure must be retention_rate or active_users")
+    long = settle(cohort(df, entity, date, freq))
+    # Distinct first: two rows of partial counts, however many cells there are.
+    shape = long.agg(F.count_distinct("cohort").alias("cohorts"), F.count_distinct("period_index").alias("indexes")).first()
+    if max(shape["cohorts"], shape["indexes"]) > max_periods:
+        raise AnalysisError(
+            f"{shape['cohorts']} cohorts and {shape['indexes']} periods are more than {max_periods}: "
+            "try a coarser frequency, a higher limit or the long form"
+        )
+    indexes = sorted(r["period_index"] for r in long.select("period_index").distinct().collect())
+    cells = long.groupBy("cohort", "cohort_size").pivot("period_index", indexes).agg(F.first(measure))
+    names = [F.col(f"`{i}`").alias(f"period_{i}") for i in indexes]
+    return cells.select("cohort", "cohort_size", *names).orderBy("cohort")

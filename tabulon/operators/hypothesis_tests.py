@@ -105,9 +105,11 @@ def mann_whitney_u(
 
 def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
     """Observed and expected counts of every pair of categories, zeros included."""
-    observed, rows, cols = _counted_pairs(df, first, second)
-    total = F.sum("row_total").over(Window.partitionBy(F.lit(1)))
-    grid = rows.withColumn("total", total).crossJoin(cols)  # the result has a row for each pair
+    observed = _counted_pairs(df, first, second)
+    rows = observed.groupBy("a").agg(F.sum("o").alias("row_total"))
+    cols = observed.groupBy("b").agg(F.sum("o").alias("col_total"))
+    total = observed.agg(F.sum("o").alias("total"))  # one row
+    grid = rows.crossJoin(F.broadcast(total)).crossJoin(cols)  # the result has a row for each pair
     found = grid.join(observed, ["a", "b"], "left")
     return found.select(
         F.col("a").alias("category1"), F.col("b").alias("category2"), F.coalesce("o", F.lit(0)).cast("long").alias("observed"),
@@ -115,47 +117,46 @@ def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
-def _counted_pairs(df: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of the pairs that occur, and of either side alone."""
+def _counted_pairs(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Counts of the pairs that occur."""
     require(df, first, second)
     both = df.filter(~is_missing(df, first) & ~is_missing(df, second))
-    observed = both.groupBy(as_text(df, first).alias("a"), as_text(df, second).alias("b")).agg(F.count(F.lit(1)).alias("o"))
-    rows = observed.groupBy("a").agg(F.sum("o").alias("row_total"))
-    cols = observed.groupBy("b").agg(F.sum("o").alias("col_total"))
-    return observed, rows, cols
+    return both.groupBy(as_text(df, first).alias("a"), as_text(df, second).alias("b")).agg(F.count(F.lit(1)).alias("o"))
 
 
 def chi_square(df: DataFrame, first: str, second: str) -> DataFrame:
     """Independence of two categorical columns, with Yates' correction for one degree of freedom.
 
-    From the pairs that occur and the two margins alone: the statistic is
-    n (sum of o^2 / (row total x column total) - 1).
+    Only pairs that occur are looked at, each beside its two margins: they add (o - e)^2 / e,
+    and all that is expected elsewhere is n less what is expected of them.
     """
-    observed, rows, cols = _counted_pairs(df, first, second)
-    observed = observed.persist()
-    try:
-        rows = observed.groupBy("a").agg(F.sum("o").alias("row_total"))
-        cols = observed.groupBy("b").agg(F.sum("o").alias("col_total"))
-        joined = observed.join(rows, "a").join(cols, "b")
-        part = F.col("o") * F.col("o") / F.col("row_total") / F.col("col_total")
-        r = joined.agg(F.sum("o").alias("n"), F.sum(part).alias("s")).first()
-        k1, k2 = rows.count(), cols.count()
-        if k1 * k2 < 4:
-            raise AnalysisError("Insufficient categories for chi-square test")
-        total, dof = r["n"], (k1 - 1) * (k2 - 1)
-        statistic = max(0.0, total * (r["s"] - 1.0)) if dof else 0.0
-        if dof == 1:  # four cells
-            cells = {(c["a"], c["b"]): c["o"] for c in observed.collect()}
-            row_sums = {c["a"]: c["row_total"] for c in rows.collect()}
-            col_sums = {c["b"]: c["col_total"] for c in cols.collect()}
-            statistic = 0.0
-            for a, ra in sorted(row_sums.items()):
-                for b, cb in sorted(col_sums.items()):
-                    expected = ra * cb / total
-                    gap = abs(cells.get((a, b), 0) - expected)
-                    statistic += (gap - min(0.5, gap)) ** 2 / expected
-    finally:
-        observed.unpersist()
+    observed = _counted_pairs(df, first, second)
+    beside = observed.select(
+        "a", "b", "o",
+        F.sum("o").over(Window.partitionBy("a")).alias("row_total"), F.sum("o").over(Window.partitionBy("b")).alias("col_total"),
+        (F.row_number().over(Window.partitionBy("a").orderBy("b")) == 1).alias("new_a"),
+        (F.row_number().over(Window.partitionBy("b").orderBy("a")) == 1).alias("new_b"),
+    )
+    total = observed.agg(F.sum("o").alias("n"))  # one row
+    beside = beside.crossJoin(F.broadcast(total))
+    o, n = F.col("o"), F.col("n")
+    e = F.col("row_total").cast("double") * F.col("col_total") / n
+    # For two by two categories all four gaps are equal, also that of a pair that does not occur.
+    gap = F.abs(o - e)
+    r = beside.agg(
+        F.max("n").alias("n"), F.sum((o - e) * (o - e) / e).alias("seen"), F.sum(e).alias("expected"),
+        F.count_if("new_a").alias("k1"), F.count_if("new_b").alias("k2"),
+        F.max(gap).alias("gap"), F.max(F.when(F.col("new_a"), F.col("row_total"))).alias("r"), F.max(F.when(F.col("new_b"), F.col("col_total"))).alias("c"),
+    ).first()
+    total, k1, k2 = r["n"], r["k1"], r["k2"]
+    if k1 * k2 < 4:
+        raise AnalysisError("Insufficient categories for chi-square test")
+    dof = (k1 - 1) * (k2 - 1)
+    statistic = max(0.0, r["seen"] + max(0.0, total - r["expected"])) if dof else 0.0
+    if dof == 1:
+        short = r["gap"] - min(0.5, r["gap"])
+        margins = [(x, y) for x in (r["r"], total - r["r"]) for y in (r["c"], total - r["c"])]
+        statistic = sum(short * short * total / (x * y) for x, y in margins)
     p = special.chi2_upper(statistic, dof) if dof else 1.0
     return result_frame(
         df.sparkSession,

@@ -63,12 +63,25 @@ def test_constant_correlation_is_undefined(spark):
         assert tests.correlation_test(df, "a", "b", method).first()["coefficient"] is None
 
 
-def test_chi_square_refuses_many_categories(spark):
+def test_chi_square_of_many_categories(spark):
     df = spark.range(300).select(
         F.concat(F.lit("a"), F.col("id") % 60).alias("x"), F.concat(F.lit("b"), F.col("id") % 60).alias("y")
     )
-    with pytest.raises(AnalysisError, match="Too many categories"):
-        tests.chi_square(df, "x", "y")
+    row = tests.chi_square(df, "x", "y").first()  # each category of one goes with one of the other
+    assert math.isclose(row["chi2_statistic"], 300 * 59) and row["degrees_of_freedom"] == 59 * 59
+    assert (row["categories1"], row["categories2"], row["n"]) == (60, 60, 300)
+
+
+def test_chi_square_counts_pairs_that_do_not_occur(spark):
+    rows = [("a", "x")] * 30 + [("b", "y")] * 20 + [("b", "x")] * 5 + [("c", "z")] * 7
+    row = tests.chi_square(spark.createDataFrame(rows, "p string, q string"), "p", "q").first()
+    table = np.array([[30, 0, 0], [5, 20, 0], [0, 0, 7]])
+    expected = table.sum(axis=1)[:, None] * table.sum(axis=0) / table.sum()
+    assert math.isclose(row["chi2_statistic"], ((table - expected) ** 2 / expected).sum())
+    two = spark.createDataFrame([("a", "x")] * 12 + [("b", "y")] * 9, "p string, q string")  # two of four pairs
+    expected = np.array([[12 * 12, 12 * 9], [9 * 12, 9 * 9]]) / 21
+    gaps = np.abs(np.array([[12, 0], [0, 9]]) - expected) - 0.5
+    assert math.isclose(tests.chi_square(two, "p", "q").first()["chi2_statistic"], (gaps**2 / expected).sum())
 
 
 def test_two_by_two_is_corrected(spark):
@@ -130,17 +143,28 @@ def test_logistic_matches_the_penalised_optimum(spark):
     assert math.isclose(row["accuracy"], ((design @ b >= 0) == (y == 1)).mean(), abs_tol=0.006)
 
 
-def test_cohort_limits_and_first_period(spark):
+def test_cohort_of_many_periods(spark):
     dates = pd.date_range("2000-01-01", periods=500, freq="3D")
     df = spark.createDataFrame(pd.DataFrame({"e": ["u%d" % (i % 9) for i in range(500)], "d": dates}))
-    with pytest.raises(AnalysisError, match="400"):
-        cohort.cohort(df, "e", "d", "D")
+    found = cohort.cohort(df, "e", "d", "D").toPandas()
+    # Entity k is first seen on day 3k and then every 27 days: a cohort each.
+    assert len(found) == 500 and found.active_users.eq(1).all() and found.period_index.max() == 55 * 27
     found = cohort.cohort(df, "e", "d", "M").toPandas()
     assert (found[found.period_index == 0].retention_rate == 100).all()
     matrix = cohort.cohort_matrix(df, "e", "d", "Q").first()
     assert matrix["cohort"] == "2000Q1" and matrix["period_0"] == 100.0
 
 
+def test_cohort_matrix_holds_every_cell_or_raises(spark):
+    days = spark.range(40).crossJoin(spark.range(70).withColumnRenamed("id", "k"))
+    events = days.select("id", F.expr("date_add(date'2020-01-01', cast(id + k as int))").alias("d"))  # 40 cohorts, 70 days each
+    for limit in (30, 69):  # too few for the cohorts, and for the periods only
+        with pytest.raises(AnalysisError, match="40 cohorts and 70 periods"):
+            cohort.cohort_matrix(events, "id", "d", "D", max_periods=limit)
+    found = cohort.cohort_matrix(events, "id", "d", "D", "active_users", max_periods=70).toPandas()
+    assert found.shape == (40, 72) and found.drop(columns=["cohort", "cohort_size"]).eq(1).all().all()
+
+
 @pytest.mark.parametrize(
     "freq,found,period", [("D", "D", 7), ("B", "B", 7), ("MS", "MS", 12), ("QS", "QS", 4), ("5h", None, 7)]
 )

@@ -369,6 +369,23 @@ def cohort_many(spark, folder):
     return tidy(cohorts.cohort(table(spark, folder, "orders"), "o_custkey", "o_orderdate", "D"))
 
 
+LAST_DAY = 30
+
+
+@query(
+    "cohort_matrix_daily",
+    f"""WITH c AS ({_cohort("D", "user_id", "ts", "events")})
+        SELECT cohort, cohort_size, {', '.join(f'max(active_users) FILTER (WHERE period_index = {i}) AS period_{i}' for i in range(LAST_DAY))}
+        FROM c GROUP BY 1, 2""",
+)
+def cohort_matrix_daily(spark, folder):
+    found = cohorts.cohort_matrix(table(spark, folder, "events"), "user_id", "ts", "D", "active_users", max_periods=1000)
+    for i in range(LAST_DAY):  # a small table may lack some of the periods
+        if f"period_{i}" not in found.columns:
+            found = found.withColumn(f"period_{i}", F.lit(None).cast("long"))
+    return found.select("cohort", "cohort_size", *[f"period_{i}" for i in range(LAST_DAY)])
+
+
 @query("cohort_weekly_events", _cohort("W", "user_id", "ts", "events"))
 def cohort_weekly(spark, folder):
     return tidy(cohorts.cohort(table(spark, folder, "events"), "user_id", "ts", "W"))
