@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import math
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.errors import AnalysisError
 from tabulon.functions import special
 from tabulon.functions.columns import as_double, col, require, require_numeric
 from tabulon.functions.parsing import as_timestamp
+from tabulon.plans import arma
 from tabulon.plans.layout import settle
 from tabulon.plans.ordered import ROWS_PER_TASK, largest_group, sliding, with_positions
 from tabulon.plans.results import result_frame
 
 BROADCAST_LIMIT = 100_000
-MAX_SERIES = 1_000_000
+PIECE_VALUES = 1 << 16  # timestamps of a series that a task fits together
+STRETCH = 256  # pieces that are composed together
 
 
 def prepare_series(df: DataFrame, date: str, value: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -211,13 +216,15 @@ def forecast_arima(
     q: int = 1,
     alpha: float = 0.05,
     group_cols: Sequence[str] = (),
-    max_series: int = MAX_SERIES,
+    rows_per_piece: int = PIECE_VALUES,
 ) -> DataFrame:
-    """ARIMA forecasts with intervals, one model per series, models in parallel.
+    """ARIMA forecasts with intervals, one model per series, by conditional least squares.
 
-    A series of fewer than 8 timestamps gives one row without step and forecast.
-    Fitting walks a series in time order, so a series must fit one task: longer
-    ones than ``max_series`` timestamps are refused, not cut.
+    A series is cut into pieces of ``rows_per_piece`` timestamps. Each pass fits all pieces of
+    all series side by side and composes what they found, so a series may be of any length;
+    one of a single piece is fitted where it lies, by the same steps. Dates go on by the
+    step of the series: equal gaps, months from their starts or ends, business days, else the
+    median gap. A series of fewer than 8 timestamps gives one row without step and forecast.
     """
     if not 1 <= periods <= 120:
         raise AnalysisError("periods must be between 1 and 120")
@@ -226,140 +233,236 @@ def forecast_arima(
     if not 0 < alpha < 1:
         raise AnalysisError("alpha must be between 0 and 1")
     keys = list(group_cols)
-    series = prepare_series(df, date, value, keys)
+    if rows_per_piece <= p + d + 1:
+        raise AnalysisError("rows_per_piece must exceed the orders")
+    series = settle(prepare_series(df, date, value, keys))
     longest = largest_group(series, keys)
     if longest < 8:
         raise AnalysisError("Need at least 8 observations for ARIMA forecasting")
-    if longest > max_series:
-        raise AnalysisError(f"A series of {longest} timestamps is too long for one model: aggregate it first")
-    names = [f.name for f in series.select(*[col(k) for k in keys]).schema.fields] if keys else []
-    types = [series.schema[k].dataType.simpleString() for k in keys]
-
-    def model(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date")
-        y = part["value"].to_numpy(dtype=float)
-        columns = [*names, "date", "step", "forecast", "lower_ci", "upper_ci", "aic", "bic", "n_observations"]
-        if len(y) < 8:  # too short for a model: one row that says so
-            short = {c: [None] for c in columns} | {"n_observations": [len(y)]} | {k: [part[k].iloc[0]] for k in names}
-            return pd.DataFrame(short, columns=columns)
-        fit = fit_arima(y, p, d, q)
-        level, spread = predict(fit, periods)
-        z = special.normal_quantile(1 - alpha / 2)
-        out = pd.DataFrame(
-            {
-                "date": future_dates(pd.DatetimeIndex(part["date"]), periods),
-                "step": np.arange(1, periods + 1),
-                "forecast": level,
-                "lower_ci": level - z * spread,
-                "upper_ci": level + z * spread,
-                "aic": fit["aic"],
-                "bic": fit["bic"],
-                "n_observations": len(y),
-            }
+    orders, context = arma.Orders(p, q, d == 0), p + d + 1
+    named = {k: f"__k{i}" for i, k in enumerate(keys)}
+    pieces = _pieces(series, named, longest, context, rows_per_piece)
+    group = list(named.values())
+    types = {n: pieces.schema[n].dataType.simpleString() for n in group}
+    z = special.normal_quantile(1 - alpha / 2)
+    schema = _schema(types) + FORECAST
+
+    def rows(part: pd.Series, found: arma.Fit | None, dates: list | None) -> pd.DataFrame:
+        names = ["date", "step", "forecast", "lower_ci", "upper_ci", "aic", "bic", "n_observations"]
+        if found is None:  # too short for a model: one row that says so
+            out = pd.DataFrame({n: [None] for n in names} | {"n_observations": [part["n"]]})
+        else:
+            level, spread, aic, bic = predict(found, np.asarray(part["values"], dtype=float), d, part["n"], periods)
+            out = pd.DataFrame(
+                {
+                    "date": dates, "step": np.arange(1, periods + 1), "forecast": level, "lower_ci": level - z * spread,
+                    "upper_ci": level + z * spread, "aic": aic, "bic": bic, "n_observations": part["n"],
+                }
+            )
+        for name in group:
+            out[name] = part[name]
+        return out[[*group, *names]]
+
+    def at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.iterrows():
+                if part["n"] < 8:
+                    yield rows(part, None, None)
+                else:
+                    stamps = np.asarray(part["dates"], dtype=np.int64)
+                    dates = future_dates(int(stamps[-1]), step_of(stamps, 0), float(np.median(np.diff(stamps))), periods)
+                    yield rows(part, arma.fit(np.diff(np.asarray(part["values"], dtype=float), n=d), orders), dates)
+
+    result = pieces.where(F.col("n") <= rows_per_piece).mapInPandas(at_once, schema)
+    if longest > rows_per_piece:
+        long = pieces.where(F.col("n") > rows_per_piece)
+        fits = _fit_in_passes(long, group, types, orders, d)
+        steps = _steps_of(long, group)
+
+        def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, part in batch.iterrows():
+                    found = arma.Fit(orders, **json.loads(part["fit"]))
+                    dates = future_dates(int(part["dates"][-1]), part["found"].asDict() if hasattr(part["found"], "asDict") else dict(part["found"]), part["middle"], periods)
+                    yield rows(part, found, dates)
+
+        last = long.where(F.col("piece") == F.floor((F.col("n") - 1) / rows_per_piece))
+        last = _join(_join(last, fits, group), steps, group)
+        result = result.unionByName(last.mapInPandas(settled, schema))
+    plain = [f.split()[0] for f in FORECAST.split(", ")]
+    return result.select(*[F.col(n).alias(k) for k, n in named.items()], *plain)
+
+
+FORECAST = "date timestamp_ntz, step int, forecast double, lower_ci double, upper_ci double, aic double, bic double, n_observations long"
+
+
+def _schema(types: dict[str, str]) -> str:
+    return "".join(f"`{n}` {t}, " for n, t in types.items())
+
+
+def _pieces(series: DataFrame, named: dict[str, str], longest: int, context: int, size: int) -> DataFrame:
+    """A row for each piece of each series: its number, the length n of the series, dates
+    (microseconds) and values in order, and how many of them lie in front of the piece."""
+    group = list(named.values())
+    series = series.select(*[col(k).alias(n) for k, n in named.items()], "date", "value")
+    sizes = series.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    placed = _join(with_positions(series, ["date"], group, name="__i", total=longest), sizes, group)
+    index = F.col("__i") - 1
+    own = F.floor(index / size)
+    again = (index % size >= size - context) & (index < F.floor((F.col("n") - 1) / size) * size)
+    homes = F.when(again, F.array(own, own + 1)).otherwise(F.array(own))
+    placed = placed.select(*group, "n", index.alias("i"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', date)").alias("t"), "value", F.explode(homes).alias("piece"))
+    # At most `size` rows and the context: a bounded list.
+    found = placed.groupBy(*group, "n", "piece").agg(F.array_sort(F.collect_list(F.struct("i", "t", "value"))).alias("rows"))
+    return settle(
+        found.select(
+            *group, "n", "piece", F.transform("rows", lambda r: r["t"]).alias("dates"), F.transform("rows", lambda r: r["value"]).alias("values"),
+            (F.col("piece") * size - F.element_at("rows", 1)["i"]).alias("context"), (F.col("piece") * size).alias("start"),
         )
-        for k in names:
-            out[k] = part[k].iloc[0]
-        return out[columns]
-
-    schema = "".join(f"`{k}` {t}, " for k, t in zip(names, types)) + (
-        "date timestamp_ntz, step int, forecast double, lower_ci double, upper_ci double, aic double, "
-        "bic double, n_observations long"
     )
-    return series.groupBy(*[col(k) for k in keys]).applyInPandas(model, schema)
-
-
-def future_dates(index: pd.DatetimeIndex, periods: int) -> list:
-    freq = pd.infer_freq(index) if len(index) >= 3 else None
-    if freq:
-        return list(pd.date_range(index[-1], periods=periods + 1, freq=freq)[1:])
-    step = index.to_series().diff().median() if len(index) > 1 else pd.Timedelta(days=1)
-    return [index[-1] + step * (i + 1) for i in range(periods)]
-
-
-def arma_errors(w: np.ndarray, constant: float, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """One-step errors given zero errors and centred history before the sample."""
-    centred = w - constant
-    part = centred.copy()
-    for lag, weight in enumerate(ar, 1):
-        part[lag:] -= weight * centred[:-lag]
-    if not len(ma):
-        return part
-    errors = np.zeros(len(w))
-    past = [0.0] * len(ma)
-    for t, value in enumerate(part.tolist()):
-        for weight, e in zip(ma, past):
-            value -= weight * e
-        errors[t] = value
-        past = [value, *past[:-1]]
-    return errors
-
-
-def _stable(weights: np.ndarray) -> bool:
-    """All roots of 1 - w1 z - w2 z^2 ... outside the unit circle."""
-    if not len(weights):
-        return True
-    return bool(np.all(np.abs(np.roots(np.r_[1.0, -weights])) < 0.9999))
-
-
-def fit_arima(y: np.ndarray, p: int, d: int, q: int) -> dict:
-    """Conditional least squares by damped Gauss-Newton steps."""
-    w = np.diff(y, n=d) if d else y.astype(float)
-    free_mean = d == 0
-    k = int(free_mean) + p + q
-
-    def split(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        start = int(free_mean)
-        mean = float(theta[0]) if free_mean else 0.0
-        return mean, theta[start : start + p], theta[start + p :]
-
-    def errors(theta: np.ndarray) -> np.ndarray:
-        return arma_errors(w, *split(theta))[p:]
-
-    theta = np.zeros(k)
-    if free_mean:
-        theta[0] = w.mean()
-    current = errors(theta)
-    loss, damping = float(current @ current), 1e-3
-    for _ in range(100 if k else 0):
-        step = 1e-6 * np.maximum(1.0, np.abs(theta))
-        slope = np.column_stack([(errors(theta + step * np.eye(k)[i]) - current) / step[i] for i in range(k)])
-        normal = slope.T @ slope
-        pull = slope.T @ current
-        improved = False
-        for _ in range(12):
-            move = np.linalg.lstsq(normal + damping * np.diag(np.diag(normal) + 1e-12), -pull, rcond=None)[0]
-            trial = theta + move
-            _, ar, ma = split(trial)
-            if _stable(ar) and _stable(-ma):
-                found = errors(trial)
-                if float(found @ found) < loss:
-                    improved = True
-                    break
-            damping *= 4
-        if not improved:
-            break
-        gain = loss - float(found @ found)
-        theta, current, loss = trial, found, float(found @ found)
-        damping = max(damping / 10, 1e-12)
-        if gain <= 1e-12 * (loss + 1e-300):
+
+
+def _fit_in_passes(pieces: DataFrame, group: list[str], types: dict[str, str], orders: arma.Orders, d: int) -> DataFrame:
+    """The fit of each series as JSON, pass by pass over its pieces."""
+    keys = _schema(types)
+
+    def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for _, part in batch.iterrows():
+                values = np.diff(np.asarray(part["values"], dtype=float), n=d)
+                # The first piece has no context, and its first d values no difference.
+                context, start = max(0, int(part["context"]) - d), max(0, int(part["start"]) - d)
+                found = [arma.summarise(values, context, start, np.array(t), orders) for t in json.loads(part["fit"])["trials"]]
+                out.append([*part[group], part["piece"], part["fit"], pickle.dumps(found)])
+            yield pd.DataFrame(out, columns=[*group, "piece", "fit", "found"])
+
+    def composed(found: pd.DataFrame) -> list[arma.Summary]:
+        ordered = [pickle.loads(x) for x in found.sort_values("piece")["found"]]
+        return [functools.reduce(arma.compose, trial) for trial in zip(*ordered, strict=True)]
+
+    def stretch(part: pd.DataFrame) -> pd.DataFrame:
+        out = part.iloc[:1][[*group, "fit"]].copy()
+        out["piece"], out["found"] = part["piece"].min(), pickle.dumps(composed(part))
+        return out[[*group, "piece", "fit", "found"]]
+
+    def update(part: pd.DataFrame) -> pd.DataFrame:
+        fit = arma.Fit(orders, **json.loads(part["fit"].iloc[0]))
+        fit.update(composed(part))
+        out = part.iloc[:1][[*group]].copy()
+        out["fit"], out["done"] = _as_json(fit), fit.done
+        return out
+
+    own = F.slice("values", F.col("context") + 1, F.greatest(F.size("values") - F.col("context"), F.lit(0)).cast("int"))
+    sums = pieces.select(*group, F.aggregate(own, F.lit(0.0), lambda a, x: a + x).alias("sum"), "n")
+    means = sums.groupBy(*group).agg((F.sum("sum") / F.max("n")).alias("mean"))
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["fit"] = [_as_json(arma.Fit.begin(orders, m)) for m in batch["mean"]]
+            yield batch[[*group, "fit"]]
+
+    open_fits = settle(means.mapInPandas(begin, f"{keys}fit string"))
+    finished, found_type = None, f"{keys}piece long, fit string, found binary"
+    long = pieces.agg(F.max("piece")).first()[0] >= STRETCH
+    for _ in range(arma.MAX_PASSES):
+        found = _join(pieces.select(*group, "piece", "context", "start", "values"), open_fits, group).mapInPandas(summaries, found_type)
+        if long:
+            parts = found.withColumn("stretch", F.floor(F.col("piece") / STRETCH))
+            found = parts.groupBy(*group, "stretch").applyInPandas(stretch, found_type)
+        state = settle(found.groupBy(*group).applyInPandas(update, f"{keys}fit string, done boolean"))
+        ready = state.where("done").drop("done")
+        finished = ready if finished is None else finished.unionByName(ready)
+        open_fits = state.where(~F.col("done")).drop("done")
+        if open_fits.isEmpty():
             break
-    mean, ar, ma = split(theta)
-    n = len(w) - p
-    variance = loss / n
-    likelihood = -0.5 * n * (math.log(2 * math.pi * max(variance, 1e-300)) + 1)
-    size = k + 1
+    return finished
+
+
+def _as_json(fit: arma.Fit) -> str:
+    names = ["trials", "theta", "products", "state", "damping", "passes", "done"]
+    return json.dumps({n: getattr(fit, n) for n in names})
+
+
+DAY = 86_400_000_000  # microseconds
+
+
+def step_of(stamps: np.ndarray, context: int) -> dict:
+    """What the dates (microseconds) of a piece tell about the step of the series."""
+    gaps = np.diff(stamps[max(0, context - 1) :])
+    at = stamps[max(0, context - 1) :].astype("datetime64[us]")
+    months, days = at.astype("datetime64[M]"), at.astype("datetime64[D]")
+    steps = np.diff(months.astype(np.int64))
+    weekday = (days.astype(np.int64) + 3) % 7
+    clock = stamps[max(0, context - 1) :] % DAY
+    whole = np.diff(days.astype(np.int64))
     return {
-        "y": y, "w": w, "d": d, "mean": mean, "ar": ar, "ma": ma, "variance": variance,
-        "errors": arma_errors(w, mean, ar, ma),
-        "aic": 2 * size - 2 * likelihood, "bic": size * math.log(n) - 2 * likelihood,
+        "least_gap": int(gaps.min(initial=2**62)), "most_gap": int(gaps.max(initial=0)),
+        "least_months": int(steps.min(initial=2**31)), "most_months": int(steps.max(initial=0)),
+        "least_clock": int(clock.min()), "most_clock": int(clock.max()),
+        "starts": bool((days == months.astype("datetime64[D]")).all()),
+        "ends": bool((days == (months + 1).astype("datetime64[D]") - 1).all()),
+        "business": bool((weekday < 5).all() and np.where(weekday[:-1] == 4, whole == 3, whole == 1).all()),
     }
 
 
-def predict(fit: dict, periods: int) -> tuple[np.ndarray, np.ndarray]:
-    """Point forecasts and their standard errors on the original scale."""
-    ar, ma, mean, d = fit["ar"], fit["ma"], fit["mean"], fit["d"]
-    history = list(fit["w"] - mean)
-    errors = list(fit["errors"])
+STEP = "least_gap long, most_gap long, least_months long, most_months long, least_clock long, most_clock long, starts boolean, ends boolean, business boolean"
+
+
+def _steps_of(pieces: DataFrame, group: list[str]) -> DataFrame:
+    """`step_of` of whole series, and their median gap, which a histogram of gaps gives exactly."""
+    names = [f.split()[0] for f in STEP.split(", ")]
+    types = {n: pieces.schema[n].dataType.simpleString() for n in group}
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [step_of(np.asarray(d, dtype=np.int64), int(c)) for d, c in zip(batch["dates"], batch["context"], strict=True)]
+            yield pd.concat([batch[group].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+
+    steps = pieces.select(*group, "dates", "context").mapInPandas(look, _schema(types) + STEP)
+    merged = [(F.min(n) if n.startswith("least") else F.max(n) if n.startswith("most") else F.bool_and(n)).alias(n) for n in names]
+    steps = steps.groupBy(*group).agg(*merged).select(*group, F.struct(*names).alias("found"))
+    here = F.slice("dates", F.greatest(F.col("context"), F.lit(1)).cast("int"), F.size("dates"))
+    pairs = F.arrays_zip(F.slice(here, 2, F.size("dates")).alias("b"), here.alias("a"))
+    gaps = pieces.select(*group, F.explode(F.transform(pairs, lambda p: p["b"] - p["a"])).alias("gap")).where(F.col("gap").isNotNull())
+    counts = gaps.groupBy(*group, "gap").agg(F.count(F.lit(1)).alias("times"))
+    middle = grouped_median(counts, group)
+    return _join(steps, middle, group)
+
+
+def grouped_median(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Median of counted values (gap, times) of each group: equal gaps are one row."""
+    spec = Window.partitionBy(*group).orderBy("gap") if group else Window.orderBy("gap")
+    upto = counts.withColumn("upto", F.sum("times").over(spec)).withColumn("total", F.sum("times").over(spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda rank: (F.col("upto") - F.col("times") <= rank) & (rank < F.col("upto"))
+    return upto.groupBy(*group).agg(((F.max(F.when(holds(low), F.col("gap"))) + F.max(F.when(holds(high), F.col("gap")))) / 2).alias("middle"))
+
+
+def future_dates(last: int, step: dict, middle: float, periods: int) -> list:
+    """The dates that follow the last one (microseconds)."""
+    at = pd.Timestamp(last, unit="us")
+    same_clock = step["least_clock"] == step["most_clock"]
+    if step["least_gap"] == step["most_gap"]:
+        return [at + pd.Timedelta(step["least_gap"] * i, "us") for i in range(1, periods + 1)]
+    if same_clock and step["least_months"] == step["most_months"] > 0 and (step["starts"] or step["ends"]):
+        offset = pd.offsets.MonthBegin if step["starts"] else pd.offsets.MonthEnd
+        return [at + offset(int(step["least_months"]) * i) for i in range(1, periods + 1)]
+    if same_clock and step["business"]:
+        return [at + pd.offsets.BDay(i) for i in range(1, periods + 1)]
+    return [at + pd.Timedelta(middle * i, "us") for i in range(1, periods + 1)]
+
+
+def predict(found: arma.Fit, values: np.ndarray, d: int, n: int, periods: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Point forecasts and standard errors on the scale of the series, AIC and BIC, from the
+    fit and the last values."""
+    mean, ar, ma = found.orders.split(np.array(found.theta or [0.0] * found.orders.size))
+    used = n - d - found.orders.p
+    variance = found.loss / used
+    likelihood = -0.5 * used * (math.log(2 * math.pi * max(variance, 1e-300)) + 1)
+    size = found.orders.size + 1
+    history = list(np.diff(values, n=d) - mean)
+    errors = list(reversed((found.state or [0.0])[: max(found.orders.q, 1)]))
     ahead = []
     for _ in range(periods):
         value = sum(a * history[-i] for i, a in enumerate(ar, 1) if i <= len(history))
@@ -369,12 +472,11 @@ def predict(fit: dict, periods: int) -> tuple[np.ndarray, np.ndarray]:
         ahead.append(value + mean)
     level = np.array(ahead)
     for order in range(d, 0, -1):
-        last = np.diff(fit["y"], n=order - 1)[-1]
-        level = last + np.cumsum(level)
+        level = np.diff(values, n=order - 1)[-1] + np.cumsum(level)
     psi = np.zeros(periods)
     psi[0] = 1.0
     for j in range(1, periods):
         psi[j] = (ma[j - 1] if j <= len(ma) else 0.0) + sum(a * psi[j - i] for i, a in enumerate(ar, 1) if i <= j)
     for _ in range(d):
         psi = np.cumsum(psi)
-    return level, np.sqrt(fit["variance"] * np.cumsum(psi**2))
+    return level, np.sqrt(variance * np.cumsum(psi**2)), 2 * size - 2 * likelihood, size * math.log(used) - 2 * likelihood

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tabulon.errors import AnalysisError
 from tabulon.functions.columns import col
 
 
@@ -27,10 +30,14 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a result that several later jobs read.
 
-    Written to the reliable checkpoint folder the session names, so a lost
-    executor does not recompute it; without such a folder it stays lazy.
+    It is written once to the checkpoint folder that all executors share, so a lost executor
+    does not make it be computed again. A session on one machine without such a folder gets
+    one; on a cluster spark.checkpoint.dir must name it.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise AnalysisError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabulon-"))
+    return df.checkpoint()

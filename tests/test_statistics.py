@@ -1,3 +1,4 @@
+import functools
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tabulon import AnalysisError
 from tabulon.functions import special
 from tabulon.operators import cohort, hypothesis_tests as tests, regression, timeseries
+from tabulon.plans import arma
 
 
 @pytest.fixture(scope="module")
@@ -191,16 +193,83 @@ def test_decomposition_recomposes(spark, model):
         assert np.allclose(found.trend, 52.5 + t) and np.allclose(found.residual, 0, atol=1e-9)
 
 
+def arma_series(n, ar, ma, seed=1):
+    eps = np.random.default_rng(seed).normal(size=n)
+    w = np.zeros(n)
+    for i in range(n):
+        w[i] = eps[i] + sum(a * w[i - k] for k, a in enumerate(ar, 1) if i >= k) + sum(m * eps[i - k] for k, m in enumerate(ma, 1) if i >= k)
+    return w, eps
+
+
+def arma_errors(w, mean, ar, ma):
+    out = []
+    for t in range(len(w)):
+        e = w[t] - mean - sum(a * (w[t - i] - mean) for i, a in enumerate(ar, 1) if t >= i)
+        out.append(e - sum(m * out[t - j] for j, m in enumerate(ma, 1) if t >= j))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("p,q,mean", [(0, 0, True), (1, 0, False), (0, 1, False), (1, 1, True), (2, 1, True), (1, 3, False), (3, 2, True)])
+def test_arma_products_are_those_of_the_recursion(p, q, mean):
+    """Whatever pieces the series is cut into."""
+    orders, rng = arma.Orders(p, q, mean), np.random.default_rng(p + 5 * q)
+    w = rng.normal(size=700) + 2
+    theta = rng.uniform(-0.3, 0.3, orders.size)
+
+    def errors(t):
+        return arma_errors(w, *orders.split(t))
+
+    step = 1e-6
+    slopes = [(errors(theta + step * np.eye(orders.size)[i]) - errors(theta - step * np.eye(orders.size)[i])) / (2 * step) for i in range(orders.size)]
+    z = np.array([errors(theta), *slopes])[:, p:]
+    for cuts in ([0, 700], [0, 1, 5, 300, 301, 557, 700]):
+        parts = []
+        for low, high in zip(cuts, cuts[1:]):
+            context = min(low, p + 1)
+            parts.append(arma.summarise(w[low - context : high], context, low, theta, orders))
+        products, state = arma.settle_state(functools.reduce(arma.compose, parts))
+        assert np.allclose(products, z @ z.T, rtol=1e-6, atol=1e-4)
+        assert np.allclose(state[: max(q, 1)], errors(theta)[::-1][: max(q, 1)])
+
+
 def test_arima_recovers_known_parameters():
-    rng = np.random.default_rng(1)
-    eps = rng.normal(size=4000)
-    w = np.zeros(4000)
-    for i in range(1, 4000):
-        w[i] = 0.6 * w[i - 1] + eps[i] + 0.3 * eps[i - 1]
-    fit = timeseries.fit_arima(np.cumsum(w), 1, 1, 1)
-    assert abs(fit["ar"][0] - 0.6) < 0.05 and abs(fit["ma"][0] - 0.3) < 0.05 and abs(fit["variance"] - 1) < 0.06
-    level, spread = timeseries.predict(timeseries.fit_arima(np.cumsum(eps), 0, 1, 0), 4)
-    assert np.allclose(level, np.cumsum(eps)[-1]) and np.allclose(spread / spread[0], np.sqrt([1, 2, 3, 4]))
+    w, eps = arma_series(4000, [0.6], [0.3])
+    fit = arma.fit(w, arma.Orders(1, 1, False))
+    assert abs(fit.theta[0] - 0.6) < 0.05 and abs(fit.theta[1] - 0.3) < 0.05 and abs(fit.loss / 3999 - 1) < 0.06
+    for move in ([1e-3, 0], [0, 1e-3], [-1e-3, 0], [0, -1e-3]):  # it is the least of the squares
+        around = np.array(fit.theta) + move
+        assert (arma_errors(w, 0.0, around[:1], around[1:])[1:] ** 2).sum() > fit.loss
+    w, _ = arma_series(5000, [0.5, -0.3], [0.4, 0.2], 3)
+    fit = arma.fit(w + 50, arma.Orders(2, 2, True))
+    assert np.allclose(fit.theta, [50, 0.5, -0.3, 0.4, 0.2], atol=0.25) and fit.passes < 40
+    walk = np.cumsum(eps)
+    level, spread, _, _ = timeseries.predict(arma.fit(np.diff(walk), arma.Orders(0, 0, False)), walk[-5:], 1, len(walk), 4)
+    assert np.allclose(level, walk[-1]) and np.allclose(spread / spread[0], np.sqrt([1, 2, 3, 4]))
+
+
+@pytest.mark.parametrize("p,d,q", [(1, 1, 1), (2, 0, 0)])
+def test_forecasts_do_not_depend_on_the_pieces(spark, p, d, q):
+    w, _ = arma_series(400, [0.5], [0.3])
+    frames = [
+        pd.DataFrame({"g": g, "d": pd.date_range("2020-01-31", periods=n, freq=freq), "v": np.cumsum(w[:n]) + 9})
+        for g, n, freq in (("long", 400, "D"), ("month", 333, "ME"), ("odd", 90, "h"), ("tiny", 5, "D"), (None, 150, "B"))
+    ]
+    frames[2].loc[40:, "d"] += pd.Timedelta("17min")  # one gap of its own: the median counts
+    df = spark.createDataFrame(pd.concat(frames).sample(frac=1, random_state=2))
+
+    def found(size):
+        out = timeseries.forecast_arima(df, "d", "v", 5, p, d, q, group_cols=["g"], rows_per_piece=size)
+        assert out.columns[0] == "g"
+        return out.toPandas().sort_values(["g", "step"], na_position="first").reset_index(drop=True)
+
+    whole, pieces = found(1 << 16), found(70)
+    assert len(whole) == 4 * 5 + 1 and whole[whole.g == "tiny"].n_observations.tolist() == [5]
+    pd.testing.assert_frame_equal(whole, pieces, rtol=1e-4)
+    next_days = {g: rows.date.iloc[0] for g, rows in whole.groupby("g")}
+    assert next_days["long"] == frames[0].d.iloc[-1] + pd.Timedelta("1D")
+    assert next_days["month"] == frames[1].d.iloc[-1] + pd.offsets.MonthEnd(1)
+    assert next_days["odd"] == frames[2].d.iloc[-1] + pd.Timedelta("1h")
+    assert whole[whole.g.isna()].date.iloc[0] == frames[4].d.iloc[-1] + pd.offsets.BDay(1)
 
 
 def test_forecast_frame(spark):
@@ -209,5 +278,7 @@ def test_forecast_frame(spark):
     found = timeseries.forecast_arima(spark.createDataFrame(pdf), "d", "v", 3, group_cols=["g"]).toPandas()
     assert len(found) == 6 and found.date.min() == pd.Timestamp("2029-01-01")
     assert (found.upper_ci >= found.forecast).all()
+    alone = timeseries.forecast_arima(spark.createDataFrame(pdf[pdf.g == "b"]), "d", "v", 3).toPandas()
+    assert np.allclose(alone.forecast, found[found.g == "b"].forecast)
     with pytest.raises(AnalysisError):
-        timeseries.forecast_arima(spark.createDataFrame(pdf), "d", "v", 3, max_series=10)
+        timeseries.forecast_arima(spark.createDataFrame(pdf.head(5)), "d", "v", 3)

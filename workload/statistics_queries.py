@@ -342,6 +342,50 @@ def forecast(spark, folder):
     return timeseries.forecast_arima(df, "day", "value", 6, group_cols=["event_type"])
 
 
+# First-order autoregression in closed form: of the steps of a series, and around its mean.
+AR_SERIES = """WITH s AS (SELECT event_type AS g, ts::DATE AS day, avg(value) AS y FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+    w AS (SELECT g, day, y, {w} AS w FROM s WINDOW k AS (PARTITION BY g ORDER BY day)),
+    v AS (SELECT *, lag(w) OVER (PARTITION BY g ORDER BY day) AS u FROM w),
+    f AS (SELECT g, count(*) AS n, count(u) FILTER (WHERE w IS NOT NULL) AS m, {phi} AS phi, {mu} AS mu, max(day) AS ended, arg_max(y, day) AS y, arg_max(w, day) AS w FROM v GROUP BY 1),
+    e AS (SELECT g, sum(power(v.w - mu - phi * (u - mu), 2)) / any_value(m) AS var FROM v JOIN f USING (g) WHERE u IS NOT NULL AND v.w IS NOT NULL GROUP BY 1),
+    c AS (SELECT f.*, var, k, 2 * {size} + m * (ln(2 * pi() * var) + 1) AS aic, {size} * ln(m) + m * (ln(2 * pi() * var) + 1) AS bic FROM f JOIN e USING (g), range(1, 7) t(k)),
+    z AS (SELECT *, {level} AS level, 1.959963984540054 * sqrt(var * list_sum(list_transform(range(0, k), lambda j: power({psi}, 2)))) AS reach FROM c)
+    SELECT g AS event_type, (ended + k::INT) AS date, k::INT AS step, {forecast} AS forecast, {low} AS lower_ci, {high} AS upper_ci, {aic} AS aic, {bic} AS bic, n AS n_observations FROM z"""
+
+
+def _autoregression(**parts: str) -> str:
+    out = {n: r(x, 3) for n, x in {"forecast": "level", "low": "level - reach", "high": "level + reach", "aic": "aic", "bic": "bic"}.items()}
+    return AR_SERIES.format(**parts, **out)
+
+
+def _forecast(spark, folder, d):
+    df = table(spark, folder, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    found = timeseries.forecast_arima(df, "day", "value", 6, 1, d, 0, group_cols=["event_type"])
+    return tidy(found.withColumn("date", F.col("date").cast("date")), 3)
+
+
+@query(
+    "forecast_ar1_steps",
+    _autoregression(
+        w="y - lag(y) OVER k", phi="sum(w * u) / sum(u * u) FILTER (WHERE w IS NOT NULL)", mu="0.0", size="2",
+        level="y + w * list_sum(list_transform(range(1, k + 1), lambda j: power(phi, j)))", psi="(1 - power(phi, j + 1)) / (1 - phi)",
+    ),
+)
+def forecast_steps(spark, folder):
+    return _forecast(spark, folder, 1)
+
+
+@query(
+    "forecast_ar1_mean",
+    _autoregression(
+        w="y", phi="regr_slope(w, u)", mu="regr_intercept(w, u) / (1 - regr_slope(w, u))", size="3",
+        level="mu + (y - mu) * power(phi, k)", psi="power(phi, j)",
+    ),
+)
+def forecast_mean(spark, folder):
+    return _forecast(spark, folder, 0)
+
+
 COHORTS = {
     "D": ("day", "strftime(f, '%Y-%m-%d')", "date_diff('day', f, p)"),
     "W": ("week", "strftime(f, '%Y-%m-%d') || '/' || strftime(f + INTERVAL 6 DAY, '%Y-%m-%d')", "date_diff('day', f, p) // 7"),
