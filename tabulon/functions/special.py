@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from fractions import Fraction
 from statistics import NormalDist
 
 _NORMAL = NormalDist()
@@ -100,27 +102,54 @@ def correlation_p(r: float, n: int) -> float:
     return t_two_sided(r * math.sqrt(dof / ((1 - r) * (1 + r))), dof)
 
 
-def rank_sum_counts(m: int, n: int) -> list[int]:
-    """Number of orderings of m and n items for each value of U (no ties).
-
-    The counts are the coefficients of the Gaussian binomial
-    prod (1 - q^(n+i)) / (1 - q^i), i = 1..m.
+@functools.cache
+def _bounded_partitions(m: int) -> tuple[int, list[int]]:
+    """L and the coefficients of (1 - q^L)^(m+1) / ((1 - q) (1 - q) (1 - q^2) ... (1 - q^m)),
+    L being divisible by 1 to m: a polynomial, as L / i steps of i make one of L."""
+    period = math.lcm(*range(1, m + 1))
+    counts = [1]
+    for i in (1, *range(1, m + 1)):
+        longer = [0] * (len(counts) + period - i)
+        for k in range(len(longer)):
+            # A running sum of every i-th coefficient over one period.
+            longer[k] = (longer[k - i] if k >= i else 0) + (counts[k] if k < len(counts) else 0)
+            if k >= period and k - period < len(counts):
+                longer[k] -= counts[k - period]
+        counts = longer
+    return period, counts
+
+
+def _partitions_upto(x: int, m: int) -> int:
+    """Number of ways to write a number of at most x as a sum of parts of at most m."""
+    if x < 0:
+        return 0
+    period, counts = _bounded_partitions(m)
+    return sum(counts[s] * math.comb((x - s) // period + m, m) for s in range(x % period, min(x + 1, len(counts)), period))
+
+
+def rank_sum_upto(u: int, m: int, n: int) -> int:
+    """Number of orderings of m and n items with U of at most u (no ties), in closed form.
+
+    The orderings by U are the coefficients of the Gaussian binomial
+    prod (1 - q^(n+i)) / (1 - q^i), i = 1..m. Its numerator has few terms for a small m, and
+    the rest counts partitions, a polynomial in u for each remainder: the cost does not
+    depend on n.
     """
-    size = m * n + 1
-    counts = [0] * size
-    counts[0] = 1
+    m, n = min(m, n), max(m, n)
+    terms = {0: 1}
     for i in range(1, m + 1):
-        for k in range(size - 1, n + i - 1, -1):
-            counts[k] -= counts[k - n - i]
-        for k in range(i, size):
-            counts[k] += counts[k - i]
-    return counts
+        for shift, weight in list(terms.items()):
+            terms[shift + n + i] = terms.get(shift + n + i, 0) - weight
+    return sum(weight * _partitions_upto(u - shift, m) for shift, weight in terms.items() if weight)
 
 
 def rank_sum_upper(u: float, m: int, n: int) -> float:
-    """P(U >= u) without ties."""
-    counts = rank_sum_counts(min(m, n), max(m, n))
-    return sum(counts[math.ceil(u) :]) / math.comb(m + n, m)
+    """P(U >= u) without ties; the distribution is symmetric around m n / 2."""
+    at_least = math.ceil(u)
+    if at_least <= 0:
+        return 1.0
+    upper = Fraction(rank_sum_upto(m * n - at_least, m, n), math.comb(m + n, min(m, n)))
+    return float(upper)
 
 
 def inversions_two_sided(c: int, n: int) -> float:

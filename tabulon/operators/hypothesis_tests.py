@@ -21,7 +21,6 @@ from tabulon.plans.results import result_frame
 ALPHA = 0.05
 NAMED_GROUPS = 20
 EXACT_SIZE = 8
-EXACT_CELLS = 200_000
 SHAPIRO_LIMIT = 5000
 
 
@@ -68,7 +67,8 @@ def t_test(df: DataFrame, first: str, second: str, equal_var: bool = False) -> D
 def mann_whitney_u(
     df: DataFrame, first: str, second: str, alternative: str = "two-sided", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """U of the first column; exact p for small samples without ties, else normal."""
+    """U of the first column, and p with the method it was found by: exact where the smaller
+    sample has at most 8 values and none are tied, however large the other is, else normal."""
     if alternative not in ("two-sided", "less", "greater"):
         raise AnalysisError("alternative must be two-sided, less or greater")
     require_numeric(df, first, second)
@@ -85,7 +85,8 @@ def mann_whitney_u(
     u1 = found["rank_sum"] - n1 * (n1 + 1) / 2
     u2 = float(n1) * n2 - u1
     u = {"two-sided": max(u1, u2), "greater": u1, "less": u2}[alternative]
-    if min(n1, n2) <= EXACT_SIZE and found["largest_tie"] == 1 and n1 * n2 <= EXACT_CELLS:
+    exact = min(n1, n2) <= EXACT_SIZE and found["largest_tie"] == 1
+    if exact:
         p = special.rank_sum_upper(u, n1, n2)
     else:
         n = n1 + n2
@@ -97,9 +98,9 @@ def mann_whitney_u(
     medians = exact_quantiles(slim, ["a", "b"], [0.5])
     return result_frame(
         df.sparkSession,
-        [(first, second, alternative, u1, p, p is not None and p < ALPHA, medians["a"][0.5], medians["b"][0.5], n1, n2)],
+        [(first, second, alternative, u1, p, p is not None and p < ALPHA, medians["a"][0.5], medians["b"][0.5], n1, n2, "exact" if exact else "normal")],
         "column1 string, column2 string, alternative string, u_statistic double, p_value double, "
-        "significant boolean, median1 double, median2 double, n1 long, n2 long",
+        "significant boolean, median1 double, median2 double, n1 long, n2 long, method string",
     )
 
 

@@ -1,4 +1,5 @@
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -38,14 +39,33 @@ def test_shapiro_published_example():
 
 
 def test_exact_rank_distributions():
-    assert special.rank_sum_counts(2, 3) == [1, 1, 2, 2, 2, 1, 1]
+    assert np.diff([special.rank_sum_upto(u, 2, 3) for u in range(-1, 7)]).tolist() == [1, 1, 2, 2, 2, 1, 1]
+    for m, n in ((1, 1), (1, 9), (3, 2), (4, 6), (5, 5), (8, 3)):  # all orderings one by one
+        us = [sum(x - k for k, x in enumerate(c)) for c in itertools.combinations(range(m + n), m)]
+        for u in range(m * n + 2):
+            assert math.isclose(special.rank_sum_upper(u, m, n), np.mean(np.array(us) >= u))
+    # Eight values against a billion: the limit is that of a sum of eight uniform numbers.
+    assert math.isclose(special.rank_sum_upper(4 * 10**9, 8, 10**9), 0.5, rel_tol=1e-6)
+    assert math.isclose(special.rank_sum_upper(7 * 10**9, 8, 10**9), 1 / math.factorial(8), rel_tol=1e-6)
     assert math.isclose(special.inversions_two_sided(0, 4), 2 / 24)
     assert math.isclose(special.inversions_two_sided(3, 6), 2 * (1 + 5 + 14 + 29) / 720)
 
 
 def test_small_samples_use_exact_p(four):
     row = tests.mann_whitney_u(four, "a", "b").first()
-    assert row["u_statistic"] == 6.0 and math.isclose(row["p_value"], 48 / 70)
+    assert row["u_statistic"] == 6.0 and math.isclose(row["p_value"], 48 / 70) and row["method"] == "exact"
+    row = tests.mann_whitney_u(four.unionByName(four), "a", "b").first()
+    assert row["method"] == "normal"  # ties
+
+
+def test_exact_p_of_a_tiny_and_a_large_sample(spark):
+    values = spark.range(60_000).select(F.when(F.col("id") < 4, F.col("id") * 15_000 + 0.5).alias("a"), F.col("id").cast("double").alias("b"))
+    row = tests.mann_whitney_u(values, "a", "b").first()
+    assert row["method"] == "exact" and row["u_statistic"] == 4 + 15_000 * 6
+    assert math.isclose(row["p_value"], 2 * special.rank_sum_upper(4 * 60_000 - row["u_statistic"], 4, 60_000))
+
+
+def test_kendall_of_four(four):
     row = tests.correlation_test(four, "a", "b", "kendall").first()
     assert math.isclose(row["coefficient"], 1.0) and math.isclose(row["p_value"], 2 / 24)
 

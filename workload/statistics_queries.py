@@ -50,6 +50,20 @@ def pooled(spark, folder):
     return tidy(tests.t_test(two(spark, folder), "a", "b", equal_var=True).select("statistic", "degrees_of_freedom"))
 
 
+@query(
+    "mann_whitney_exact",
+    f"""WITH x AS (SELECT r_regionkey * 6.37 + 0.1 AS v FROM region), y AS (SELECT n_nationkey::DOUBLE AS v FROM nation),
+        u AS (SELECT count(*) FILTER (WHERE x.v > y.v) AS u FROM x, y), i AS (SELECT unnest(range(1, 31)) AS k),
+        orders AS (SELECT a.k + b.k + c.k + d.k + e.k - 15 AS u FROM i a JOIN i b ON a.k < b.k JOIN i c ON b.k < c.k JOIN i d ON c.k < d.k JOIN i e ON d.k < e.k)
+        SELECT u::DOUBLE AS u_statistic, {r("least(1.0, 2.0 * (SELECT count(*) FILTER (WHERE orders.u >= greatest(t.u, 125 - t.u)) / count(*) FROM orders))", 9)} AS p_value,
+        'exact' AS method FROM u t""",
+)
+def mann_whitney_exact(spark, folder):
+    few = table(spark, folder, "region").select((F.col("r_regionkey") * 6.37 + 0.1).alias("a"), F.lit(None).cast("double").alias("b"))
+    many = table(spark, folder, "nation").select(F.lit(None).cast("double").alias("a"), F.col("n_nationkey").cast("double").alias("b"))
+    return tidy(tests.mann_whitney_u(few.unionByName(many), "a", "b").select("u_statistic", "p_value", "method"), 9)
+
+
 @query(
     "mann_whitney_u",
     f"""WITH v AS (SELECT 0 AS s, a::DOUBLE AS x FROM {TWO} WHERE a IS NOT NULL UNION ALL SELECT 1, b::DOUBLE FROM {TWO}),
