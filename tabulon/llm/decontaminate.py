@@ -52,12 +52,10 @@ def windows(text: str | None, length: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + length]) for i in range(max(1, len(words) - length + 1))}
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str, length: int, limit: int) -> Iterator[list[tuple[str, str]]]:
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, length: int, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in groups whose windows take at most `limit` bytes (a single larger item
     is a group of its own), each group sent to the driver by itself."""
-    items = benchmark.select(col(id_col).cast("string").alias("item"), col(text_col).alias("text")).where(
-        F.col("text").isNotNull() & F.col("item").isNotNull()
-    )
+    items = benchmark.select(col(id_col).cast("string").alias("item"), col(text_col).alias("text")).where(F.col("text").isNotNull())
     # Every byte of an item is in at most `length` windows.
     total = items.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-total * length // limit))
@@ -66,9 +64,9 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, length: int, limit:
         yield [(r.item, r.text) for r in own.collect()]
 
 
-def _table(items: list[tuple[str, str]], length: int) -> tuple[list[tuple[bytes, int]], list[tuple[int, ...]], list[str]]:
+def _table(items: list[tuple[str | None, str]], length: int) -> tuple[list[tuple[bytes, int]], list[tuple[int, ...]], list[str | None]]:
     """Windows with their number of words, the items of each, and the names of the items."""
-    names = sorted({name for name, _ in items})
+    names = _in_order({name for name, _ in items})
     number = {name: i for i, name in enumerate(names)}
     owners: dict[bytes, set[int]] = {}
     for name, text in items:
@@ -78,23 +76,30 @@ def _table(items: list[tuple[str, str]], length: int) -> tuple[list[tuple[bytes,
     return [(k, k.count(b" ") + 1) for k in keys], [tuple(sorted(owners[k])) for k in keys], names
 
 
-_AUTOMATA: dict[str, object] = {}
+def _in_order(names: set[str | None]) -> list[str | None]:
+    """Sorted as strings; the items without an id are one, and come last."""
+    return [*sorted(names - {None}), *([None] if None in names else [])]
 
 
-def _automaton(token: str, keys: list[tuple[bytes, int]]):
-    """Built once in each Python worker. Keys carry a space at both ends, so that only
+_AUTOMATA: dict[tuple[str, int], object] = {}
+
+
+def _automaton(run: str, part: int, keys: list[tuple[bytes, int]]):
+    """Built once in each Python worker and kept for the whole run, as are those of the other
+    parts; another run takes their place. Keys carry a space at both ends, so that only
     whole words match; bytes are read as Latin-1 characters, one for one."""
-    if token not in _AUTOMATA:
+    if (run, part) not in _AUTOMATA:
         import ahocorasick
 
-        _AUTOMATA.clear()
+        for other in [k for k in _AUTOMATA if k[0] != run]:
+            del _AUTOMATA[other]
         machine = ahocorasick.Automaton()
         for i, (key, _) in enumerate(keys):
             machine.add_word(" " + key.decode("latin-1") + " ", i)
         if keys:
             machine.make_automaton()
-        _AUTOMATA[token] = machine
-    return _AUTOMATA[token]
+        _AUTOMATA[run, part] = machine
+    return _AUTOMATA[run, part]
 
 
 class _Text:
@@ -106,7 +111,7 @@ class _Text:
         self.n_words = len(words)
         self.line = " " + b" ".join(words).decode("latin-1") + " " if words else ""
         self.edges = self.steps = None
-        self.items: set[str] = set()
+        self.items: set[str | None] = set()
 
     def match(self, machine, keys: list, owners: list, names: list) -> None:
         for end, i in machine.iter(self.line):
@@ -122,27 +127,27 @@ class _Text:
     def result(self) -> tuple[int, int, list[str], list[dict]]:
         if self.steps is None:
             return self.n_words, 0, [], []
-        return self.n_words, *_located(self.raw, np.cumsum(self.steps[:-1]) > 0, sorted(self.items))
+        return self.n_words, *_located(self.raw, np.cumsum(self.steps[:-1]) > 0, _in_order(self.items))
 
 
 def _scan(tables: list) -> Column:
     """An Arrow function from a text to its result."""
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    loaded = [(uuid.uuid4().hex, t) for t in tables]
+    run = uuid.uuid4().hex
 
     @arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = [_Text(value.as_py()) for value in batch.cast(pa.binary())]
-            for token, table in loaded:
+            for part, table in enumerate(tables):
                 keys, owners, names = table.value
                 if keys:
-                    machine = _automaton(token, keys)
+                    machine = _automaton(run, part, keys)
                     for text in texts:
                         if text.n_words:
                             text.match(machine, keys, owners, names)
             rows = [text.result() for text in texts]
-            sha = [hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows]
+            sha = [hashlib.sha256(",".join(i for i in r[2] if i is not None).encode()).hexdigest() for r in rows]
             yield pa.StructArray.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -189,7 +194,7 @@ def decontaminate(
 
     Null and empty texts have no words, no hits and the digest of no items. Items without
     words match nothing; rows that repeat an item change nothing; items that share an id
-    count once. An empty benchmark leaves every document clean. The benchmark is counted
+    count once. Items without an id count as one item, null in items and not in the digest. An empty benchmark leaves every document clean. The benchmark is counted
     first: each automaton is built from windows of at most `automaton_bytes`.
     """
     context = docs.sparkSession.sparkContext

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import random
 
 import pytest
@@ -52,6 +53,32 @@ def test_decontaminate(odd, empty, benchmark):
     assert decontaminate(odd, benchmark.limit(0))[0].where("overlap_.contaminated").count() == 0
 
 
+def test_decontaminate_items_without_id(spark, odd):
+    items = spark.createDataFrame([(None, PASSAGE), (None, "漢字"), (2, PASSAGE)], "item_id bigint, text string")
+    found, name = decontaminate(odd, items)
+    rows = {r.doc_id: r.o for r in found.select("doc_id", col(name).alias("o")).collect()}
+    assert rows[3]["items"] == ["2", None] and rows[3].n_items == 2 and rows[3].contaminated
+    assert rows[3].items_sha256 == hashlib.sha256(b"2").hexdigest()
+    assert rows[9]["items"] == [None] and rows[9].n_items == 1 and rows[9].n_hit == 1
+    assert rows[9].items_sha256 == rows[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_automata_are_built_once(monkeypatch):
+    """Two tables of a run are both kept, however many batches come."""
+    import ahocorasick
+
+    from tabulon.llm import decontaminate as module
+
+    built = []
+    kind = ahocorasick.Automaton
+    monkeypatch.setattr(ahocorasick, "Automaton", lambda *a: built.append(1) or kind(*a))
+    tables = [module._table([("a", PASSAGE)], 13), module._table([("b", "tail end")], 13)]
+    for run in ("one", "one", "one", "two"):
+        for part, (keys, _, _) in enumerate(tables):
+            module._automaton(run, part, keys)
+    assert len(built) == 4 and len(module._AUTOMATA) == 2
+
+
 def test_language(spark, odd, empty):
     model = langid.fit(odd)
     found, name = langid.identify(odd, model)
