@@ -39,7 +39,7 @@ RADIX = 64  # partitions by first id
 CHUNK_RECORDS = 1 << 20  # records of a chunk, to which the last document may add its own
 CHUNK_DOCS = 1 << 16
 PART_BYTES = 32 << 20  # compressed runs that a task merges together
-KEPT_UNITS = 1 << 18  # aligned units that a worker keeps, some 500 bytes each
+KEPT_UNITS = 1 << 19  # aligned units that a worker keeps, some 500 bytes each
 SECOND = np.uint64(32)  # a pair is its first id, shifted by so many bits, and its second one
 
 DOC_FIELDS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, groups string"
