@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulon import AnalysisError, sources
 from tabulon.operators import charts, compare, rows, sql
+from tabulon.operators.clean import Cleaner
 
 
 @pytest.mark.parametrize(
@@ -236,3 +237,22 @@ def test_charts_check_their_input(orders, spark):
     assert charts.kde(constant, "v").count() == 0
     assert charts.histogram(constant, "v").agg(F.sum("count")).first()[0] == 2
     assert charts.waterfall(orders, "o_orderstatus", "o_totalprice").orderBy("rank").collect()[-1]["category"] == "Total"
+
+
+def test_duplicates_of_a_subset(spark):
+    rows = [(k % 3, None if k % 5 == 0 else k % 4, str(k % 7)) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, at int, v string")
+    found = [
+        {tuple(r) for r in Cleaner(df.repartition(n, F.rand(n)), ["at"]).remove_duplicates(["k"], keep=keep).df.collect()}
+        for keep in ("first", "last")
+        for n in (1, 3, 7)
+    ]
+    assert found[0] == found[1] == found[2] and found[3] == found[4] == found[5]  # ties too, however the rows lie
+    assert all(r[1] is None for r in found[0]) and {r[1] for r in found[3]} == {3} and len(found[0]) == 3
+    once = df.unionByName(spark.createDataFrame([(9, 1, "x")], df.schema))
+    cleaner = Cleaner(once, ["at"])
+    assert [tuple(r) for r in cleaner.remove_duplicates(["k"], keep=False).df.collect()] == [(9, 1, "x")]
+    plan = cleaner.remove_duplicates(["k"]).df._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") >= 2  # a task hands on one row a key
+    maps = spark.createDataFrame([(1, {"a": 1}), (1, {"a": 1}), (2, {"b": 1})], "i int, m map<string,int>")
+    assert Cleaner(maps).remove_duplicates().df.count() == 2 and Cleaner(maps).remove_duplicates(keep=False).df.first()["i"] == 2
