@@ -85,6 +85,28 @@ def groupable(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
+def _hashable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _hashable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_hashable(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row that keeps nulls in different columns apart.
+
+    Maps count by their sorted entries; variants and maps inside other values do not count.
+    """
+    cells = []
+    for f in df.schema.fields:
+        inner = [f.dataType.keyType, f.dataType.valueType] if isinstance(f.dataType, T.MapType) else [f.dataType]
+        if all(_hashable(t) for t in inner):
+            cells.append(groupable(df, f.name))
+    holes = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    return F.xxhash64(holes, *cells)
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """Display text of a value; null stays null."""
     dtype = type_of(df, name)

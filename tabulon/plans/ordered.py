@@ -7,6 +7,12 @@ add what earlier pieces carry over. The split points become literals in the
 plan, so a lost executor recomputes exactly the same pieces; where the points
 fall changes the balance of the work and never the result. Tables below
 ``rows_per_task`` use the plain window.
+
+Rows that share their sort keys follow a hash of the whole row, in the plain window
+as in the pieces: results repeat, and one timestamp that fills half of the table is
+cut like any other stretch. Rows equal in every column can stand in any order; where
+they alone fill more than a piece, they are numbered at random once, and the table
+with these numbers is written before anything reads it.
 """
 
 from __future__ import annotations
@@ -17,7 +23,8 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
-from tabulon.functions.columns import col
+from tabulon.functions.columns import col, row_hash
+from tabulon.plans.layout import settle
 
 ROWS_PER_TASK = 2_000_000
 MAX_PIECES = 1 << 16
@@ -26,6 +33,8 @@ SAMPLE_PER_PIECE = 40
 
 PIECE = "__piece"
 POSITION = "__position"
+TIE = "__tie"
+SALT = "__salt"
 
 
 def largest_group(df: DataFrame, partition_by: Sequence[str]) -> int:
@@ -38,17 +47,22 @@ def largest_group(df: DataFrame, partition_by: Sequence[str]) -> int:
 
 def split_points(df: DataFrame, keys: Sequence[str], pieces: int, total: int) -> list:
     """At most ``pieces - 1`` distinct sort-key rows from a bounded sample."""
+    return _points(df, keys, pieces, total)[0]
+
+
+def _points(df: DataFrame, keys: Sequence[str], pieces: int, total: int) -> tuple[list, bool]:
+    """The split points, and whether one key filled a whole step between them."""
     fraction = min(1.0, SAMPLE_PER_PIECE * pieces / max(total, 1))
     picked = df.select(*[col(k) for k in keys]).sample(fraction=fraction, seed=11)
     sample = picked.orderBy(*[col(k) for k in keys]).limit(4 * SAMPLE_PER_PIECE * pieces).collect()
-    if not sample:
-        return []
     step = max(1, len(sample) // pieces)
-    points = []
+    points, full = [], False
     for row in sample[step::step]:
-        if not points or points[-1] != row:
+        if points and points[-1] == row:
+            full = True
+        else:
             points.append(row)
-    return points
+    return points, full
 
 
 def piece_column(df: DataFrame, keys: Sequence[str], points: list) -> Column:
@@ -102,14 +116,30 @@ def cut(
     total: int,
     rows_per_task: int = ROWS_PER_TASK,
     source: DataFrame | None = None,
-) -> DataFrame:
-    """``df`` with a piece number that increases along ``keys``.
+) -> tuple[DataFrame, list[str]]:
+    """``df`` with a piece number that increases along ``keys``, and the names of the
+    columns that it was given to tell rows with equal keys apart.
 
-    ``source`` may be a cheaper frame with the same key columns to sample from.
+    ``source`` may be a cheaper frame with the same key columns to sample from; the keys
+    of ``df`` are then distinct.
     """
     pieces = min(MAX_PIECES, max(2, -(-total // rows_per_task)))
-    points = split_points(df if source is None else source, keys, pieces, total)
-    return df.withColumn(PIECE, piece_column(df, keys, points))
+    if source is not None:
+        return df.withColumn(PIECE, piece_column(df, keys, split_points(source, keys, pieces, total))), []
+    extra = [TIE]
+    if TIE not in df.columns:
+        df = df.withColumn(TIE, row_hash(df))
+    points, full = _points(df, [*keys, *extra], pieces, total)
+    if full:
+        extra = [TIE, SALT]
+        df = settle(df.withColumn(SALT, (F.rand() * (1 << 30)).cast("int")))
+        points = split_points(df, [*keys, *extra], pieces, total)
+    return df.withColumn(PIECE, piece_column(df, [*keys, *extra], points)), extra
+
+
+def in_order(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
+    """The sort order of the plain windows."""
+    return [*[col(o) for o in order_by], row_hash(df)]
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -137,15 +167,15 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` along ``order_by``.
 
-    ``total`` is an upper bound of the biggest partition; counted when absent.
+    ``total`` is an upper bound of the biggest partition; counted when absent. With a
+    ``source`` to sample from, ``order_by`` tells all rows of a partition apart.
     """
     if total is None:
         total = largest_group(df, partition_by)
-    order = [col(o) for o in order_by]
     groups = [col(p) for p in partition_by]
     plain = (
         Window.partitionBy(*groups)
-        .orderBy(*order)
+        .orderBy(*(in_order(df, order_by) if source is None else [col(o) for o in order_by]))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     if total <= rows_per_task:
@@ -154,10 +184,12 @@ def running_sums(
     # ``total`` bounds the whole table when it comes with a source to sample from.
     rows = df.count() if partition_by and source is None else total
     staged = df.withColumns({f"__in_{name}": value for name, value in sums.items()})
-    pieces = cut(staged, [*partition_by, *order_by], rows, rows_per_task, source)
+    if source is None:  # of the caller's columns alone, as in the plain window
+        staged = staged.withColumn(TIE, row_hash(df))
+    pieces, extra = cut(staged, [*partition_by, *order_by], rows, rows_per_task, source)
     inside = (
         Window.partitionBy(F.col(PIECE), *groups)
-        .orderBy(*order)
+        .orderBy(*[col(o) for o in [*order_by, *extra]])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # Only the partition that straddles a cut has anything to carry, so the
@@ -186,7 +218,7 @@ def running_sums(
             for name in sums
         }
     )
-    return result.drop(PIECE, *[f"__in_{n}" for n in sums], *[f"__off_{n}" for n in sums])
+    return result.drop(PIECE, *extra, *[f"__in_{n}" for n in sums], *[f"__off_{n}" for n in sums])
 
 
 def with_positions(
@@ -221,7 +253,7 @@ def sliding(
         total = largest_group(df, partition_by)
     groups = [col(p) for p in partition_by]
     if total <= rows_per_task:
-        spec = Window.partitionBy(*groups).orderBy(*[col(o) for o in order_by])
+        spec = Window.partitionBy(*groups).orderBy(*in_order(df, order_by))
         return df.withColumns(build(spec))
 
     placed = with_positions(df, order_by, partition_by, total=total, rows_per_task=rows_per_task)
@@ -257,23 +289,23 @@ def fill_forward(
     if total is None:
         total = largest_group(df, partition_by)
     groups = [col(p) for p in partition_by]
-    order = [col(o) for o in order_by]
     if total <= rows_per_task:
         spec = (
             Window.partitionBy(*groups)
-            .orderBy(*order)
+            .orderBy(*in_order(df, order_by))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         return df.withColumns({n: F.last(col(n), True).over(spec) for n in names})
 
     rows = df.count() if partition_by else total
-    pieces = cut(df, [*partition_by, *order_by], rows, rows_per_task)
+    pieces, extra = cut(df, [*partition_by, *order_by], rows, rows_per_task)
+    order = [col(o) for o in [*order_by, *extra]]
     inside = (
         Window.partitionBy(F.col(PIECE), *groups)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    place = F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order_by)])
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     ends = pieces.groupBy(F.col(PIECE), *groups).agg(
         *[
             F.max_by(col(n), F.when(col(n).isNotNull(), place)).alias(f"__end_{i}")

@@ -1,11 +1,12 @@
 """Exact selection, ordered windows and rank statistics, small pieces against brute force."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tabulon.operators.clean import Cleaner
 from tabulon.operators.features import Features
@@ -91,6 +92,107 @@ def test_ordered_steps_match_pandas(lineitem, rows_per_task, groups):
     assert np.allclose(found.z.fillna(-1), expected.fillna(-1))
 
 
+@pytest.fixture(scope="module")
+def one_moment(spark):
+    """Half of the rows stand on one timestamp; some of them are equal in every column."""
+    rng = np.random.default_rng(8)
+    t = np.r_[np.full(2000, 500), rng.integers(0, 1000, 2000)]
+    v = pd.Series(rng.integers(0, 10**6, 4000), dtype="Int64").where(rng.random(4000) > 0.6)
+    pdf = pd.DataFrame({"t": t, "v": v, "g": np.where(np.arange(4000) % 3 > 0, "hot", "cold")})
+    return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "t long, v long, g string").repartition(6)
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_half_the_rows_on_one_timestamp(one_moment, groups):
+    from tabulon.functions.columns import row_hash
+    from tabulon.plans import ordered
+
+    df, size = one_moment, 200
+    pieces, extra = ordered.cut(df, [*groups, "t"], df.count(), size)
+    assert extra[0] == ordered.TIE
+    assert pieces.groupBy(ordered.PIECE).count().agg(F.max("count")).first()[0] <= 3 * size
+
+    spec = Window.partitionBy(*groups).orderBy("t", row_hash(df))
+    expected = df.withColumns({"n": F.row_number().over(spec).cast("long"), "b": F.lag("v", 2).over(spec)})
+    gaps = df.withColumn("f", F.col("v"))
+    upto = Window.partitionBy(*groups).orderBy("t", row_hash(gaps)).rowsBetween(Window.unboundedPreceding, 0)
+    fills = sorted_rows(gaps.withColumn("f", F.last("f", True).over(upto)), ["t", "v", "g", "f"])
+    for rows_per_task in (10**6, size):
+        options = {"partition_by": groups, "rows_per_task": rows_per_task}
+        wide = ordered.with_positions(df, ["t"], name="n", **options)
+        back = ordered.sliding(df, lambda w: {"b": F.lag("v", 2).over(w)}, ["t"], before=2, **options)
+        last = ordered.fill_forward(gaps, ["f"], ["t"], **options)
+        assert sorted_rows(wide, ["t", "v", "g", "n"]) == sorted_rows(expected, ["t", "v", "g", "n"])
+        assert sorted_rows(back, ["t", "v", "g", "b"]) == sorted_rows(expected, ["t", "v", "g", "b"])
+        assert sorted_rows(last, ["t", "v", "g", "f"]) == fills
+
+
+def test_equal_rows_beyond_a_task(spark):
+    from tabulon.plans import ordered
+
+    df = spark.range(6000).select(F.lit(7).alias("t"), F.when(F.col("id") < 5000, 1).alias("v")).repartition(5)
+    pieces, extra = ordered.cut(df, ["t"], 6000, 300)
+    assert extra == [ordered.TIE, ordered.SALT]
+    assert pieces.groupBy(ordered.PIECE).count().agg(F.max("count")).first()[0] <= 900
+    placed = ordered.with_positions(df, ["t"], rows_per_task=300)
+    assert placed.columns == ["t", "v", ordered.POSITION]
+    found = sorted(r[ordered.POSITION] for r in placed.collect())
+    assert found == list(range(1, 6001))
+    assert ordered.fill_forward(df, ["v"], ["t"], rows_per_task=300).filter("v is null").count() in (0, 1000)
+
+
+def sorted_rows(df, names):
+    return sorted(df.select(*names).collect(), key=lambda r: [(x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r])
+
+
+LONG = "the same first thirty-two bytes of many texts "
+
+
+def top_by_hand(values, k):
+    sizes = Counter(values)
+    best = sorted(sizes.items(), key=lambda x: (-x[1], x[0] is not None, (x[0] or "").encode()))
+    return len(sizes), best[:k]
+
+
+@pytest.mark.parametrize("clash", [None, "seen by the checksum", "seen in the texts"])
+def test_values_by_fingerprints(spark, monkeypatch, clash):
+    from tabulon.plans import value_counts as module
+
+    if clash:
+        monkeypatch.setattr(module, "_fingerprint", lambda text: (F.lit(1), F.lit(2)))
+    if clash == "seen in the texts":
+        monkeypatch.setattr(module, "_checksum", lambda text: F.lit(3))
+    texts = [LONG + "é" * i for i in range(5)] * 3 + [LONG + "y" * 400] * 40 + [LONG[:32], "", None, None, "a"]
+    texts += ["\U0001f600" * 9, "\U0001f600" * 8, "\uffff" * 11, "ab" * 5000]
+    numbers = [i % 7 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(texts, numbers)), "s string, n int").repartition(3)
+    distinct, tops = module.distinct_and_top(df, ["s", "n"], ["s"], k=10)
+    size, best = top_by_hand(texts, 10)
+    assert (distinct, tops["s"]) == ({"s": size, "n": 7}, best)
+    if clash != "seen in the texts":
+        assert module.distinct_non_null(df, ["n", "s"]) == {"n": 7, "s": size - 1}
+
+
+@pytest.mark.parametrize("shared", [40, 2000])
+def test_ties_far_into_long_texts(spark, shared):
+    from tabulon.plans.value_counts import distinct_and_top
+
+    texts = ["x" * shared + f"{i * 7919 % 1000:04d}" + "z" * 300 for i in range(1000)] + ["x" * shared]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(4)
+    distinct, tops = distinct_and_top(df, ["s"], ["s"], k=10)
+    assert (distinct["s"], tops["s"]) == top_by_hand(texts, 10)
+    assert distinct_and_top(df.limit(0), ["s"], ["s"]) == ({"s": 0}, {"s": []})
+
+
+def test_no_long_text_is_shuffled(spark):
+    """What the count hands to the shuffle is at most HEAD characters of a text."""
+    from tabulon.plans.value_counts import HEAD, value_counts
+
+    df = spark.createDataFrame([("q" * 5000,), ("r" * 31,)], "s string")
+    longest = value_counts(df, ["s"]).agg(F.max(F.octet_length("head"))).first()[0]
+    assert longest == HEAD
+
+
 def test_weighted_inversions():
     rng = np.random.default_rng(5)
     x, y, w = rng.integers(0, 9, 200), rng.integers(0, 9, 200), rng.integers(1, 4, 200)
