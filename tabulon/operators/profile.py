@@ -20,7 +20,7 @@ from tabulon.functions.columns import TEMPORAL_TYPES, as_double, as_text, col, n
 from tabulon.plans.correlations import Moments, pearson, summarise_with_edges
 from tabulon.plans.duplicates import duplicate_rows
 from tabulon.plans.layout import spread
-from tabulon.plans.quantiles import exact_quantiles, sketch_probabilities
+from tabulon.plans.quantiles import exact_quantiles, fences, rows_below, sketch_probabilities
 from tabulon.plans.results import result_frame, rounded
 from tabulon.plans.value_counts import distinct_and_top
 
@@ -54,6 +54,8 @@ class TableProfile:
         self.strings = string_columns(df)
         self._distinct: dict[str, int] = {}
         self._top: dict[str, list[tuple[str | None, int]]] = {}
+        self._fences: dict[str, tuple[tuple, tuple]] = {}
+        self._watched: dict[tuple, tuple | None] = {}
 
     @cached_property
     def rows(self) -> int:
@@ -179,8 +181,22 @@ class TableProfile:
         sketch = {}
         for i, n in enumerate(self.numeric):
             m = self.moments[n]
-            sketch |= {f"q{i}_n": m.n, f"q{i}_lo": m.low, f"q{i}_hi": m.high, f"q{i}_edges": self._first[2][n]}
-        return exact_quantiles(self.work, self.numeric, QUARTILES, "midpoint", sketch)
+            edges = self._first[2][n]
+            sketch |= {f"q{i}_n": m.n, f"q{i}_lo": m.low, f"q{i}_hi": m.high, f"q{i}_edges": edges}
+            ends = fences(edges[0:2], edges[4:6], self.factor) if edges else None
+            if ends:
+                self._fences[n] = tuple((n, *end) for end in ends)
+        self._watched |= {span: None for pair in self._fences.values() for span in pair}
+        return exact_quantiles(self.work, self.numeric, QUARTILES, "midpoint", sketch, watch=self._watched)
+
+    def _outside(self, name: str, lower: float, upper: float) -> int | None:
+        """Rows beyond the fences from the pass that counted the quartiles, None if it left them open."""
+        if name not in self._fences:
+            return None
+        low, high = self._fences[name]
+        under = rows_below(lower, low, self._watched[low])
+        upto = rows_below(upper, high, self._watched[high], or_equal=True)
+        return None if under is None or upto is None else under + self.moments[name].n - upto
 
     @cached_property
     def duplicates(self) -> int:
@@ -218,19 +234,23 @@ class TableProfile:
                     "upper": q3 + self.factor * iqr,
                 }
             )
-        if found:
+        for f in found:
+            f["count"] = self._outside(f["column"], f["lower"], f["upper"])
+        still = [f for f in found if f["count"] is None]
+        if still:
             counts = self.work.agg(
                 *[
                     F.count_if(
                         (as_double(self.work, f["column"]) < F.lit(f["lower"]))
                         | (as_double(self.work, f["column"]) > F.lit(f["upper"]))
                     ).alias(f"o{i}")
-                    for i, f in enumerate(found)
+                    for i, f in enumerate(still)
                 ]
             ).first()
-            for i, f in enumerate(found):
+            for i, f in enumerate(still):
                 f["count"] = counts[f"o{i}"]
-                f["percent"] = round(f["count"] / self.non_null[f["column"]] * 100, 2)
+        for f in found:
+            f["percent"] = round(f["count"] / self.non_null[f["column"]] * 100, 2)
         return found
 
     def missing_percent(self, name: str) -> float:

@@ -75,8 +75,13 @@ def exact_quantiles(
     interpolation: str = "linear",
     sketch: dict | None = None,
     collect_limit: int = COLLECT_LIMIT,
+    watch: dict[tuple, tuple] | None = None,
 ) -> dict[str, dict[float, float | None]]:
-    """Quantiles per column; ``interpolation`` is ``linear`` or ``midpoint``."""
+    """Quantiles per column; ``interpolation`` is ``linear`` or ``midpoint``.
+
+    The keys of ``watch`` are (column, low, high); the first counting pass, if there is
+    one, fills them with the rows below and the (low, high, rows) cells inside.
+    """
     names, probs = list(names), list(probs)
     if not names:
         return {}
@@ -107,7 +112,7 @@ def exact_quantiles(
                 brackets[key] = bracket
     whole = {n: (sketch[f"q{i}_lo"], sketch[f"q{i}_hi"]) for i, n in enumerate(names)}
     sizes = {n: sketch[f"q{i}_n"] for i, n in enumerate(names)}
-    select_ranks(base, targets, brackets, whole, sizes, collect_limit)
+    select_ranks(base, targets, brackets, whole, sizes, collect_limit, watch)
 
     result: dict[str, dict[float, float | None]] = {}
     for i, n in enumerate(names):
@@ -138,8 +143,9 @@ def _merge(spans: set) -> dict:
     return merged
 
 
-def select_ranks(base, targets, brackets, whole, sizes, collect_limit=COLLECT_LIMIT) -> None:
-    """Fill ``targets`` with the value at each (column, 0-based rank)."""
+def select_ranks(base, targets, brackets, whole, sizes, collect_limit=COLLECT_LIMIT, watch=None) -> None:
+    """Fill ``targets`` with the value at each (column, 0-based rank), and ``watch``."""
+    waiting = list(watch or ())
     below: dict[tuple, int] = {}
     inside: dict[tuple, float] = {}
     for key in targets:
@@ -150,8 +156,12 @@ def select_ranks(base, targets, brackets, whole, sizes, collect_limit=COLLECT_LI
         spans = sorted(set(merged.values()))
         guess = {s: inside.get(s, 8 * MARGIN * sizes[s[0]] + 1) for s in spans}
         by_value = {s for s in spans if guess[s] <= collect_limit / len(spans)}
-        counted, cells = _span_pass(base, spans, by_value, [s for s in spans if s not in below])
+        uncounted = [s for s in spans if s not in below]
+        counted, cells = _span_pass(base, list(dict.fromkeys([*spans, *waiting])), by_value, uncounted + waiting)
         below.update(counted)
+        for s in waiting:
+            watch[s] = (below[s], cells[s])
+        waiting = []
         for n, rank in open_keys:
             span = merged[n, *brackets[n, rank]]
             seen = below[span]
@@ -174,6 +184,28 @@ def select_ranks(base, targets, brackets, whole, sizes, collect_limit=COLLECT_LI
                 inside[n, *found] = count
 
 
+def fences(q1: tuple[float, float], q3: tuple[float, float], factor: float) -> tuple[tuple, tuple] | None:
+    """Where the two fences of a column lie if its quartiles lie in ``q1`` and ``q3``."""
+    ends = (
+        (q1[0] - factor * (q3[1] - q1[0]), q1[1] - factor * (q3[0] - q1[1])),
+        (q3[0] + factor * (q3[0] - q1[1]), q3[1] + factor * (q3[1] - q1[0])),
+    )
+    return ends if all(math.isfinite(low) and low <= high for low, high in ends) else None
+
+
+def rows_below(point: float, span: tuple, seen: tuple | None, or_equal: bool = False) -> int | None:
+    """Rows under ``point`` from what a watched span has seen; None where that leaves it open."""
+    if seen is None or not span[1] <= point <= span[2]:
+        return None
+    total, cells = seen
+    for low, high, count in cells:
+        first, last = (low <= point, high <= point) if or_equal else (low < point, high < point)
+        if first != last:
+            return None
+        total += count * last
+    return total
+
+
 def _span_pass(base: DataFrame, spans, by_value, uncounted) -> tuple[dict, dict]:
     """Rows below each span, and its ordered (low, high, count) cells.
 

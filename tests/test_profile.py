@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,8 +142,6 @@ def test_strip_every_kind_of_space(spark):
 
 
 def test_bins_follow_pandas(lineitem):
-    import pandas as pd
-
     pdf = lineitem.select("l_extendedprice", "l_quantity").toPandas()
     cut = pd.cut(pdf.l_extendedprice, 7)
     edges = width_edges(pdf.l_extendedprice.min(), pdf.l_extendedprice.max(), 7)
@@ -163,3 +163,33 @@ def test_nan_cells(spark):
     row = profile.column_analysis(df).first()
     assert row["missing_count"] == 0 and math.isnan(row["mean"]) and row["median"] == 2.0
     assert Cleaner(df).impute_mean().df.agg(F.sum("v")).first()[0] == 6.0
+
+
+@pytest.mark.parametrize("rows", [9, 3000])
+def test_outliers_counted_with_the_quartiles(spark, rows, monkeypatch):
+    from tabulon.operators.profile import TableProfile
+
+    rng = np.random.default_rng(rows)
+    pdf = pd.DataFrame(
+        {
+            "heavy": rng.standard_t(2, rows),
+            "whole": rng.geometric(0.2, rows).astype(float),
+            "edge": np.where(np.arange(rows) % 5 == 0, 2.5, np.where(np.arange(rows) % 2 == 0, 0.0, 1.0)),
+            "constant": 4.0,
+            "holes": np.where(rng.random(rows) < 0.3, np.nan, rng.normal(size=rows) ** 3),
+            "far": np.where(np.arange(rows) == 1, np.inf, rng.normal(size=rows)),
+        }
+    )
+    df = spark.createDataFrame(pdf).repartition(4)
+    expected = {}
+    for n in pdf:
+        v = pdf[n].dropna()
+        q1, q3 = (np.percentile(v, p, method="midpoint") for p in (25, 75))
+        expected[n] = int(((v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1))).sum())
+    for decided in (True, False):
+        with TableProfile(df) as profile:
+            if not decided:
+                monkeypatch.setattr(TableProfile, "_outside", lambda *_: None)
+            else:
+                assert profile.quartiles and (rows < 100 or all(profile._watched.values()))
+            assert {f["column"]: f["count"] for f in profile.outlier_rows} == expected
