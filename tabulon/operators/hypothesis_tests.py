@@ -200,24 +200,31 @@ def anova(df: DataFrame, numeric: str, group: str) -> DataFrame:
     )
 
 
-def normality(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
-    """Shapiro-Wilk on at most 5000 values per column (the test is not defined beyond), and
-    Jarque-Bera on all of them. The verdict rests on all values: on Jarque-Bera where
+def normality(
+    df: DataFrame, columns: Sequence[str], key: Sequence[str] | None = None, seed: int = 42, sample: int = SHAPIRO_LIMIT
+) -> DataFrame:
+    """Shapiro-Wilk on at most ``sample`` values per column (the test is not defined beyond
+    5000), and Jarque-Bera on all of them. The verdict rests on all values: on Jarque-Bera where
     Shapiro-Wilk has seen only a sample.
 
     The sample holds the rows with the smallest hash of ``key`` (repeatable), or
     random ones without a key.
     """
     require_numeric(df, *columns)
+    if not 3 <= sample <= SHAPIRO_LIMIT:
+        raise AnalysisError(f"sample must be from 3 to {SHAPIRO_LIMIT}")
     aggs = []
     for i, n in enumerate(columns):
         v = as_double(df, n)
         aggs += [F.count(v).alias(f"n{i}"), F.skewness(v).alias(f"s{i}"), F.kurtosis(v).alias(f"k{i}")]
     whole = df.agg(*aggs).first()
     sizes = [whole[f"n{i}"] for i in range(len(columns))]
-    found = _shapiro(df, columns, key, seed, [min(1.0, 4 * SHAPIRO_LIMIT / max(n, 1)) for n in sizes])
-    if any(found.get(i, (None, None, 0))[2] < min(n, SHAPIRO_LIMIT) for i, n in enumerate(sizes)):
-        found = _shapiro(df, columns, key, seed, [1.0] * len(columns))  # hashes clump: take them all
+    found: dict[int, tuple] = {}
+    shares = {i: min(1.0, 4 * sample / max(n, 1)) for i, n in enumerate(sizes)}
+    while shares:  # once, unless hashes clump: then a larger share of those columns alone
+        found |= _shapiro(df, columns, key, seed, shares, sample)
+        short = [i for i in shares if found.get(i, (None, None, 0))[2] < min(sizes[i], sample) and shares[i] < 1]
+        shares = {i: min(1.0, 8 * shares[i]) for i in short}
     out = []
     for i, n in enumerate(columns):
         w, p, taken = found.get(i, (None, None, 0))
@@ -238,8 +245,8 @@ def normality(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None =
     )
 
 
-def _shapiro(df: DataFrame, columns, key, seed: int, shares: list[float]) -> dict[int, tuple]:
-    """(W, p, values taken) per column index. Rows whose hash is above a column's
+def _shapiro(df: DataFrame, columns, key, seed: int, shares: dict[int, float], size: int) -> dict[int, tuple]:
+    """(W, p, values taken) per column index in ``shares``. Rows whose hash is above a column's
     share are dropped where they are read, so a bounded number is ranked."""
     if key:
         place = F.xxhash64(F.lit(seed), *[col(k) for k in key])
@@ -247,13 +254,13 @@ def _shapiro(df: DataFrame, columns, key, seed: int, shares: list[float]) -> dic
     else:
         uniform = F.rand(seed)
     named = [
-        F.struct(F.lit(i).alias("i"), as_double(df, n).alias("v"), F.lit(share).alias("share"))
-        for i, (n, share) in enumerate(zip(columns, shares))
+        F.struct(F.lit(i).alias("i"), as_double(df, columns[i]).alias("v"), F.lit(share).alias("share"))
+        for i, share in shares.items()
     ]
     stacked = df.select(uniform.alias("o"), F.inline(F.array(*named)))
     stacked = stacked.filter(F.col("v").isNotNull() & (F.col("o") <= F.col("share")))
     rank = F.row_number().over(Window.partitionBy("i").orderBy("o", "v"))
-    sample = stacked.withColumn("rank", rank).filter(F.col("rank") <= SHAPIRO_LIMIT).select("i", "v")
+    sample = stacked.withColumn("rank", rank).filter(F.col("rank") <= size).select("i", "v")
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
         n = len(part)

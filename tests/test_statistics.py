@@ -302,3 +302,22 @@ def test_forecast_frame(spark):
     assert np.allclose(alone.forecast, found[found.g == "b"].forecast)
     with pytest.raises(AnalysisError):
         timeseries.forecast_arima(spark.createDataFrame(pdf.head(5)), "d", "v", 3)
+
+
+def test_normality_sample_grows_where_hashes_clump(spark, monkeypatch):
+    """All rows of a key have one hash: the first share may hold none of them."""
+    from tabulon.operators import hypothesis_tests
+
+    seen = []
+    plain = hypothesis_tests._shapiro
+    monkeypatch.setattr(hypothesis_tests, "_shapiro", lambda *a: seen.append(dict(a[4])) or plain(*a))
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.randn(3).alias("x"), F.rand(4).alias("y")).persist()
+    clumped = hypothesis_tests.normality(df, ["x", "y"], ["k"], sample=50).collect()
+    assert [r["n_samples"] for r in clumped] == [50, 50]
+    assert [set(s) for s in seen] == [{0, 1}] * len(seen) and len(seen) > 1
+    spread = hypothesis_tests.normality(df.withColumn("k", F.col("x")), ["x"], ["k"], sample=50).first()
+    place = F.xxhash64(F.lit(42), F.col("x"))
+    values = [r["x"] for r in df.orderBy(place, "x").limit(50).collect()]
+    assert spread["statistic"] == pytest.approx(hypothesis_tests.special.shapiro_wilk(np.array(values))[0], rel=1e-12)
+    with pytest.raises(AnalysisError):
+        hypothesis_tests.normality(df, ["x"], sample=6000)
