@@ -195,6 +195,19 @@ def lags_pieces(spark, folder):
     return tidy(done.df.select("event_id", "value_lag1", "value_lag2", "value_lag3"))
 
 
+@query(
+    "lag_features_hot_key",
+    """SELECT o_orderstatus, before, count(*) AS n FROM (
+         SELECT o_orderstatus, lag(o_orderstatus, 2) OVER (ORDER BY o_orderstatus) AS before FROM orders)
+       GROUP BY ALL""",
+)
+def lags_hot(spark, folder):
+    """Two of three order keys fill nearly the whole table; its rows are spread all the same."""
+    slim = table(spark, folder, "orders").select("o_orderstatus", "o_orderkey")
+    done = Features(slim, ["o_orderstatus"]).lag_features("o_orderstatus", [2], rows_per_task=300)
+    return done.df.groupBy("o_orderstatus", F.col("o_orderstatus_lag2").alias("before")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "feature_summary",
     "SELECT 'c_acctbal_norm,c_acctbal_std' AS new_columns, 7::BIGINT AS total_columns FROM customer HAVING count(*) > 0",

@@ -133,6 +133,13 @@ def top_texts(spark, folder):
     return profile.top_values(table(spark, folder, "documents").select("text"))
 
 
+@query("top_values_long_ties", _top("text", "text", "(SELECT repeat('the same beginning ', 20) || text AS text FROM documents)"))
+def top_long_texts(spark, folder):
+    """All texts share more than the head that is counted: ties are settled further in."""
+    text = F.concat(F.lit("the same beginning " * 20), F.col("text")).alias("text")
+    return profile.top_values(table(spark, folder, "documents").select(text))
+
+
 def _corr(a: str, b: str, source: str) -> str:
     return f"(SELECT corr({a}::DOUBLE, {b}::DOUBLE) FROM {source})"
 
