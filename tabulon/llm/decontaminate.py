@@ -103,7 +103,7 @@ def _automaton(run: str, part: int, keys: list[tuple[bytes, int]]):
 
 
 class _Text:
-    """One text of a batch and what has matched in it so far."""
+    """A text and what has matched in it so far."""
 
     def __init__(self, raw: bytes | None):
         self.raw = raw or b""
@@ -138,15 +138,15 @@ def _scan(tables: list) -> Column:
     @arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [_Text(value.as_py()) for value in batch.cast(pa.binary())]
-            for part, table in enumerate(tables):
-                keys, owners, names = table.value
-                if keys:
-                    machine = _automaton(run, part, keys)
-                    for text in texts:
-                        if text.n_words:
-                            text.match(machine, keys, owners, names)
-            rows = [text.result() for text in texts]
+            known = [(part, *table.value) for part, table in enumerate(tables)]
+            machines = [(_automaton(run, part, keys), keys, owners, names) for part, keys, owners, names in known if keys]
+            rows = []
+            for value in batch.cast(pa.binary()):  # one text at a time is held beside the batch
+                text = _Text(value.as_py())
+                if text.n_words:
+                    for machine in machines:
+                        text.match(*machine)
+                rows.append(text.result())
             sha = [hashlib.sha256(",".join(i for i in r[2] if i is not None).encode()).hexdigest() for r in rows]
             yield pa.StructArray.from_arrays(
                 [
