@@ -50,6 +50,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends texts to Python workers in batches of about 4 MB: what a
+    worker and its executor hold for a batch does not follow from the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Texts of one byte a character take the fast way."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -1,8 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts of questions and answers become windows of 13 consecutive normalised words (all
-the words of a shorter item). An automaton over all windows reads each document once;
-normalising keeps the length in bytes, so every match maps back to the original text.
+the words of a shorter item). An automaton over all windows, whose letters are the numbers
+of the benchmark's words, reads each document once; normalising keeps the length in bytes,
+so every matched word maps back to the original text.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,11 @@ from tabulon.llm.common import col, fresh
 
 WINDOW = 13
 SHARE = 20  # contaminated from one hit word in so many
-# Windows in bytes that one automaton may hold; larger sets of items take several, one after the other.
-AUTOMATON_BYTES = 4 << 20
+# What a worker may hold for one automaton, and what a node takes there; 256 MB are some 200,000 words of
+# questions and answers. Larger benchmarks take several automata, one after the other.
+AUTOMATON_BYTES = 256 << 20
+NODE_BYTES = 96
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 RESULT = (
     "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, "
@@ -45,35 +50,30 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def windows(text: str | None, length: int = WINDOW) -> set[bytes]:
-    words = normal_words(text)
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + length]) for i in range(max(1, len(words) - length + 1))}
-
-
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, length: int, limit: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in groups whose windows take at most `limit` bytes (a single larger item
-    is a group of its own), each group sent to the driver by itself."""
+    """The items in groups whose automaton takes about `limit` bytes at most (a single larger
+    item is a group of its own), each group sent to the driver by itself."""
     items = benchmark.select(col(id_col).cast("string").alias("item"), col(text_col).alias("text")).where(F.col("text").isNotNull())
-    # Every byte of an item is in at most `length` windows.
-    total = items.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(1, -(-total * length // limit))
+    # A word stands in at most `length` windows, in each of them a node.
+    words = items.select(F.sum(F.regexp_count("text", F.lit(WORDS)).cast("long"))).first()[0] or 0
+    parts = max(1, -(-words * length * NODE_BYTES // limit))
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         yield [(r.item, r.text) for r in own.collect()]
 
 
 def _table(items: list[tuple[str | None, str]], length: int) -> tuple[list[tuple[bytes, int]], list[tuple[int, ...]], list[str | None]]:
-    """Windows with their number of words, the items of each, and the names of the items."""
+    """Distinct normalised texts with the length of a window, the items of each, and the
+    names of the items. Workers cut the texts into windows themselves."""
     names = _in_order({name for name, _ in items})
     number = {name: i for i, name in enumerate(names)}
     owners: dict[bytes, set[int]] = {}
     for name, text in items:
-        for window in windows(text, length):
-            owners.setdefault(window, set()).add(number[name])
+        words = normal_words(text)
+        if words:
+            owners.setdefault(b" ".join(words), set()).add(number[name])
     keys = sorted(owners)
-    return [(k, k.count(b" ") + 1) for k in keys], [tuple(sorted(owners[k])) for k in keys], names
+    return [(k, length) for k in keys], [tuple(sorted(owners[k])) for k in keys], names
 
 
 def _in_order(names: set[str | None]) -> list[str | None]:
@@ -81,24 +81,31 @@ def _in_order(names: set[str | None]) -> list[str | None]:
     return [*sorted(names - {None}), *([None] if None in names else [])]
 
 
-_AUTOMATA: dict[tuple[str, int], object] = {}
+_AUTOMATA: dict[tuple[str, int], tuple[dict[bytes, int], object]] = {}
 
 
 def _automaton(run: str, part: int, keys: list[tuple[bytes, int]]):
-    """Built once in each Python worker and kept for the whole run, as are those of the other
-    parts; another run takes their place. Keys carry a space at both ends, so that only
-    whole words match; bytes are read as Latin-1 characters, one for one."""
+    """The numbers of the benchmark's words, and the automaton over its windows as sequences
+    of these numbers: a node a word, not a byte. A window leads to its number of words and
+    the texts it occurs in. Built once in each Python worker and kept for the whole run, as
+    are those of the other parts; another run takes their place."""
     if (run, part) not in _AUTOMATA:
         import ahocorasick
 
         for other in [k for k in _AUTOMATA if k[0] != run]:
             del _AUTOMATA[other]
-        machine = ahocorasick.Automaton()
-        for i, (key, _) in enumerate(keys):
-            machine.add_word(" " + key.decode("latin-1") + " ", i)
-        if keys:
+        numbers: dict[bytes, int] = {}
+        texts: dict[tuple[int, ...], list[int]] = {}
+        for i, (key, length) in enumerate(keys):
+            words = [numbers.setdefault(w, len(numbers) + 1) for w in key.split(b" ")]
+            for window in {tuple(words[j : j + length]) for j in range(max(1, len(words) - length + 1))}:
+                texts.setdefault(window, []).append(i)
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, found in texts.items():
+            machine.add_word(window, (len(window), tuple(found)))
+        if texts:
             machine.make_automaton()
-        _AUTOMATA[run, part] = machine
+        _AUTOMATA[run, part] = numbers, machine
     return _AUTOMATA[run, part]
 
 
@@ -107,22 +114,19 @@ class _Text:
 
     def __init__(self, raw: bytes | None):
         self.raw = raw or b""
-        words = self.raw.translate(NORMAL).split()
-        self.n_words = len(words)
-        self.line = " " + b" ".join(words).decode("latin-1") + " " if words else ""
-        self.edges = self.steps = None
+        self.words = self.raw.translate(NORMAL).split()
+        self.n_words = len(self.words)
+        self.steps = None
         self.items: set[str | None] = set()
 
-    def match(self, machine, keys: list, owners: list, names: list) -> None:
-        for end, i in machine.iter(self.line):
+    def match(self, machine, owners: list, names: list) -> None:
+        numbers, automaton = machine
+        for last, (length, texts) in automaton.iter(tuple(map(numbers.get, self.words, repeat(0)))):
             if self.steps is None:
-                self.edges = np.flatnonzero(np.frombuffer(self.line.encode("latin-1"), dtype=np.uint8) == 32)
                 self.steps = np.zeros(self.n_words + 1, dtype=np.int32)
-            # A match ends at a space; the word after it is number `last`.
-            last = int(np.searchsorted(self.edges, end))
-            self.steps[last - keys[i][1]] += 1
-            self.steps[last] -= 1
-            self.items.update(names[o] for o in owners[i])
+            self.steps[last - length + 1] += 1
+            self.steps[last + 1] -= 1
+            self.items.update(names[o] for i in texts for o in owners[i])
 
     def result(self) -> tuple[int, int, list[str], list[dict]]:
         if self.steps is None:
@@ -139,7 +143,7 @@ def _scan(tables: list) -> Column:
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             known = [(part, *table.value) for part, table in enumerate(tables)]
-            machines = [(_automaton(run, part, keys), keys, owners, names) for part, keys, owners, names in known if keys]
+            machines = [(_automaton(run, part, keys), owners, names) for part, keys, owners, names in known if keys]
             rows = []
             for value in batch.cast(pa.binary()):  # one text at a time is held beside the batch
                 text = _Text(value.as_py())
@@ -195,7 +199,7 @@ def decontaminate(
     Null and empty texts have no words, no hits and the digest of no items. Items without
     words match nothing; rows that repeat an item change nothing; items that share an id
     count once. Items without an id count as one item, null in items and not in the digest. An empty benchmark leaves every document clean. The benchmark is counted
-    first: each automaton is built from windows of at most `automaton_bytes`.
+    first: an automaton takes about `automaton_bytes` in a worker at most.
     """
     context = docs.sparkSession.sparkContext
     tables = [
