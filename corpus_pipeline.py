@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.llm import langid
-from tabulon.llm.common import col, cut, fold, table
+from tabulon.llm.common import bounded_batches, col, cut, fold, table
 from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.mixing import draws, mix_sources
 from tabulon.llm.neardup import near_duplicates, small
@@ -16,9 +16,14 @@ from tabulon.shipping import ship
 MAX_PASSES = 1.5
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    bounded_batches(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
-    ship(spark)
+    _ready(spark)
     model = langid.fit(docs.where(fold(F.col("doc_id"), HELD_OUT_FOLDS) != 0))
     found, name = langid.identify(docs, model)
     return found.where(~col(name)["rejected"]).drop(name)
@@ -26,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies."""
-    ship(spark)
+    _ready(spark)
     found = cut(near_duplicates(docs), "near")
     dropped = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*[col(c) for c in docs.columns])
@@ -34,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages do not contaminate."""
-    ship(spark)
+    _ready(spark)
     found, name = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~col(name)["contaminated"]).drop(name)
 
