@@ -1,9 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts of questions and answers become windows of 13 consecutive normalised words (all
-the words of a shorter item). An automaton over all windows, whose letters are the numbers
-of the benchmark's words, reads each document once; normalising keeps the length in bytes,
-so every matched word maps back to the original text.
+the words of a shorter item). An automaton over all windows, spelt in short codes of the
+benchmark's words, reads each document once; normalising keeps the length in bytes, so
+every matched word maps back to the original text.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from tabulon.llm.common import col, fresh
 
 WINDOW = 13
 SHARE = 20  # contaminated from one hit word in so many
-# What a worker may hold for one automaton, and what a node takes there; 256 MB are some 200,000 words of
+# What a worker may hold for one automaton, and what a node takes there; 256 MB are some 70,000 words of
 # questions and answers. Larger benchmarks take several automata, one after the other.
 AUTOMATON_BYTES = 256 << 20
 NODE_BYTES = 96
+DIGITS = 32  # letters of a place in the code of a word
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 RESULT = (
@@ -54,9 +55,9 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, length: int, limit:
     """The items in groups whose automaton takes about `limit` bytes at most (a single larger
     item is a group of its own), each group sent to the driver by itself."""
     items = benchmark.select(col(id_col).cast("string").alias("item"), col(text_col).alias("text")).where(F.col("text").isNotNull())
-    # A word stands in at most `length` windows, in each of them a node.
+    # A word stands in at most `length` windows, in each of them a node a letter of its code.
     words = items.select(F.sum(F.regexp_count("text", F.lit(WORDS)).cast("long"))).first()[0] or 0
-    parts = max(1, -(-words * length * NODE_BYTES // limit))
+    parts = max(1, -(-words * length * _width(words) * NODE_BYTES // limit))
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         yield [(r.item, r.text) for r in own.collect()]
@@ -81,31 +82,46 @@ def _in_order(names: set[str | None]) -> list[str | None]:
     return [*sorted(names - {None}), *([None] if None in names else [])]
 
 
-_AUTOMATA: dict[tuple[str, int], tuple[dict[bytes, int], object]] = {}
+_AUTOMATA: dict[tuple[str, int], tuple[dict[bytes, str], int, object]] = {}
+
+
+def _width(words: int) -> int:
+    """Letters of the code of each of so many words."""
+    width = 1
+    while DIGITS**width < words:
+        width += 1
+    return width
+
+
+def _code(number: int, width: int) -> str:
+    """A word's number in letters; each place has letters of its own, so that codes match at words only."""
+    return "".join(chr(1 + DIGITS * place + number // DIGITS**place % DIGITS) for place in range(width))
 
 
 def _automaton(run: str, part: int, keys: list[tuple[bytes, int]]):
-    """The numbers of the benchmark's words, and the automaton over its windows as sequences
-    of these numbers: a node a word, not a byte. A window leads to its number of words and
-    the texts it occurs in. Built once in each Python worker and kept for the whole run, as
-    are those of the other parts; another run takes their place."""
+    """The codes of the benchmark's words, their width, and the automaton over its windows
+    spelt in these codes: a node has few followers, and a word few nodes. A window leads to
+    its number of words and the texts it occurs in. Built once in each Python worker and
+    kept for the whole run, as are those of the other parts; another run takes their place."""
     if (run, part) not in _AUTOMATA:
         import ahocorasick
 
         for other in [k for k in _AUTOMATA if k[0] != run]:
             del _AUTOMATA[other]
-        numbers: dict[bytes, int] = {}
-        texts: dict[tuple[int, ...], list[int]] = {}
+        words = sorted({w for key, _ in keys for w in key.split(b" ")})
+        width = _width(len(words))
+        codes = {w: _code(i, width) for i, w in enumerate(words)}
+        texts: dict[str, list[int]] = {}
         for i, (key, length) in enumerate(keys):
-            words = [numbers.setdefault(w, len(numbers) + 1) for w in key.split(b" ")]
-            for window in {tuple(words[j : j + length]) for j in range(max(1, len(words) - length + 1))}:
+            spelt = [codes[w] for w in key.split(b" ")]
+            for window in {"".join(spelt[j : j + length]) for j in range(max(1, len(spelt) - length + 1))}:
                 texts.setdefault(window, []).append(i)
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        machine = ahocorasick.Automaton()
         for window, found in texts.items():
-            machine.add_word(window, (len(window), tuple(found)))
+            machine.add_word(window, (len(window) // width, tuple(found)))
         if texts:
             machine.make_automaton()
-        _AUTOMATA[run, part] = numbers, machine
+        _AUTOMATA[run, part] = codes, width, machine
     return _AUTOMATA[run, part]
 
 
@@ -120,8 +136,9 @@ class _Text:
         self.items: set[str | None] = set()
 
     def match(self, machine, owners: list, names: list) -> None:
-        numbers, automaton = machine
-        for last, (length, texts) in automaton.iter(tuple(map(numbers.get, self.words, repeat(0)))):
+        codes, width, automaton = machine
+        for end, (length, texts) in automaton.iter("".join(map(codes.get, self.words, repeat("\0" * width)))):
+            last = end // width
             if self.steps is None:
                 self.steps = np.zeros(self.n_words + 1, dtype=np.int32)
             self.steps[last - length + 1] += 1
