@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import AnalysisError
@@ -32,6 +31,9 @@ from tabulon.plans.results import result_frame
 from tabulon.plans.value_counts import distinct_non_null
 
 BINS = 30
+KDE_CELL = 0.5  # width of a cell in bandwidths: rows lie within a quarter of one from the middle
+KDE_TERMS = 12  # the terms beyond add less than 0.25^12 / sqrt(12!) of a kernel's height
+KDE_REACH = 9  # bandwidths beyond which a kernel is below 1e-17 of its height
 AGGREGATES = ("sum", "mean", "count", "max", "min", "median")
 
 
@@ -79,41 +81,55 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 def kde(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian density with Scott's bandwidth, also scaled to a 30-bin histogram.
 
-    Each task sums the kernels of its rows at the fixed points; only those sums
-    are shuffled. A constant column has no density and gives no rows.
+    A fast Gauss transform: rows add up to moments of cells half a bandwidth wide, and the
+    kernels of a cell are a polynomial in the distance from its middle. A row costs the same
+    for any number of points, and the density is off by less than 1e-11 of a kernel's height.
+    A constant column, or one with infinite values, has no density and gives no rows.
     """
     m = _moments(df, column)
     n, low, high, std = m["n"], m["low"], m["high"], m["std"]
-    schema = "point int, x double, density double, scaled double"
-    if not std:
-        return result_frame(df.sparkSession, [], schema)
+    if not std or not math.isfinite(std):
+        return result_frame(df.sparkSession, [], "point int, x double, density double, scaled double")
     width = n ** (-1 / 5) * std
     grid = np.linspace(low, high, points)
 
-    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(points)
-        for batch in batches:
-            values, counts = np.unique(batch["v"].to_numpy(dtype=float), return_counts=True)
-            for start in range(0, len(values), 2000):
-                part = slice(start, start + 2000)
-                z = (grid[:, None] - values[None, part]) / width
-                total += np.exp(-0.5 * z * z) @ counts[part]
-        yield pd.DataFrame({"point": np.arange(points), "x": grid, "total": total})
-
-    v = as_double(df, column)
-    sums = (
-        df.select(v.alias("v"))
-        .filter(F.col("v").isNotNull())
-        .mapInPandas(kernels, "point int, x double, total double")
-        .groupBy("point", "x")
-        .agg(F.sum("total").alias("total"))
-    )
-    density = F.col("total") / F.lit(n * width * math.sqrt(2 * math.pi))
-    return sums.select(
+    cells = df.select(as_double(df, column).alias("v")).filter(F.col("v").isNotNull())
+    cells = cells.withColumn("cell", F.floor((F.col("v") - F.lit(low)) / F.lit(width * KDE_CELL)))
+    middle = F.lit(low) + (F.col("cell") + 0.5) * F.lit(width * KDE_CELL)
+    moments = cells.withColumn("t", (F.col("v") - middle) / F.lit(width)).groupBy("cell").agg(
+        F.count(F.lit(1)).cast("double").alias("m0"),
+        *[F.sum(math.prod([F.col("t")] * k)).alias(f"m{k}") for k in range(1, KDE_TERMS)],
+    )
+    # exp(-(u - t)^2 / 2) = exp(-u^2 / 2) * sum of He_k(u) * t^k / k!, by powers of u.
+    powers = [
+        sum(F.lit(c / math.factorial(k)) * F.col(f"m{k}") for k, c in enumerate(column_of) if c).alias(f"c{j}")
+        for j, column_of in enumerate(zip(*_hermite(KDE_TERMS), strict=True))
+    ]
+    at = F.posexplode(F.array(*[F.lit(float(x)) for x in grid])).alias("point", "x")
+    u = (F.col("x") - F.col("middle")) / F.lit(width)
+    near = moments.select(middle.alias("middle"), *powers).select("*", at).withColumn("u", u).filter(F.abs("u") <= KDE_REACH)
+    kernels = F.col(f"c{KDE_TERMS - 1}")
+    for j in reversed(range(KDE_TERMS - 1)):
+        kernels = kernels * F.col("u") + F.col(f"c{j}")
+    sums = near.groupBy("point").agg(F.sum(F.exp(F.col("u") * F.col("u") * -0.5) * kernels).alias("total"))
+    # A point between far outliers may have no cell near it.
+    every = df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(grid)], "point int, x double")
+    total = F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(0.0))
+    density = total / F.lit(n * width * math.sqrt(2 * math.pi))
+    return every.join(F.broadcast(sums), "point", "left").select(
         "point", "x", density.alias("density"), (density * F.lit(n * (high - low) / BINS)).alias("scaled")
     )
 
 
+def _hermite(count: int) -> list[list[int]]:
+    """Coefficients of He_0, He_1, ... by power: He_k+1(u) = u * He_k(u) - k * He_k-1(u)."""
+    rows = [[1] + [0] * (count - 1)]
+    for k in range(count - 1):
+        before = rows[k - 1] if k else [0] * count
+        rows.append([(rows[k][j - 1] if j else 0) - k * before[j] for j in range(count)])
+    return rows
+
+
 def box_stats(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Linear quartiles, fences, whisker ends and the number of points outside."""
     m = _moments(df, column)

@@ -4,6 +4,7 @@ import sqlite3
 import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,22 @@ def test_duplicates_of_a_subset(spark):
     assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") >= 2  # a task hands on one row a key
     maps = spark.createDataFrame([(1, {"a": 1}), (1, {"a": 1}), (2, {"b": 1})], "i int, m map<string,int>")
     assert Cleaner(maps).remove_duplicates().df.count() == 2 and Cleaner(maps).remove_duplicates(keep=False).df.first()["i"] == 2
+
+
+@pytest.mark.parametrize("spread", ["plain", "outlier", "two values"])
+def test_kde_equals_the_sum_of_kernels(spark, spread):
+    draw = np.random.default_rng(3)
+    v = {
+        "plain": draw.normal(50, 7, 3000),
+        "outlier": np.append(draw.normal(0, 1, 2000), [400.0, -900.0]),
+        "two values": np.repeat([1.0, 2.0], [5, 1]),
+    }[spread]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(5)
+    got = charts.kde(df, "v", points=60).orderBy("point").toPandas()
+    width = len(v) ** (-1 / 5) * v.std(ddof=1)
+    grid = np.linspace(v.min(), v.max(), 60)
+    z = (grid[:, None] - v[None, :]) / width
+    want = np.exp(-0.5 * z * z).sum(axis=1) / (len(v) * width * np.sqrt(2 * np.pi))
+    assert got["x"].tolist() == grid.tolist()
+    assert np.abs(got["density"] - want).max() <= 1e-11 / width
+    assert np.allclose(got["scaled"], want * len(v) * (v.max() - v.min()) / 30, atol=1e-9 * len(v))
