@@ -50,8 +50,32 @@ over(
     "sql_anti_join", "orders",
     "SELECT o_orderkey FROM df a WHERE NOT EXISTS (SELECT 1 FROM df b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P')",
 )
+# The rows within a band are those up to its end less those under its start, so no pair is formed: both
+# ends are placed among the prices of their brand by running counts. These run inside cells, which keeps
+# a brand from filling a task; a cell starts with the count of the cells before it.
+RANGE_COUNTS = """
+    WITH prices AS (
+      SELECT p_brand, p_retailprice AS price, count(*) AS n FROM df
+      WHERE p_brand IS NOT NULL AND p_retailprice IS NOT NULL GROUP BY p_brand, p_retailprice
+    ), marks AS (
+      SELECT p_brand, price, n, mark.at, mark.kind, CASE WHEN isnan(mark.at) THEN 9223372036854775807 ELSE floor(mark.at / 5) END AS cell
+      FROM (SELECT p_brand, price, n, explode(array(named_struct('at', price - 5, 'kind', 'a start'),
+        named_struct('at', price + 0, 'kind', 'b price'), named_struct('at', price + 5, 'kind', 'c end'))) AS mark FROM prices) x
+    ), cells AS (
+      SELECT p_brand, cell, sum(n) OVER (PARTITION BY p_brand ORDER BY cell ROWS UNBOUNDED PRECEDING) - n AS earlier
+      FROM (SELECT p_brand, cell, sum(if(kind = 'b price', n, 0)) AS n FROM marks GROUP BY p_brand, cell) x
+    ), placed AS (
+      SELECT p_brand, price, kind, cell, sum(if(kind = 'b price', n, 0)) OVER (PARTITION BY p_brand, cell ORDER BY at, kind ROWS UNBOUNDED PRECEDING) AS inside
+      FROM marks
+    ), bands AS (
+      SELECT p.p_brand, p.price, sum(if(p.kind = 'c end', 1, -1) * (c.earlier + p.inside)) AS near
+      FROM placed p JOIN cells c ON p.p_brand = c.p_brand AND p.cell = c.cell WHERE p.kind <> 'b price' GROUP BY p.p_brand, p.price
+    )
+    SELECT a.p_partkey, sum(b.near) AS near FROM df a JOIN bands b ON a.p_brand = b.p_brand AND a.p_retailprice = b.price
+    GROUP BY a.p_partkey"""
 over(
     "sql_range_join", "part",
+    RANGE_COUNTS,
     "SELECT a.p_partkey, count(*) AS near FROM df a JOIN df b ON a.p_brand = b.p_brand AND b.p_retailprice BETWEEN "
     "a.p_retailprice - 5 AND a.p_retailprice + 5 GROUP BY a.p_partkey",
 )
