@@ -117,7 +117,7 @@ class TableProfile:
         todo = [n for n in wanted if n not in self._distinct]
         if todo:
             others = [n for n in todo if n not in self.numeric]
-            distinct, top = distinct_and_top(self.work, todo, others)
+            distinct, top = distinct_and_top(self.work, todo, others, rows=self.rows)
             self._distinct |= distinct
             self._top |= top
 

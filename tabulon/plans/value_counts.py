@@ -2,8 +2,8 @@
 
 Columns are unpivoted into typed lanes (whole numbers, fractions, text), so no
 number is printed just to be counted and longs above 2^53 stay exact. Counts
-combine on the map side before the shuffle, which keeps a value that fills a
-third of the table cheap.
+combine in bounded stretches before the shuffle (``tallies``), which keeps a value that
+fills a third of the table cheap and a column of distinct values out of a task's memory.
 
 Texts of up to ``HEAD`` bytes are counted as they are. Of a longer one only its
 first ``HEAD`` characters and a 128-bit fingerprint are shuffled, so counting a
@@ -21,11 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from tabulon.functions.columns import as_text, col, type_of
+from tabulon.plans.tallies import combined, summed
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 HEAD = 32
 LISTED = 64  # best values of a column that are looked at; beyond it ties are told apart by more of their texts
 KEYS = ("column_index", "whole", "fraction", "head", "a", "b")
+LANES = {"whole": "long", "fraction": "double", "head": "string", "a": "long", "b": "long", "check": "long"}
 
 
 def _fingerprint(text: Column) -> tuple[Column, Column]:
@@ -52,50 +54,60 @@ def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def _lanes(cells: DataFrame, index: int, whole_texts: bool) -> Column:
+def _lanes(cells: DataFrame, index: int) -> dict[str, Column]:
+    """The lanes of a cell that are not null for its type. Texts of more than ``HEAD`` bytes
+    are told apart by their fingerprint."""
     cell = F.col(f"c{index}")
     kind = _kind(type_of(cells, f"c{index}"))
-    whole = fraction = head = a = b = check = F.lit(None)
-    if kind == "whole":
-        whole = cell
-    elif kind == "fraction":
-        fraction = cell
-    elif whole_texts:
-        head = cell
-    else:
-        long = F.octet_length(cell) > HEAD
-        head = F.when(long, F.substring(cell, 1, HEAD)).otherwise(cell)
-        a, b = (F.when(long, part) for part in _fingerprint(cell))
-        check = F.when(long, _checksum(cell))
-    return F.struct(
-        F.lit(index).alias("column_index"),
-        whole.cast("long").alias("whole"),
-        fraction.cast("double").alias("fraction"),
-        head.cast("string").alias("head"),
-        a.cast("long").alias("a"),
-        b.cast("long").alias("b"),
-        check.cast("long").alias("check"),
-    )
+    if kind != "text":
+        return {kind: cell.cast(LANES[kind])}
+    long = F.octet_length(cell) > HEAD
+    a, b = _fingerprint(cell)
+    texts = {"head": F.when(long, F.substring(cell, 1, HEAD)).otherwise(cell)}
+    texts |= {"a": F.when(long, a), "b": F.when(long, b), "check": F.when(long, _checksum(cell))}
+    return {lane: value.cast(LANES[lane]) for lane, value in texts.items()}
 
 
-def value_counts(df: DataFrame, names: Sequence[str], whole_texts: bool = False) -> DataFrame:
+def value_counts(df: DataFrame, names: Sequence[str], whole_texts: bool = False, rows: int | None = None) -> DataFrame:
     """(column_index, whole, fraction, head, a, b, count, clash).
 
     A null cell has all lanes null. ``a`` and ``b`` are set for long texts only;
     ``clash`` tells that two texts share them. ``whole_texts`` keeps every text in ``head``.
+    ``rows`` of the table are counted when absent.
     """
     cells = _cells(df, names)
-    rows = cells.select(F.inline(F.array(*[_lanes(cells, i, whole_texts) for i in range(len(names))])))
-    return rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("count"),
+    if whole_texts:
+        return _whole_counts(cells, len(names))
+    lanes = [_lanes(cells, i) for i in range(len(names))]
+    groups = [{lane: f"{lane}{i}" for lane in found} for i, found in enumerate(lanes)]
+    flat = cells.select(*[value.alias(f"{lane}{i}") for i, found in enumerate(lanes) for lane, value in found.items()])
+    rows = df.count() if rows is None else rows
+    return summed(
+        combined(flat, groups, LANES),
+        KEYS,
+        rows * len(names),
+        F.sum("n").alias("count"),
         F.coalesce(F.min("check") != F.max("check"), F.lit(False)).alias("clash"),
     )
 
 
-def _sizes(df: DataFrame, names: Sequence[str], size: Column) -> dict[str, int]:
+def _whole_counts(cells: DataFrame, size: int) -> DataFrame:
+    """The same with whole texts as heads; these do not leave the JVM."""
+
+    def lanes(index: int) -> Column:
+        kind = _kind(type_of(cells, f"c{index}"))
+        values = {kind if kind != "text" else "head": F.col(f"c{index}")}
+        typed = [values.get(k, F.lit(None)).cast(LANES[k]).alias(k) for k in KEYS[1:]]
+        return F.struct(F.lit(index).alias("column_index"), *typed)
+
+    rows = cells.select(F.inline(F.array(*[lanes(i) for i in range(size)])))
+    return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("count"), F.lit(False).alias("clash"))
+
+
+def _sizes(df: DataFrame, names: Sequence[str], size: Column, rows: int | None = None) -> dict[str, int]:
     """``size`` of the counts of each column; by whole texts where fingerprints clash."""
     for whole_texts in (False, True):
-        counts = value_counts(df, names, whole_texts).groupBy("column_index")
+        counts = value_counts(df, names, whole_texts, rows).groupBy("column_index")
         found = counts.agg(size.alias("size"), F.max("clash").alias("clash")).collect()
         if not any(r["clash"] for r in found):
             break
@@ -103,19 +115,19 @@ def _sizes(df: DataFrame, names: Sequence[str], size: Column) -> dict[str, int]:
 
 
 def distinct_and_top(
-    df: DataFrame, names: Sequence[str], top_for: Sequence[str], k: int = 10
+    df: DataFrame, names: Sequence[str], top_for: Sequence[str], k: int = 10, rows: int | None = None
 ) -> tuple[dict[str, int], dict[str, list[tuple[str | None, int]]]]:
     """Distinct counts (null counts as a value) and the ``k`` most frequent values.
 
     Columns without a ranking are only counted; the counts of the others are kept while
-    both halves read them. Ties go to the smaller text, null first. A bounded number of
+    both halves read them. ``rows`` of the table are counted when absent. Ties go to the smaller text, null first. A bounded number of
     rows per column comes back, and at most ``k`` whole texts.
     """
     plain, ranked = [n for n in names if n not in top_for], [n for n in names if n in top_for]
-    distinct = _sizes(df, plain, F.count(F.lit(1))) if plain else {}
+    distinct = _sizes(df, plain, F.count(F.lit(1)), rows) if plain else {}
     tops: dict[str, list] = {n: [] for n in top_for}
     if ranked:
-        sizes, found = _ranked(df, ranked, k, False) or _ranked(df, ranked, k, True)
+        sizes, found = _ranked(df, ranked, k, False, rows) or _ranked(df, ranked, k, True, rows)
         distinct |= sizes
         tops |= found
     return {n: distinct[n] for n in names}, tops
@@ -126,10 +138,12 @@ def _place(row: Row) -> tuple:
     return -row["count"], row["head"] is not None, row["head"] or "", row["a"] is not None
 
 
-def _ranked(df: DataFrame, names: Sequence[str], k: int, whole_texts: bool) -> tuple[dict, dict] | None:
+def _ranked(
+    df: DataFrame, names: Sequence[str], k: int, whole_texts: bool, total: int | None = None
+) -> tuple[dict, dict] | None:
     """Distinct counts and best values; None if two texts share a fingerprint."""
     listed = max(LISTED, k + 1)
-    counts = value_counts(df, names, whole_texts).persist()
+    counts = value_counts(df, names, whole_texts, total).persist()
     try:
         shown = F.coalesce(F.col("head"), F.col("whole").cast("string"), F.col("fraction").cast("string"))
         values = counts.select("column_index", shown.alias("head"), "a", "b", "count")
