@@ -200,7 +200,7 @@ class TableProfile:
 
     @cached_property
     def duplicates(self) -> int:
-        return duplicate_rows(self.work)
+        return duplicate_rows(self.work, total=self.rows)
 
     @cached_property
     def _first(self) -> tuple[dict[str, Moments], dict[tuple[str, str], tuple], dict]:

@@ -62,3 +62,19 @@ def test_stretches_of_any_size_give_the_same_counts(spark, monkeypatch):
     assert duplicate_rows(df) == 246
     found = sorted((r["column_index"], r["count"]) for r in value_counts(df, df.columns).collect())
     assert found == [(0, 50), (0, 100), (0, 100), (1, 100), (1, 150), (2, 50), (2, 100), (2, 100)]
+
+
+def test_duplicates_hold_no_fingerprints_before_the_shuffle(spark, monkeypatch):
+    from tabulon.plans import duplicates
+
+    plans = []
+
+    def watched(*args):
+        out = tallies_summed(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    tallies_summed = duplicates.summed
+    monkeypatch.setattr(duplicates, "summed", watched)
+    assert duplicates.duplicate_rows(spark.range(200_000).selectExpr("id DIV 2 AS x")) == 100_000
+    assert [_pairs_of_aggregates(p) for p in plans] == [(2, 0)]
