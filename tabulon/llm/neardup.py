@@ -204,16 +204,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _heads(rows: DataFrame, named: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those rows whose id is one of `ids`, which are among those of `named`; and maybe rows without shingles.
+    Texts are shuffled only if neither these ids nor the others that are named can be broadcast."""
+    n_ids = ids.count()
+    if n_ids > BROADCAST_ROWS:
+        others = cut(named.select("id").distinct().join(ids, "id", "left_anti"), "others")
+        if others.count() <= BROADCAST_ROWS:
+            return rows.where(F.col("id").isNotNull()).join(F.broadcast(others), "id", "left_anti")
+    return rows.join(small(ids, n_ids), "id", "left_semi")
+
+
 def _hubs(active: DataFrame, count: int) -> DataFrame:
-    """Up to `count` hubs of each list, from as many components as can be: of each, the
-    member with the fewest pairs before this one. Long lists are cut down in salted parts first."""
-    best = F.min(F.struct("place", "id", "n", "hidden")).alias("hub")
+    """Up to `count` hubs of each list, from as many components as can be and, where the list
+    has fewer, equally many of each: the members with the fewest pairs before this one. So a
+    list of up to `count` members is done with. Long lists are cut down in salted parts first."""
+    best = F.struct("place", "id", "n", "hidden").alias("hub")
     if count == 1:
         firsts = active.groupBy("pair").agg(F.min(F.struct("place", "id", "n", "hidden", "component")).alias("hub"))
         return firsts.select("pair", "hub", F.col("hub.component").alias("hub_component"))
-    firsts = active.groupBy("pair", "component").agg(best).withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(64)))
+    firsts = active.select("pair", "component", best).withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(64)))
+    turn = F.row_number().over(Window.partitionBy("pair", "component").orderBy("hub"))
+    firsts = firsts.withColumn("turn", turn).where(F.col("turn") <= count)
     for keys in (["pair", "salt"], ["pair"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hub"))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "hub"))
         firsts = firsts.withColumn("rank", rank).where(F.col("rank") <= count).drop("rank")
     return firsts.select("pair", "hub", F.col("component").alias("hub_component"))
 
@@ -263,9 +277,9 @@ def near_duplicates(
 
     sketch = described.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
     shared = spark.sparkContext.broadcast((sketch["cell"].to_numpy(), sketch["seen"].to_numpy()))
-    heads = classes.select(F.col("rep").alias("id")).distinct()
+    heads = _heads(rows, named, classes.select(F.col("rep").alias("id")).distinct())
     least = classes.select(F.col("rep").alias("id"), "minima")
-    posted = rows.join(small(heads, heads.count()), "id", "left_semi").mapInArrow(_post(shared, shingle, percent, hot), POSTS)
+    posted = heads.mapInArrow(_post(shared, shingle, percent, hot), POSTS)
     # Only lists with two members or more are merged. A list in parts is kept whole: who is alone in one part may meet others
     # in another, and lists that turn out to have one member fall out of the first round.
     part = Window.partitionBy("pair", "part")

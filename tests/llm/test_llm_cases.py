@@ -191,6 +191,34 @@ def test_near_duplicates_in_parts(spark, hot):
     assert {r.id: r.component for r in found.collect()} == want
 
 
+def test_near_duplicates_families_beside_each_other(spark):
+    """Two large families that share a passage and are not alike: the lists of the passage hold both until
+    one of them has been tested, however few components they hold."""
+    passage = [f"shared{i}" for i in range(30)]
+    rows = [(100 * f + i, " ".join([*passage, *(f"own{f}x{j}" for j in range(30)), f"end{f}x{i}"])) for f in range(2) for i in range(30)]
+    from test_llm_queries import components, shingles
+
+    want = components({d: shingles(t, 5) for d, t in rows})
+    assert set(want.values()) == {0, 100}
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(20))
+    assert {r.id: r.component for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("limit", [0, 5, 10**6])
+def test_near_duplicates_broadcast_limits(spark, monkeypatch, limit):
+    """Copies, near copies, repeated and missing ids, texts without words: the same whether the ids that stand for
+    equal sets, the others or neither are broadcast."""
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    rows = [*enumerate(texts), (20, texts[0]), (21, texts[0]), (22, texts[5] + " end"), (3, texts[4]), (7, None), (30, ""), (31, None), (None, texts[1])]
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", limit)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = {i: i for i in range(12)} | {20: 0, 21: 0, 22: 5, 4: 3, 30: 30, 31: 31, None: None}
+    assert sorted((r.id is None, r.id or 0, r.component, r.n_shingles) for r in found.collect()) == sorted(
+        (i is None, i or 0, want[i], max(0, len((t or "").split()) - 4)) for i, t in rows
+    )
+
+
 def test_difference():
     draw = random.Random(2)
     sizes = [draw.randrange(1, 10_000) for _ in range(3000)]
